@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this library rebuilds are batch reports over telemetry
+history; none of them has a streaming form (no watermark, window or state
+over arriving data), so nothing is built here.  Every report returns a
+plain DataFrame, so a user who lands telemetry continuously can still run
+any report per micro-batch from ``foreachBatch``.
+"""
