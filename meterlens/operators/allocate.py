@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,18 @@ def allocate_by_share(usage: DataFrame, cost: DataFrame, *, who: str, slot: Sequ
     the ``slot`` columns and ``cost_col``.  Returns ``who``, ``slot[0]`` and
     ``out_col`` = sum over slots of ``share * cost``.
 
-    Plan: a partial+final aggregate of usage per (who, slot); the slot total
-    is a window over that aggregate (at most one row per who per slot, so no
-    slot can grow beyond the number of distinct ``who`` values); the cost
-    join is an equi-join on the slot, whose side AQE broadcasts when its
-    measured size allows and otherwise sort-merges (skew-split if needed).
+    Plan: usage is summed per (who, slot) with a map-side partial aggregate;
+    slot totals are a second aggregate of that (one row per slot).  Both the
+    totals and the slot costs join the per-(who, slot) rows on the slot
+    columns, i.e. equi-joins against one row per key, so a slot used by
+    very many ``who`` never has to sit in one task: AQE splits a skewed
+    key's partition (or broadcasts a side whose measured size is small).
     A final aggregate per (who, slot[0]).
     """
     slot = list(slot)
     per_who = usage.groupBy(who, *slot).agg(F.sum(weight).alias("_w"))
-    share = per_who.withColumn("_share", F.try_divide(F.col("_w"), F.sum("_w").over(Window.partitionBy(*slot))))
+    totals = per_who.groupBy(*slot).agg(F.sum("_w").alias("_total"))
+    share = per_who.join(totals, on=slot, how="inner").withColumn(
+        "_share", F.try_divide(F.col("_w"), F.col("_total")))
     joined = share.join(cost.select(*slot, cost_col), on=slot, how="inner")
     return joined.groupBy(who, slot[0]).agg(F.sum(F.col("_share") * F.col(cost_col)).alias(out_col))

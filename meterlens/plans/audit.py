@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import add_months, as_datetime, ts_lit
@@ -94,14 +94,14 @@ def statement_timeouts(t: Tables, parameter: str = TIMEOUT_PARAMETER) -> DataFra
 
     One row per object that sets it, with the value that applies to work on
     that object: the lowest non-zero of its own value and the account-level
-    value (0 means unset).  The account value is a window over the rows of
-    this one parameter (a configuration snapshot, one row per object).
+    value (0 means unset).  The account value is an aggregate per parameter
+    name (one row), joined back on the name.
     """
     p = t["parameters"].filter(F.col("name") == parameter)
-    account = F.min(F.when((F.col("level") == "ACCOUNT") & (F.col("value") > 0), F.col("value"))).over(
-        Window.partitionBy("name"))
+    account = (p.filter((F.col("level") == "ACCOUNT") & (F.col("value") > 0))
+               .groupBy("name").agg(F.min("value").alias("_account")))
     own = F.when(F.col("value") > 0, F.col("value"))
     effective = F.least(own, F.col("_account"))
-    return p.withColumn("_account", account).select(
+    return p.join(account, on="name", how="left").select(
         "level", "object", F.col("value").alias("value_seconds"), effective.cast("bigint").alias("effective_seconds"),
     ).orderBy("level", "object")

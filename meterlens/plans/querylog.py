@@ -15,6 +15,8 @@ from ..operators.rollups import SUM_DECIMAL
 from ..sources.tables import SCHEMAS, Tables
 
 QH = "query_history"
+# Largest row count we hint for broadcast on the strength of a limit alone.
+BROADCAST_ROW_LIMIT = 100_000
 _MS_PER = {"seconds": 1000, "minutes": 1000 * 60, "hours": 1000 * 60 * 60}
 
 
@@ -98,7 +100,10 @@ def longest_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int = 50,
     survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n)
     ranked = global_row_number(q.select("query_id", "partitions_scanned"),
                                [F.col("partitions_scanned").desc(), F.col("query_id")], name="query_id_int")
-    out = F.broadcast(survivors).join(ranked.select("query_id", "query_id_int"), on="query_id", how="inner")
+    # The survivors are at most ``n`` rows; hint a broadcast only while that
+    # bound is small, otherwise leave the choice to AQE's measured sizes.
+    small = F.broadcast(survivors) if n <= BROADCAST_ROW_LIMIT else survivors
+    out = small.join(ranked.select("query_id", "query_id_int"), on="query_id", how="inner")
     return out.select(
         "query_id", _query_url(account, F.col("query_id")).alias("query_profile_url"), "query_id_int", "query_text",
         (F.col("total_elapsed_time") / 1000).alias("query_execution_time_seconds"),
