@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,13 @@ def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "ro
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    # Persist so writing the checkpoint does not sort a second time; the
+    # checkpointed frame reads from the checkpoint files, so the cache can go.
+    tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    checkpointed = tagged.checkpoint(eager=True)
+    tagged.unpersist()
+    tagged = checkpointed
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

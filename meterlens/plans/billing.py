@@ -106,6 +106,10 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00") -> DataFrame:
     return out
 
 
+# The seven actual-cost branches shared by the ledger and the forecast.
+cost_ledger = actual_costs
+
+
 def billing_ledger(t: Tables, credit_price: float | str = "4.00", term_start: dt.date | str = "2019-01-01",
                    term_months: int = 12, term_amount: float | str = "100000.00") -> DataFrame:
     """Every cost line, one projected line per contract day, and the contract total.

@@ -162,6 +162,12 @@ def test_top_k_ties_are_deterministic(spark):
     assert got == ["11", "14", "17", "2", "20"]
 
 
+def test_top_k_null_sort_keys_go_last(spark):
+    df = spark.createDataFrame([("a", None), ("b", 5), ("c", None), ("d", 7)], "id string, v long")
+    got = [r["id"] for r in top_k(df, [F.col("v").desc_nulls_last(), F.col("id")], 3).collect()]
+    assert got == ["d", "b", "a"]
+
+
 def test_allocate_by_share_conserves_cost(spark):
     usage = spark.createDataFrame(
         [("u1", "w", 1, 10), ("u2", "w", 1, 30), ("u1", "w", 2, 5), ("u3", "v", 1, 7), ("u1", "w", 3, 1)],

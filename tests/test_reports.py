@@ -83,11 +83,12 @@ def test_idle_roles_and_users(spark):
                  .collect())
     assert out == ["", "idle"]
     users = [dict(name="old", last_success_login=dt.datetime(2023, 1, 1)), dict(name="never"),
+             dict(name="never_gone", deleted_on=dt.datetime(2023, 6, 1)),
              dict(name="gone", last_success_login=dt.datetime(2023, 1, 1), deleted_on=dt.datetime(2023, 6, 1)),
              dict(name="recent", last_success_login=dt.datetime(2024, 2, 10))]
     t = _tables(spark, users=users)
     assert [r.name for r in REPORTS["idle_users"](t, AS_OF).collect()] == ["old"]
-    assert [r.name for r in REPORTS["users_never_logged_in"](t).collect()] == ["never"]
+    assert sorted(r.name for r in REPORTS["users_never_logged_in"](t).collect()) == ["never", "never_gone"]
 
 
 def test_statement_timeouts_effective_value(spark):
@@ -133,3 +134,22 @@ def test_billing_ledger_totals(spark):
     assert [r.dollars_used for r in by["CONTRACT VALUES"]] == [Decimal("100000.000000")]
     actual = sorted((r.warehouse_group_name, r.dollars_used) for r in by["ACTUAL COMPUTE"])
     assert actual == [("Storage", Decimal("23.000000"))] + [("WH Compute", Decimal("5.000000"))] * 3
+
+
+def test_billing_ledger_equals_sum_of_branches(spark):
+    from meterlens.plans.billing import actual_costs
+    wmh = [_wmh("w", dt.datetime(2000, 3, 1, h), "2.50") for h in range(4)]
+    pipes = [dict(pipe_name="p", start_time=dt.datetime(2000, 3, 2), end_time=dt.datetime(2000, 3, 2, 1),
+                  credits_used=D("1.00"))]
+    empty = {k: [] for k in ["automatic_clustering_history", "materialized_view_refresh_history",
+                             "search_optimization_history", "replication_usage_history", "storage_usage"]}
+    t = _tables(spark, warehouse_metering_history=wmh, pipe_usage_history=pipes, **empty)
+    ledger = REPORTS["billing_ledger"](t, term_start="2000-01-01")
+    actual = ledger.filter("measure_type = 'ACTUAL COMPUTE'").agg({"dollars_used": "sum"}).first()[0]
+    assert actual == actual_costs(t).agg({"dollars_used": "sum"}).first()[0] == D("44.000000")
+
+
+def test_heavy_scanners_zero_partitions(spark):
+    qh = [_qh(1, partitions_total=0, partitions_scanned=0), _qh(2, partitions_total=10, partitions_scanned=5)]
+    out = REPORTS["heavy_scanners"](_tables(spark, query_history=qh), AS_OF).collect()
+    assert [(r.user_name, r.avg_pct_scanned) for r in out] == [("u", 0.25)]
