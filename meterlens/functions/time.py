@@ -76,5 +76,6 @@ def days_crossed(start: Column, end: Column) -> Column:
 
 
 def hour_start(col: Column) -> Column:
-    """``DATE_TRUNC('hour', ts)`` kept as ``timestamp_ntz``."""
-    return F.date_trunc("hour", col).cast("timestamp_ntz")
+    """``DATE_TRUNC('hour', ts)`` as ``timestamp_ntz``, built from the
+    value's own fields so no session time zone is involved."""
+    return F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.lit(0), F.lit(0))

@@ -21,7 +21,7 @@ def credits_by_warehouse_all(t: Tables) -> DataFrame:
     """Compute credits per warehouse over all metering history; largest first."""
     return (t[WMH].groupBy("warehouse_name")
             .agg(F.sum("credits_used_compute").cast(SUM_DECIMAL).alias("credits_used_compute_sum"))
-            .orderBy(F.col("credits_used_compute_sum").desc()))
+            .orderBy(F.col("credits_used_compute_sum").desc(), "warehouse_name"))
 
 
 def credits_by_warehouse_recent(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
@@ -29,7 +29,7 @@ def credits_by_warehouse_recent(t: Tables, as_of: dt.datetime, days: int = 7) ->
     cut = as_datetime(as_of) - dt.timedelta(days=days)
     return (t.since(WMH, cut).groupBy("warehouse_name")
             .agg(F.sum("credits_used_compute").cast(SUM_DECIMAL).alias("credits_used_compute_sum"))
-            .orderBy(F.col("credits_used_compute_sum").desc()))
+            .orderBy(F.col("credits_used_compute_sum").desc(), "warehouse_name"))
 
 
 def credits_by_hour_of_day(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
@@ -59,7 +59,7 @@ def cloud_services_ratio(t: Tables, as_of: dt.datetime, months: int = 1) -> Data
     ))
     ratio = F.try_divide(F.col("credits_used_cloud_services").cast("double"), F.col("credits_used").cast("double"))
     return out.withColumn("percent_cloud_services", rounded(ratio)).orderBy(
-        F.col("percent_cloud_services").desc_nulls_last())
+        F.col("percent_cloud_services").desc_nulls_last(), "warehouse_name")
 
 
 def warehouse_over_7day_avg(t: Tables, rows: int = 7, min_credits: float = 100, min_pct: float = 0.5) -> DataFrame:
@@ -80,7 +80,7 @@ def warehouse_over_7day_avg(t: Tables, rows: int = 7, min_credits: float = 100,
         "start_date", "warehouse_name", "credits_used_date_wh",
         rounded(F.col("_avg")).alias("credits_used_7_day_avg"),
         rounded(F.col("_pct")).alias("pct_over_to_7_day_average"),
-    ).orderBy(F.col("pct_over_to_7_day_average").desc())
+    ).orderBy(F.col("pct_over_to_7_day_average").desc(), "warehouse_name", "start_date")
 
 
 def cost_per_query(t: Tables, as_of: dt.datetime, months: int = 1, credit_price: float = 4) -> DataFrame:
@@ -104,7 +104,8 @@ def cost_per_query(t: Tables, as_of: dt.datetime, months: int = 1, credit_price:
     out = out.withColumn("_cents", cents).withColumn("_count", count).withColumn(
         "cost_per_query", (per_query.cast("decimal(38,0)") / 100).cast("decimal(10,2)"))
     return out.select("warehouse_name", "query_count_last_month", "credits_used_last_month",
-                      "credit_cost_last_month", "cost_per_query").orderBy(F.col("cost_per_query").desc_nulls_last())
+                      "credit_cost_last_month", "cost_per_query").orderBy(F.col("cost_per_query").desc_nulls_last(),
+                                                                        "warehouse_name")
 
 
 def _usage_for_allocation(t: Tables, as_of, months: int) -> DataFrame:
@@ -129,7 +130,7 @@ def credits_by_user(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame
     out = allocate_by_share(usage, _hour_cost(t), who="user_name", slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
     return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
-        F.col("approximate_credits_used").desc())
+        F.col("approximate_credits_used").desc(), "user_name", "warehouse_name")
 
 
 def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -149,7 +150,7 @@ def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
     out = allocate_by_share(named, _hour_cost(t), who="client_application_name", slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
     return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
-        F.col("approximate_credits_used").desc())
+        F.col("approximate_credits_used").desc(), "client_application_name", "warehouse_name")
 
 
 def warehouse_utilization(t: Tables, as_of: dt.datetime, weeks: int = 1) -> DataFrame:

@@ -21,8 +21,10 @@ _OBJECT_KEYS = ["database_name", "schema_name", "table_name"]
 def _daily(t: Tables, table: str, keys: list[str], as_of, months: int, newest_first: bool) -> DataFrame:
     cut = add_months(as_datetime(as_of), -months)
     out = daily_cost(t.since(table, cut), keys)
-    order = [F.col("date").desc()] if newest_first else [F.col("credits_used").desc()]
-    return out.orderBy(*order)
+    # Ties are broken by the remaining keys: the output order is total, and a
+    # range exchange can split even a day with very many objects.
+    first = [F.col("date").desc()] if newest_first else [F.col("credits_used").desc(), F.col("date").desc()]
+    return out.orderBy(*first, *[F.col(k) for k in keys])
 
 
 def clustering_cost_daily(t: Tables, as_of: dt.datetime, months: int = 6) -> DataFrame:

@@ -33,14 +33,14 @@ def ingest_daily(t: Tables) -> DataFrame:
         total.cast("bigint").alias("total_file_size_bytes"),
         *sizes,
     )
-    return out.orderBy("database_name", "schema_name", "table_name", "load_date", "status")
+    return out.orderBy("database_name", "schema_name", "table_name", "load_date", "status", "ingest_method")
 
 
 def failed_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Task runs that failed in the last ``days``; newest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
     return (t.since("task_history", cut).filter(F.col("state") == "FAILED").select(*_TASK_COLUMNS)
-            .orderBy(F.col("query_start_time").desc()))
+            .orderBy(F.col("query_start_time").desc(), "task_id"))
 
 
 def long_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
@@ -49,4 +49,4 @@ def long_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
     runs = t.since("task_history", cut).filter(F.col("state") == "SUCCEEDED")
     return runs.select(
         seconds_crossed(F.col("query_start_time"), F.col("completed_time")).alias("duration_seconds"), *_TASK_COLUMNS,
-    ).orderBy(F.col("duration_seconds").desc())
+    ).orderBy(F.col("duration_seconds").desc(), "task_id")

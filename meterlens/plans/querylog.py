@@ -156,7 +156,7 @@ def _full_scans(t: Tables, as_of, months: int, fraction: float) -> DataFrame:
 def full_scan_users(t: Tables, as_of: dt.datetime, months: int = 1, fraction: float = 0.95) -> DataFrame:
     """Users by number of (near) full table scans last month."""
     return (_full_scans(t, as_of, months, fraction).groupBy("user_name")
-            .agg(F.count(F.lit(1)).alias("count_of_queries")).orderBy(F.col("count_of_queries").desc()))
+            .agg(F.count(F.lit(1)).alias("count_of_queries")).orderBy(F.col("count_of_queries").desc(), "user_name"))
 
 
 def full_scan_queries(t: Tables, as_of: dt.datetime, months: int = 1, fraction: float = 0.95, n: int = 50) -> DataFrame:
@@ -170,7 +170,8 @@ def heavy_scanners(t: Tables, as_of: dt.datetime, days: int = 45) -> DataFrame:
     cut = start_of_day(as_datetime(as_of)) - dt.timedelta(days=days - 1)
     frac = F.when(F.col("partitions_total") > 0, F.col("partitions_scanned") / F.col("partitions_total")).otherwise(0.0)
     return (t.since(QH, cut).groupBy("user_name", "warehouse_name")
-            .agg(rounded(F.avg(frac)).alias("avg_pct_scanned")).orderBy(F.col("avg_pct_scanned").desc()))
+            .agg(rounded(F.avg(frac)).alias("avg_pct_scanned"))
+            .orderBy(F.col("avg_pct_scanned").desc(), "user_name", "warehouse_name"))
 
 
 def top_remote_spillers(t: Tables, as_of: dt.datetime, days: int = 45, n: int = 10) -> DataFrame:
@@ -193,7 +194,7 @@ def spill_ratio(t: Tables, factor: float = 5) -> DataFrame:
     return q.select(
         "query_id", "user_name", "warehouse_name", "warehouse_size", "bytes_scanned", "bytes_spilled_to_remote_storage",
         F.try_divide(F.col("bytes_spilled_to_remote_storage"), F.col("bytes_scanned")).alias("spilling_read_ratio"),
-    ).orderBy(F.col("spilling_read_ratio").desc_nulls_last())
+    ).orderBy(F.col("spilling_read_ratio").desc_nulls_last(), "query_id")
 
 
 def queue_pressure(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -216,7 +217,8 @@ def cache_usage(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
         .alias("bytes_scanned_from_cache"),
     )
     ratio = F.try_divide(F.col("bytes_scanned_from_cache").cast("double"), F.col("bytes_scanned").cast("double"))
-    return out.withColumn("percent_scanned_from_cache", rounded(ratio)).orderBy("percent_scanned_from_cache")
+    return out.withColumn("percent_scanned_from_cache", rounded(ratio)).orderBy("percent_scanned_from_cache",
+                                                                                "warehouse_name")
 
 
 def role_segmentation(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:

@@ -153,3 +153,18 @@ def test_heavy_scanners_zero_partitions(spark):
     qh = [_qh(1, partitions_total=0, partitions_scanned=0), _qh(2, partitions_total=10, partitions_scanned=5)]
     out = REPORTS["heavy_scanners"](_tables(spark, query_history=qh), AS_OF).collect()
     assert [(r.user_name, r.avg_pct_scanned) for r in out] == [("u", 0.25)]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/Los_Angeles"])
+def test_reports_do_not_depend_on_session_time_zone(spark, zone):
+    import __spark_entry__ as entry
+    from conftest import SF001
+
+    names = ["query_volume_by_hour", "warehouse_utilization", "long_tasks", "credits_by_user", "clustering_weekly_avg"]
+    base = {n: sorted(map(tuple, entry.queries()[n](spark, SF001).collect())) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        other = {n: sorted(map(tuple, entry.queries()[n](spark, SF001).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert other == base
