@@ -212,7 +212,9 @@ def cache_usage(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
     cut = add_months(as_datetime(as_of), -months)
     out = t.since(QH, cut).filter(F.col("bytes_scanned") > 0).groupBy("warehouse_name").agg(
         F.count(F.lit(1)).alias("query_count"),
-        F.sum("bytes_scanned").cast("bigint").alias("bytes_scanned"),
+        # Bytes summed as decimal(38,0): a month of a busy warehouse can pass
+        # the bigint range, which would fail under ANSI arithmetic.
+        F.sum(F.col("bytes_scanned").cast("decimal(38,0)")).alias("bytes_scanned"),
         F.sum(F.col("bytes_scanned") * F.col("percentage_scanned_from_cache")).cast(SUM_DECIMAL)
         .alias("bytes_scanned_from_cache"),
     )
