@@ -4,9 +4,10 @@ The test harness only ships TPC-H-like tables plus an ``events`` stream, so
 each telemetry table is *derived* from them with Spark (joins, aggregates,
 expressions).  The derivation is deterministic and grows with the input:
 ``events`` becomes the query log, hourly metering and task runs; orders and
-line items become serverless histories, storage, loads and users.
+line items become serverless histories, storage, loads and users; nations,
+regions and suppliers become roles, streams and parameters.
 
-The same rules are written as SQL for the DuckDB oracle (``oracle_queries``);
+The same rules are written as SQL for the DuckDB oracle (``duckdb_oracle.py``);
 both sides must stay in step.
 """
 
@@ -190,7 +191,7 @@ class DriverBridge:
         ), "users")
 
     def roles(self) -> DataFrame:
-        n = self.read("nation").filter(F.col("n_nationkey") < 10)
+        n = self.read("nation")
         return conform(n.select(
             F.concat(F.lit("role_"), F.col("n_nationkey").cast("string")).alias("name"),
             F.when(F.col("n_nationkey") == 9, F.lit("2024-01-01")).alias("deleted_on"),
@@ -225,9 +226,9 @@ class DriverBridge:
             F.lit("STATEMENT_TIMEOUT_IN_SECONDS").alias("name"), level.alias("level"),
             F.col("s_name").alias("object"), (F.col("s_suppkey") % 4 * 600).cast("bigint").alias("value"),
         )
-        zones = s.filter(F.col("s_suppkey") % 50 == 1).select(
+        zones = self.read("region").select(
             F.lit("TIMEZONE").alias("name"), F.lit("ACCOUNT").alias("level"),
-            F.col("s_name").alias("object"), F.lit(0).cast("bigint").alias("value"),
+            F.col("r_name").alias("object"), F.lit(0).cast("bigint").alias("value"),
         )
         return conform(timeouts.unionByName(zones), "parameters")
 
