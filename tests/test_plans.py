@@ -62,3 +62,18 @@ def test_partitioned_tables_prune_by_date(spark):
     got = sorted(map(tuple, df.collect()))
     want = sorted(map(tuple, REPORTS["credits_by_user"](bridge, as_of=dt.datetime(2024, 2, 15)).collect()))
     assert got == want
+
+
+def test_single_partition_exchanges_only_over_bounded_rows(plans):
+    # longest_queries: per-partition offsets (one row per partition);
+    # usage_forecast: the contract calendar (one row per contract day).
+    allowed = {"longest_queries", "usage_forecast"}
+    assert {n for n, p in plans.items() if "SinglePartition" in p} <= allowed
+
+
+def test_windows_only_over_aggregated_or_bounded_frames(plans):
+    # Each of these windows runs over at most one row per (warehouse, day),
+    # (warehouse, role), contract day, partition, or the n rows of a top-k.
+    allowed = {"warehouse_over_7day_avg", "role_segmentation", "usage_forecast", "longest_queries",
+               "most_scanned_queries"}
+    assert {n for n, p in plans.items() if "Window" in p} <= allowed
