@@ -95,14 +95,13 @@ Source = DataFrame | Callable[[], DataFrame]
 class Tables:
     """Named telemetry DataFrames, resolved lazily and memoised per name.
 
-    ``partitioned`` lists the tables stored with a date partition column
-    (see ``PARTITIONING``); ``since`` then adds a predicate on it.
+    A table that carries its date partition column (see ``PARTITIONING``)
+    gets a predicate on it from ``since``.
     """
 
-    def __init__(self, sources: Mapping[str, Source], partitioned: frozenset[str] = frozenset()):
+    def __init__(self, sources: Mapping[str, Source]):
         self._sources = dict(sources)
         self._frames: dict[str, DataFrame] = {}
-        self._partitioned = frozenset(partitioned)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -131,35 +130,53 @@ class Tables:
         if column is None:
             raise ValueError(f"{name!r} has no time column; pass column=")
         df = self[name]
-        if name in self._partitioned and part_col and column == time_col:
+        if part_col and column == time_col and part_col in df.columns:
             df = df.filter(F.col(part_col) >= F.lit(cut.date()))
         lit = ts_lit(cut)
         return df.filter(F.col(column) > lit if strict else F.col(column) >= lit)
 
+    def validate(self, names: list[str] | None = None) -> None:
+        """Check that each table has the declared columns with castable types.
+
+        Raises ``ValueError`` naming every missing or incompatible column.
+        """
+        problems = []
+        for name in names or self.names():
+            have = {f.name.lower(): f.dataType for f in self[name].schema.fields}
+            for f in SCHEMAS[name].fields:
+                kind = have.get(f.name)
+                if kind is None:
+                    problems.append(f"{name}.{f.name}: missing")
+                elif not _castable(kind, f.dataType):
+                    problems.append(f"{name}.{f.name}: {kind.simpleString()} is not {f.dataType.simpleString()}")
+        if problems:
+            raise ValueError("telemetry schema problems: " + "; ".join(problems))
+
     # -- constructors -------------------------------------------------
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> Tables:
         """One folder per table under ``root`` (as written by ``save``).
 
-        Reads with the declared schema (no inference); fact tables carry
-        their date partition column.
+        Each table is projected onto its declared schema with explicit casts
+        (a no-op when the files already hold those types, so filters still
+        reach the reader); fact tables keep their date partition column.
         """
         names = names or list(SCHEMAS)
 
         def reader(name: str) -> Callable[[], DataFrame]:
             def read() -> DataFrame:
-                schema = SCHEMAS[name]
-                if name in PARTITIONING:
-                    schema = T.StructType(schema.fields + [T.StructField(PARTITIONING[name][1], _D, True)])
-                return spark.read.schema(schema).parquet(f"{root}/{name}")
+                df = spark.read.parquet(f"{root}/{name}")
+                extra = [PARTITIONING[name][1]] if name in PARTITIONING else []
+                return conform(df, name, keep=[c for c in extra if c in df.columns])
             return read
 
-        return cls({n: reader(n) for n in names}, partitioned=frozenset(n for n in names if n in PARTITIONING))
+        return cls({n: reader(n) for n in names})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, names: list[str] | None = None) -> Tables:
+        """Catalog tables ``database.<name>``, projected onto the declared schemas."""
         names = names or list(SCHEMAS)
-        return cls({n: (lambda n=n: spark.table(f"{database}.{n}")) for n in names})
+        return cls({n: (lambda n=n: conform(spark.table(f"{database}.{n}"), n)) for n in names})
 
     def save(self, root: str, mode: str = "overwrite") -> None:
         """Write every table as parquet; fact tables partitioned by date.
@@ -181,6 +198,24 @@ class Tables:
                 writer_df.write.mode(mode).parquet(f"{root}/{name}")
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Project ``df`` onto the declared schema of ``name`` (explicit casts)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+def conform(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Project ``df`` onto the declared schema of ``name`` (explicit casts),
+    keeping the extra columns in ``keep`` as they are."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
+    return df.select(*cols, *[F.col(c) for c in keep or []])
+
+
+def _castable(have: T.DataType, want: T.DataType) -> bool:
+    if have == want:
+        return True
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    if isinstance(want, numeric):
+        return isinstance(have, numeric)
+    if isinstance(want, times):
+        return isinstance(have, times) or isinstance(have, T.StringType)
+    if isinstance(want, T.StringType):
+        return True
+    if isinstance(want, T.BooleanType):
+        return isinstance(have, (T.BooleanType, T.StringType))
+    return False

@@ -32,3 +32,29 @@ def test_section_runner_and_cli(spark):
     back = spark.read.parquet(f"{out}/idle_roles").collect()
     assert sorted(r.name for r in back) == sorted(r.name for r in REPORTS["idle_roles"](t, dt.datetime(2024, 2, 15))
                                                   .collect())
+
+
+def test_validate_names_schema_problems(spark):
+    import pytest
+
+    good = driver_tables(spark, SF001)
+    good.validate(["query_history", "users"])
+    bad = Tables({"users": spark.createDataFrame([("a", [1])], "name string, last_success_login array<int>")})
+    with pytest.raises(ValueError, match="users.last_success_login: array<int>.*users.deleted_on: missing"):
+        bad.validate()
+
+
+def test_from_parquet_accepts_utc_timestamps(spark):
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="meterlens-ltz-")
+    qh = driver_tables(spark, SF001)["query_history"]
+    (qh.withColumn("start_time", F.col("start_time").cast("timestamp"))
+       .withColumn("end_time", F.col("end_time").cast("timestamp"))
+       .write.parquet(f"{root}/query_history"))
+    t = Tables.from_parquet(spark, root, ["query_history"])
+    t.validate()
+    got = sorted(map(tuple, REPORTS["query_volume_by_hour"](t, dt.datetime(2024, 1, 31)).collect()))
+    want = sorted(map(tuple, REPORTS["query_volume_by_hour"](driver_tables(spark, SF001),
+                                                             dt.datetime(2024, 1, 31)).collect()))
+    assert got == want
