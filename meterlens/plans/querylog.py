@@ -36,6 +36,8 @@ def most_expensive_queries(t: Tables, as_of: dt.datetime, months: int = 2, n: in
 
     The warehouse-size table is eight fixed values, so it is a literal map
     lookup (no join); unknown sizes drop out as an inner join would drop them.
+    Sizes match after upper-casing only, as in the original analysis, so a
+    hyphenated spelling such as ``X-Small`` finds no node count and drops out.
     Ties are broken by query id so the top ``n`` is deterministic.
     """
     cut = add_months(as_datetime(as_of), -months)

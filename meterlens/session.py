@@ -48,16 +48,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is (and is required).  Only a local session without one (a test on
     one machine) gets a fresh scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        context = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        context = None
+    current = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir() if context else None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if context is not None and not context.getCheckpointDir():
+            context.setCheckpointDir(current)
         return current
-    master = spark.sparkContext.master or ""
+    master = (context.master if context is not None else spark.conf.get("spark.master", "")) or ""
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local folder "
                            "cannot hold checkpoints for a cluster")
     folder = tempfile.mkdtemp(prefix="meterlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    if context is not None:
+        context.setCheckpointDir(folder)
     return folder
