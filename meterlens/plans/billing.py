@@ -72,17 +72,24 @@ def _object_name() -> Column:
     return F.concat(F.col("database_name"), F.lit("."), F.col("schema_name"), F.lit("."), F.col("table_name"))
 
 
-def actual_costs(t: Tables, credit_price: float | str = "4.00") -> DataFrame:
+def actual_costs(t: Tables, credit_price: float | str = "4.00", lo: dt.datetime | None = None,
+                 hi: dt.datetime | None = None) -> DataFrame:
     """The seven metered cost lines: warehouses, five serverless features, storage.
 
     A union of narrow projections: no shuffle.  Storage is priced per
-    TB-month and spread over the days of its month.
+    TB-month and spread over the days of its month.  With ``lo``/``hi`` only
+    lines starting in ``[lo, hi)`` are read (each table is bounded at its
+    source, so the time range reaches every scan).
     """
     price = Decimal(str(credit_price)).quantize(Decimal("0.01"))
     p = F.lit(price).cast(_PRICE)
+    bounded = lo is not None or hi is not None
+
+    def read(table: str) -> DataFrame:
+        return t.between(table, lo, hi) if bounded else t[table]
 
     def metered(table: str, group: str, name: Column) -> DataFrame:
-        df = t[table]
+        df = read(table)
         return _branch(df, group, name, F.col("start_time"), F.col("end_time"), F.col("credits_used"), price,
                        p * F.col("credits_used"), "ACTUAL COMPUTE")
 
@@ -94,7 +101,7 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00") -> DataFrame:
         metered("search_optimization_history", "Search Optimization", _object_name()),
         metered("replication_usage_history", "Replication", F.col("database_name")),
     ]
-    su = t["storage_usage"]
+    su = read("storage_usage")
     days_in_month = F.dayofmonth(F.last_day("usage_date"))
     total_bytes = F.col("storage_bytes") + F.col("stage_bytes") + F.col("failsafe_bytes")
     storage_dollars = rounded(total_bytes / F.lit(float(_TB)) * STORAGE_DOLLARS_PER_TB_MONTH / days_in_month)
@@ -144,7 +151,7 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
     # into every one of the seven scans.
     in_term = ((F.col("start_time") >= ts_lit(c.start))
                & (F.col("start_time") < ts_lit(c.end + dt.timedelta(days=1))))
-    actual = actual_costs(t, credit_price).filter(in_term).groupBy(F.to_date("start_time").alias("consumption_date")).agg(
+    actual = actual_costs(t, credit_price, c.start, c.end + dt.timedelta(days=1)).filter(in_term).groupBy(F.to_date("start_time").alias("consumption_date")).agg(
         F.sum("dollars_used").cast(_AMOUNT).alias("actual_dollars_used"))
     days = calendar_days(t["warehouse_metering_history"].sparkSession, c.start.date(), c.end.date(),
                          name="consumption_date")

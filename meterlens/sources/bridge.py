@@ -13,12 +13,13 @@ both sides must stay in step.
 
 from __future__ import annotations
 
+import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import hour_start
+from ..functions.time import hour_start, ts_lit
 from .tables import SCHEMAS, Tables, conform
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -77,8 +78,18 @@ class DriverBridge:
             (F.col("k") * F.lit(Decimal("0.01"))).alias("percentage_scanned_from_cache"),
         ), "query_history")
 
-    def warehouse_metering_history(self) -> DataFrame:
+    def _events_between(self, lo, hi) -> DataFrame:
+        """Events of every clock hour that can start in [lo, hi): a superset
+        bound on the raw timestamp that keeps each such hour whole."""
         e = self.read("events")
+        if lo is not None:
+            e = e.filter(F.col("ts") >= ts_lit(_floor_hour(lo)))
+        if hi is not None:
+            e = e.filter(F.col("ts") < ts_lit(_ceil_hour(hi)))
+        return e
+
+    def warehouse_metering_history(self, e: DataFrame | None = None) -> DataFrame:
+        e = self.read("events") if e is None else e
         value = _credits(F.col("value"))
         cloud = F.col("event_id") % 4 == 0
         hour = hour_start(F.col("ts"))
@@ -93,8 +104,8 @@ class DriverBridge:
             F.sum(F.when(cloud, value).otherwise(F.lit(Decimal("0")))).alias("credits_used_cloud_services"),
         ), "warehouse_metering_history")
 
-    def warehouse_load_history(self) -> DataFrame:
-        e = self.read("events")
+    def warehouse_load_history(self, e: DataFrame | None = None) -> DataFrame:
+        e = self.read("events") if e is None else e
         return conform(e.groupBy(
             F.col("event_type").alias("warehouse_name"), hour_start(F.col("ts")).alias("start_time"),
         ).agg(
@@ -160,8 +171,8 @@ class DriverBridge:
             _plus_hour(F.col("o_orderdate")).alias("end_time"), _credits(F.col("o_totalprice")).alias("credits_used"),
         ), "replication_usage_history")
 
-    def storage_usage(self) -> DataFrame:
-        o = self.read("orders")
+    def storage_usage(self, o: DataFrame | None = None) -> DataFrame:
+        o = self.read("orders") if o is None else o
         return conform(o.groupBy(F.to_date("o_orderdate").alias("usage_date")).agg(
             (F.sum("o_orderkey").cast("bigint") * 1_000_000).alias("storage_bytes"),
             (F.sum("o_custkey").cast("bigint") * 1_000_000).alias("stage_bytes"),
@@ -229,8 +240,44 @@ class DriverBridge:
         )
         return conform(timeouts.unionByName(zones), "parameters")
 
+    def _orders_between(self, lo, hi) -> DataFrame:
+        """Orders of every day that can fall in [lo, hi), whole days kept."""
+        o = self.read("orders")
+        if lo is not None:
+            o = o.filter(F.col("o_orderdate") >= ts_lit(_floor_day(lo)))
+        if hi is not None:
+            o = o.filter(F.col("o_orderdate") < ts_lit(_ceil_day(hi)))
+        return o
+
     def tables(self) -> Tables:
-        return Tables({name: getattr(self, name) for name in SCHEMAS})
+        # Metering, load history and storage are aggregates whose time column
+        # is computed, so a time filter on them cannot reach the raw scan;
+        # their bounded readers filter the raw rows first (by whole hours or
+        # days, so every qualifying group keeps all its rows).
+        bounded = {
+            "warehouse_metering_history": lambda lo, hi: self.warehouse_metering_history(self._events_between(lo, hi)),
+            "warehouse_load_history": lambda lo, hi: self.warehouse_load_history(self._events_between(lo, hi)),
+            "storage_usage": lambda lo, hi: self.storage_usage(self._orders_between(lo, hi)),
+        }
+        return Tables({name: getattr(self, name) for name in SCHEMAS}, bounded=bounded)
+
+
+def _floor_hour(t):
+    return t.replace(minute=0, second=0, microsecond=0)
+
+
+def _ceil_hour(t):
+    floor = _floor_hour(t)
+    return floor if floor == t else floor + dt.timedelta(hours=1)
+
+
+def _floor_day(t):
+    return t.replace(hour=0, minute=0, second=0, microsecond=0)
+
+
+def _ceil_day(t):
+    floor = _floor_day(t)
+    return floor if floor == t else floor + dt.timedelta(days=1)
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:

@@ -92,16 +92,25 @@ PARTITIONING: dict[str, tuple[str, str]] = {
 Source = DataFrame | Callable[[], DataFrame]
 
 
+# A bounded reader returns the rows of a table whose time column may lie in
+# [lo, hi) -- a superset is fine, the exact filter is applied afterwards.
+BoundedReader = Callable[[dt.datetime | None, dt.datetime | None], DataFrame]
+
+
 class Tables:
     """Named telemetry DataFrames, resolved lazily and memoised per name.
 
     A table that carries its date partition column (see ``PARTITIONING``)
-    gets a predicate on it from ``since``.
+    gets a predicate on it from ``since``/``between``.  A source may also
+    register a *bounded reader* for a table: a way to read only a time range
+    that is cheaper than filtering the whole table (used for tables derived
+    by aggregation, whose time column is an expression the scan cannot see).
     """
 
-    def __init__(self, sources: Mapping[str, Source]):
+    def __init__(self, sources: Mapping[str, Source], bounded: Mapping[str, BoundedReader] | None = None):
         self._sources = dict(sources)
         self._frames: dict[str, DataFrame] = {}
+        self._bounded = dict(bounded or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -125,15 +134,32 @@ class Tables:
         a pushed filter; on a date-partitioned table the matching partition
         predicate prunes whole folders first.
         """
+        return self.between(name, cut, None, strict=strict, column=column)
+
+    def between(self, name: str, lo: dt.datetime | None, hi: dt.datetime | None, *, strict: bool = False,
+                column: str | None = None) -> DataFrame:
+        """Rows of ``name`` with ``lo <= time < hi`` (``lo < time`` if strict);
+        either bound may be None."""
         time_col, part_col = PARTITIONING.get(name, (None, None))
-        column = column or time_col
+        column = column or time_col or ("usage_date" if name == "storage_usage" else None)
         if column is None:
             raise ValueError(f"{name!r} has no time column; pass column=")
-        df = self[name]
-        if part_col and column == time_col and part_col in df.columns:
-            df = df.filter(F.col(part_col) >= F.lit(cut.date()))
-        lit = ts_lit(cut)
-        return df.filter(F.col(column) > lit if strict else F.col(column) >= lit)
+        natural = column == (time_col or column)
+        if natural and name in self._bounded:
+            df = self._bounded[name](lo, hi)
+        else:
+            df = self[name]
+        if natural and part_col and part_col in df.columns:
+            if lo is not None:
+                df = df.filter(F.col(part_col) >= F.lit(lo.date()))
+            if hi is not None:
+                df = df.filter(F.col(part_col) <= F.lit(hi.date()))
+        col = F.col(column)
+        if lo is not None:
+            df = df.filter(col > ts_lit(lo) if strict else col >= ts_lit(lo))
+        if hi is not None:
+            df = df.filter(col < ts_lit(hi))
+        return df
 
     def validate(self, names: list[str] | None = None) -> None:
         """Check that each table has the declared columns with castable types.

@@ -58,3 +58,24 @@ def test_from_parquet_accepts_utc_timestamps(spark):
     want = sorted(map(tuple, REPORTS["query_volume_by_hour"](driver_tables(spark, SF001),
                                                              dt.datetime(2024, 1, 31)).collect()))
     assert got == want
+
+
+def test_bounded_readers_equal_filtering_the_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    t = driver_tables(spark, SF001)
+    plain = Tables({n: t[n] for n in ["warehouse_metering_history", "warehouse_load_history", "storage_usage"]})
+    cuts = [(dt.datetime(2024, 1, 15, 0, 30), None, False), (dt.datetime(2024, 1, 15), None, True),
+            (dt.datetime(2024, 1, 10, 7, 0, 0, 1), dt.datetime(2024, 1, 20, 3, 15), False)]
+    for name in ["warehouse_metering_history", "warehouse_load_history"]:
+        for lo, hi, strict in cuts:
+            a = sorted(map(tuple, t.between(name, lo, hi, strict=strict).collect()))
+            b = sorted(map(tuple, plain.between(name, lo, hi, strict=strict).collect()))
+            assert a == b and a, (name, lo, hi, strict)
+    lo, hi = dt.datetime(1998, 3, 1, 12), dt.datetime(1998, 6, 2, 1)
+    a = sorted(map(tuple, t.between("storage_usage", lo, hi).collect()))
+    b = sorted(map(tuple, plain.between("storage_usage", lo, hi).collect()))
+    assert a == b and a
+    plan = t.since("warehouse_metering_history", dt.datetime(2024, 1, 15))._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-15T00:00)" in plan
