@@ -116,8 +116,13 @@ def _usage_for_allocation(t: Tables, as_of, months: int) -> DataFrame:
                     hour_start(F.col("start_time")).alias("hour"), "execution_time"))
 
 
-def _hour_cost(t: Tables) -> DataFrame:
-    return t[WMH].select("warehouse_name", F.col("start_time").alias("hour"), "credits_used")
+def _hour_cost(t: Tables, as_of, months: int) -> DataFrame:
+    """Metering of the hours the allocated queries can start in: every such
+    hour begins at or after the hour holding the cut-off, so earlier
+    metering is never joined and need not be read."""
+    cut = add_months(as_datetime(as_of), -months)
+    first_hour = cut.replace(minute=0, second=0, microsecond=0)
+    return t.since(WMH, first_hour).select("warehouse_name", F.col("start_time").alias("hour"), "credits_used")
 
 
 def credits_by_user(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -127,7 +132,7 @@ def credits_by_user(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame
     their summed execution time in that hour.
     """
     usage = _usage_for_allocation(t, as_of, months)
-    out = allocate_by_share(usage, _hour_cost(t), who="user_name", slot=["warehouse_name", "hour"],
+    out = allocate_by_share(usage, _hour_cost(t, as_of, months), who="user_name", slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
     return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
         F.col("approximate_credits_used").desc(), "user_name", "warehouse_name")
@@ -147,7 +152,7 @@ def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
     named = per_session.join(sessions, on="session_id", how="inner").select(
         client_family(F.col("client_application_id")).alias("client_application_name"),
         "warehouse_name", "hour", "execution_time")
-    out = allocate_by_share(named, _hour_cost(t), who="client_application_name", slot=["warehouse_name", "hour"],
+    out = allocate_by_share(named, _hour_cost(t, as_of, months), who="client_application_name", slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
     return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
         F.col("approximate_credits_used").desc(), "client_application_name", "warehouse_name")
