@@ -156,9 +156,11 @@ def execution_time_buckets(t: Tables, as_of: dt.datetime, warehouse: str, weeks:
 
 def _full_scans(t: Tables, as_of, months: int, fraction: float) -> DataFrame:
     cut = add_months(as_datetime(as_of), -months)
-    return t.since(QH, cut).filter(
-        (F.col("partitions_scanned") > F.col("partitions_total") * F.lit(fraction))
-        & ~F.col("query_type").startswith("CREATE"))
+    scanned, total = F.col("partitions_scanned"), F.col("partitions_total")
+    # The column-to-column test implies a pushable one (see ``spill_ratio``).
+    implied = (scanned > 0) | (total < 0) if fraction >= 0 else F.lit(True)
+    return t.since(QH, cut).filter(implied).filter(
+        (scanned > total * F.lit(fraction)) & ~F.col("query_type").startswith("CREATE"))
 
 
 def full_scan_users(t: Tables, as_of: dt.datetime, months: int = 1, fraction: float = 0.95) -> DataFrame:
@@ -198,7 +200,13 @@ def spill_ratio(t: Tables, factor: float = 5) -> DataFrame:
     A query that scanned 0 bytes but spilled passes the test; its ratio is
     NULL (no division by zero).
     """
-    q = t[QH].filter(F.col("bytes_spilled_to_remote_storage") > F.col("bytes_scanned") * F.lit(factor))
+    spilled, scanned = F.col("bytes_spilled_to_remote_storage"), F.col("bytes_scanned")
+    # ``spilled > scanned * factor`` compares two columns, which no file
+    # reader can use.  It implies ``spilled > 0 or scanned < 0`` (factor >= 0),
+    # which the parquet reader can test against row-group statistics, so
+    # row groups without any spill are skipped.  Both are applied: exact.
+    implied = (spilled > 0) | (scanned < 0) if factor >= 0 else F.lit(True)
+    q = t[QH].filter(implied).filter(spilled > scanned * F.lit(factor))
     return q.select(
         "query_id", "user_name", "warehouse_name", "warehouse_size", "bytes_scanned", "bytes_spilled_to_remote_storage",
         F.try_divide(F.col("bytes_spilled_to_remote_storage"), F.col("bytes_scanned")).alias("spilling_read_ratio"),

@@ -14,6 +14,16 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _formatted(df) -> str:
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
 @pytest.fixture(scope="module")
 def plans(spark):
     return {name: _plan(build(spark, SF001)) for name, build in entry.queries().items()}
@@ -62,6 +72,12 @@ def test_partitioned_tables_prune_by_date(spark):
     got = sorted(map(tuple, df.collect()))
     want = sorted(map(tuple, REPORTS["credits_by_user"](bridge, as_of=dt.datetime(2024, 2, 15)).collect()))
     assert got == want
+    spill = _formatted(REPORTS["spill_ratio"](stored))
+    assert "Or(GreaterThan(bytes_spilled_to_remote_storage,0),LessThan(bytes_scanned,0))" in spill
+    scans = _formatted(REPORTS["full_scan_users"](stored, as_of=dt.datetime(2024, 2, 15)))
+    assert "Or(GreaterThan(partitions_scanned,0),LessThan(partitions_total,0))" in scans
+    assert sorted(map(tuple, REPORTS["spill_ratio"](stored).collect())) == \
+        sorted(map(tuple, REPORTS["spill_ratio"](bridge).collect()))
 
 
 def test_single_partition_exchanges_only_over_bounded_rows(plans):
