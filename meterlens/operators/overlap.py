@@ -27,8 +27,10 @@ def hourly_overlap(intervals: DataFrame, *, key: str, start: str = "start_time",
 
     Instead of a range join (a nested loop per key), each interval is
     exploded into the hours it touches -- a per-row generator bounded by the
-    interval's own length -- and the pairs are aggregated per (key, hour)
-    with a map-side partial aggregate, so only aggregated rows shuffle.
+    interval's own length (statement timeouts bound query durations: the
+    platform default of two days gives at most 49 rows per query) -- and the
+    pairs are aggregated per (key, hour) with a map-side partial aggregate,
+    so only aggregated rows shuffle.
     """
     s, e = F.col(start), F.col(end)
     first = hour_start(s - F.expr("INTERVAL 1 MICROSECOND"))

@@ -19,6 +19,18 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """Range partitions for numbering: at least the shuffle setting, and at
+    least as many as the input has splits, so partition size follows the
+    data instead of a fixed count."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, df.rdd.getNumPartitions())
+    except Exception:  # no RDD access (e.g. Spark Connect): keep the setting
+        pass
+    return n
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "row_number",
                       partitions: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` without a single-partition window.
@@ -40,7 +52,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "ro
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _range_partitions(df)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Persist so writing the checkpoint does not sort a second time; the
