@@ -52,9 +52,39 @@ UNMAPPED_CLIENT = "NOT YET MAPPED: "
 
 # Storage list price in dollars per TB-month.
 STORAGE_DOLLARS_PER_TB_MONTH = 23
+
+# Links to a query's profile; {query_id} is filled from the query log.
+QUERY_DETAIL_URL = "https://{account}.snowflakecomputing.com/console#/monitoring/queries/detail?queryId={query_id}"
+QUERY_HISTORY_URL = ("https://app.snowflake.com/{region}/{account}/compute/history/queries/{query_id}"
+                     "/detail?autoRefreshInSeconds=0")
+
+# Cost ledger: group label per metered source, then the measure types.
+LEDGER_GROUPS = [
+    ("warehouse_metering_history", "WH Compute"),
+    ("pipe_usage_history", "Snowpipe"),
+    ("automatic_clustering_history", "Auto Clustering"),
+    ("materialized_view_refresh_history", "Materialized Views"),
+    ("search_optimization_history", "Search Optimization"),
+    ("replication_usage_history", "Replication"),
+    ("storage_usage", "Storage"),
+]
+MEASURE_ACTUAL, MEASURE_PROJECTED, MEASURE_CONTRACT = "ACTUAL COMPUTE", "PROJECTED COMPUTE", "CONTRACT VALUES"
+
+# Load method: without a pipe, with a pipe.
+INGEST_BULK, INGEST_PIPE = "COPY", "SNOWPIPE"
+
+# Task run states, and the statement-timeout parameter name.
+TASK_FAILED, TASK_SUCCEEDED = "FAILED", "SUCCEEDED"
+TIMEOUT_PARAMETER = "STATEMENT_TIMEOUT_IN_SECONDS"
 # --- end of fixed values ------------------------------------------------------
 
 
+def url_for_query(template: str, query_id: Column, **parts: str) -> Column:
+    """Fill a profile-link template: text parts now, ``{query_id}`` per row."""
+    before, after = template.split("{query_id}")
+    return F.concat(F.lit(before.format(**parts)), query_id, F.lit(after.format(**parts)))
+
+
 def div0(numerator: Column, denominator: Column) -> Column:
     """Division that yields 0 for a zero divisor (NULL stays NULL)."""
     return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)

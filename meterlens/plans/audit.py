@@ -11,10 +11,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import TIMEOUT_PARAMETER
 from ..functions.time import add_months, as_datetime, ts_lit
 from ..sources.tables import SCHEMAS, Tables
 
-TIMEOUT_PARAMETER = "STATEMENT_TIMEOUT_IN_SECONDS"
 
 
 def _columns(name: str) -> list[str]:

@@ -8,7 +8,9 @@ from decimal import ROUND_HALF_UP, Decimal, localcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import STORAGE_DOLLARS_PER_TB_MONTH, rounded
+from ..functions.scalar import (
+    LEDGER_GROUPS, MEASURE_ACTUAL, MEASURE_CONTRACT, MEASURE_PROJECTED, STORAGE_DOLLARS_PER_TB_MONTH, rounded,
+)
 from ..functions.time import add_months, as_datetime, ts_lit
 from ..operators.calendar import calendar_days
 from ..sources.tables import Tables
@@ -91,22 +93,22 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00", lo: dt.datetime
     def metered(table: str, group: str, name: Column) -> DataFrame:
         df = read(table)
         return _branch(df, group, name, F.col("start_time"), F.col("end_time"), F.col("credits_used"), price,
-                       p * F.col("credits_used"), "ACTUAL COMPUTE")
-
-    parts = [
-        metered("warehouse_metering_history", "WH Compute", F.col("warehouse_name")),
-        metered("pipe_usage_history", "Snowpipe", F.col("pipe_name")),
-        metered("automatic_clustering_history", "Auto Clustering", _object_name()),
-        metered("materialized_view_refresh_history", "Materialized Views", _object_name()),
-        metered("search_optimization_history", "Search Optimization", _object_name()),
-        metered("replication_usage_history", "Replication", F.col("database_name")),
-    ]
+                       p * F.col("credits_used"), MEASURE_ACTUAL)
+
+    names = {
+        "warehouse_metering_history": F.col("warehouse_name"), "pipe_usage_history": F.col("pipe_name"),
+        "automatic_clustering_history": _object_name(), "materialized_view_refresh_history": _object_name(),
+        "search_optimization_history": _object_name(), "replication_usage_history": F.col("database_name"),
+    }
+    groups = dict(LEDGER_GROUPS)
+    parts = [metered(table, groups[table], name) for table, name in names.items()]
     su = read("storage_usage")
     days_in_month = F.dayofmonth(F.last_day("usage_date"))
     total_bytes = F.col("storage_bytes") + F.col("stage_bytes") + F.col("failsafe_bytes")
     storage_dollars = rounded(total_bytes / F.lit(float(_TB)) * STORAGE_DOLLARS_PER_TB_MONTH / days_in_month)
-    parts.append(_branch(su, "Storage", F.lit("Storage"), F.col("usage_date"), F.col("usage_date"), None, price,
-                         storage_dollars, "ACTUAL COMPUTE"))
+    storage = groups["storage_usage"]
+    parts.append(_branch(su, storage, F.lit(storage), F.col("usage_date"), F.col("usage_date"), None, price,
+                         storage_dollars, MEASURE_ACTUAL))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -129,9 +131,9 @@ def billing_ledger(t: Tables, credit_price: float | str = "4.00", term_start: dt
     days = calendar_days(t["warehouse_metering_history"].sparkSession, c.start.date(), c.end.date())
     day_ts = F.col("d_date").cast("timestamp_ntz")
     projected = _branch(days, None, F.lit(None), day_ts, day_ts, c.credits_per_day(), c.price, c.dollars_per_day(),
-                        "PROJECTED COMPUTE")
+                        MEASURE_PROJECTED)
     contract = _branch(days.sparkSession.range(1), None, F.lit(None), F.lit(None), F.lit(None), None, c.price,
-                       F.lit(c.amount), "CONTRACT VALUES")
+                       F.lit(c.amount), MEASURE_CONTRACT)
     return actual_costs(t, credit_price).unionByName(projected).unionByName(contract).select(*LEDGER_COLUMNS)
 
 

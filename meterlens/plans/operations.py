@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rounded
+from ..functions.scalar import INGEST_BULK, INGEST_PIPE, TASK_FAILED, TASK_SUCCEEDED, rounded
 from ..functions.time import as_datetime, seconds_crossed
 from ..sources.tables import SCHEMAS, Tables
 
@@ -18,7 +18,7 @@ def ingest_daily(t: Tables) -> DataFrame:
     """Loads per day, status, table and method (bulk copy vs continuous pipe):
     rows loaded and parsed, mean file size and total size in B/KB/MB/GB/TB."""
     ch = t["copy_history"]
-    method = F.when(F.col("pipe_name").isNull(), "COPY").otherwise("SNOWPIPE")
+    method = F.when(F.col("pipe_name").isNull(), INGEST_BULK).otherwise(INGEST_PIPE)
     total = F.sum("file_size")
     sizes = [(total / float(1024 ** i)).alias(f"total_file_size_{unit}")
              for i, unit in enumerate(["kb", "mb", "gb", "tb"], start=1)]
@@ -39,14 +39,14 @@ def ingest_daily(t: Tables) -> DataFrame:
 def failed_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Task runs that failed in the last ``days``; newest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
-    return (t.since("task_history", cut).filter(F.col("state") == "FAILED").select(*_TASK_COLUMNS)
+    return (t.since("task_history", cut).filter(F.col("state") == TASK_FAILED).select(*_TASK_COLUMNS)
             .orderBy(F.col("query_start_time").desc(), "task_id"))
 
 
 def long_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Successful task runs of the last ``days`` with their duration; longest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
-    runs = t.since("task_history", cut).filter(F.col("state") == "SUCCEEDED")
+    runs = t.since("task_history", cut).filter(F.col("state") == TASK_SUCCEEDED)
     return runs.select(
         seconds_crossed(F.col("query_start_time"), F.col("completed_time")).alias("duration_seconds"), *_TASK_COLUMNS,
     ).orderBy(F.col("duration_seconds").desc(), "task_id")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import div0, rounded, warehouse_nodes
+from ..functions.scalar import QUERY_DETAIL_URL, QUERY_HISTORY_URL, div0, rounded, url_for_query, warehouse_nodes
 from ..functions.time import add_months, as_datetime, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.buckets import bucket_counts
 from ..operators.ranking import global_row_number, top_k
@@ -21,8 +21,7 @@ _MS_PER = {"seconds": 1000, "minutes": 1000 * 60, "hours": 1000 * 60 * 60}
 
 
 def _query_url(account: str, query_id) -> F.Column:
-    return F.concat(F.lit(f"https://{account}.snowflakecomputing.com/console#/monitoring/queries/detail?queryId="),
-                    query_id)
+    return url_for_query(QUERY_DETAIL_URL, query_id, account=account)
 
 
 def _day_after_months_before(as_of, months: int) -> dt.datetime:
@@ -129,8 +128,7 @@ def most_scanned_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int
     q = _scan_candidates(t, as_of, months)
     order = [F.col("partitions_scanned").desc(), F.col("query_id")]
     top = top_k(q, order, n)
-    url = F.concat(F.lit(f"https://app.snowflake.com/{region}/{account}/compute/history/queries/"),
-                   F.col("query_id"), F.lit("/detail?autoRefreshInSeconds=0"))
+    url = url_for_query(QUERY_HISTORY_URL, F.col("query_id"), account=account, region=region)
     return top.select(
         "query_id", url.alias("query_profile_url"),
         F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("query_id_int"), "query_text",

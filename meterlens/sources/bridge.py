@@ -19,11 +19,17 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import CLIENT_PREFIXES, TASK_FAILED, TASK_SUCCEEDED, TIMEOUT_PARAMETER
 from ..functions.time import hour_start, ts_lit
 from .tables import SCHEMAS, Tables, conform
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+# Client application ids handed to sessions in turn: one of each known
+# family (prefix plus a version), one unknown client and one missing id.
+FIXTURE_CLIENT_IDS = [prefix + version for (prefix, _), version in
+                      zip(CLIENT_PREFIXES, ["1.1", "2", "1.2", "3.13", "2.7", "2.2"])] + ["Custom 1", None]
+
 
 def _credits(col):
     return col.cast("decimal(18,2)")
@@ -115,18 +121,18 @@ class DriverBridge:
 
     def task_history(self) -> DataFrame:
         e = self._events()
-        state = (F.when(F.col("event_type") == "error", "FAILED")
-                 .when(F.col("event_type") == "signup", "SKIPPED").otherwise("SUCCEEDED"))
+        state = (F.when(F.col("event_type") == "error", TASK_FAILED)
+                 .when(F.col("event_type") == "signup", "SKIPPED").otherwise(TASK_SUCCEEDED))
         return conform(e.select(
             F.col("event_id").alias("task_id"), state.alias("state"), F.col("ts").alias("query_start_time"),
             _plus_seconds(F.col("ts"), F.col("cents")).alias("completed_time"),
         ), "task_history")
 
     def sessions(self) -> DataFrame:
-        u = F.col("user_id") % 8
-        client = (F.when(u == 0, "Go 1.1").when(u == 1, "Snowflake UI 2").when(u == 2, "SnowSQL 1.2")
-                  .when(u == 3, "JDBC 3.13").when(u == 4, "PythonConnector 2.7").when(u == 5, "ODBC 2.2")
-                  .when(u == 6, "Custom 1"))
+        u = F.col("user_id") % len(FIXTURE_CLIENT_IDS)
+        client = F.lit(None).cast("string")
+        for i, client_id in reversed(list(enumerate(FIXTURE_CLIENT_IDS))):
+            client = F.when(u == i, F.lit(client_id).cast("string")).otherwise(client)
         return conform(self.read("events").select("user_id").distinct().select(
             F.col("user_id").alias("session_id"), client.alias("client_application_id")), "sessions")
 
@@ -231,7 +237,7 @@ class DriverBridge:
         r = F.col("s_nationkey") % 3
         level = F.when(r == 0, "ACCOUNT").when(r == 1, "WAREHOUSE").otherwise("USER")
         timeouts = s.select(
-            F.lit("STATEMENT_TIMEOUT_IN_SECONDS").alias("name"), level.alias("level"),
+            F.lit(TIMEOUT_PARAMETER).alias("name"), level.alias("level"),
             F.col("s_name").alias("object"), (F.col("s_suppkey") % 4 * 600).cast("bigint").alias("value"),
         )
         zones = self.read("region").select(
