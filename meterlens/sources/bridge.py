@@ -76,7 +76,7 @@ class DriverBridge:
             _plus_seconds(F.col("ts"), F.col("cents")).alias("end_time"),
             (F.col("cents") * 1000).alias("execution_time"),
             (F.col("cents") * 10).alias("total_elapsed_time"),
-            F.when(F.col("event_type") == "error", F.lit(1)).alias("error_code"),
+            F.when(F.col("event_type") == "error", F.lit("1")).alias("error_code"),
             F.col("k").alias("partitions_scanned"),
             F.when(F.col("k") == 0, 0).otherwise(100).alias("partitions_total"),
             (F.col("k") * 1000).alias("bytes_scanned"),

@@ -38,7 +38,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("query_id", _S), ("query_text", _S), ("query_type", _S), ("user_name", _S),
         ("role_name", _S), ("warehouse_name", _S), ("warehouse_size", _S), ("session_id", _L),
         ("start_time", _TS), ("end_time", _TS), ("execution_time", _L), ("total_elapsed_time", _L),
-        ("error_code", _I), ("partitions_scanned", _L), ("partitions_total", _L),
+        ("error_code", _S), ("partitions_scanned", _L), ("partitions_total", _L),
         ("bytes_scanned", _L), ("bytes_spilled_to_remote_storage", _L),
         ("percentage_scanned_from_cache", T.DecimalType(5, 2)),
     ),
