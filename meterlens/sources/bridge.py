@@ -211,7 +211,7 @@ class DriverBridge:
         n = self.read("nation")
         return conform(n.select(
             F.concat(F.lit("role_"), F.col("n_nationkey").cast("string")).alias("name"),
-            F.when(F.col("n_nationkey") == 9, F.lit("2024-01-01")).alias("deleted_on"),
+            F.when(F.col("n_nationkey") == 9, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("deleted_on"),
         ), "roles")
 
     def warehouses(self) -> DataFrame:

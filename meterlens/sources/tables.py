@@ -64,7 +64,7 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
     "sessions": _schema(("session_id", _L), ("client_application_id", _S)),
     "users": _schema(("name", _S), ("last_success_login", _TS), ("deleted_on", _TS)),
-    "roles": _schema(("name", _S), ("deleted_on", _S)),
+    "roles": _schema(("name", _S), ("deleted_on", _TS)),
     "task_history": _schema(("task_id", _L), ("state", _S), ("query_start_time", _TS), ("completed_time", _TS)),
     "warehouses": _schema(
         ("name", _S), ("size", _S), ("auto_suspend", _L), ("auto_resume", _S), ("resource_monitor", _S),

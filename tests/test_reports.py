@@ -77,7 +77,7 @@ def test_most_expensive_size_lookup(spark):
 
 
 def test_idle_roles_and_users(spark):
-    roles = [dict(name="r"), dict(name="idle"), dict(name="gone", deleted_on="2024-01-01"), dict(name=None)]
+    roles = [dict(name="r"), dict(name="idle"), dict(name="gone", deleted_on=dt.datetime(2024, 1, 1)), dict(name=None)]
     qh = [_qh(1, role_name="r"), _qh(2, role_name=None), _qh(3, role_name="idle", start_time=dt.datetime(2023, 1, 1))]
     out = sorted((r.name or "") for r in REPORTS["idle_roles"](_tables(spark, roles=roles, query_history=qh), AS_OF)
                  .collect())
