@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import client_family, rounded
-from ..functions.time import add_months, as_datetime, hour_start, next_midnight_or_same, start_of_day
+from ..functions.time import add_months, as_datetime, hour_start, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.allocate import allocate_by_share
 from ..operators.overlap import hourly_overlap
 from ..operators.rollups import SUM_DECIMAL
@@ -108,21 +108,28 @@ def cost_per_query(t: Tables, as_of: dt.datetime, months: int = 1, credit_price:
                                                                         "warehouse_name")
 
 
+def _first_hour(as_of, months: int) -> dt.datetime:
+    """The hour holding the cut-off: every allocated query starts in it or later."""
+    return add_months(as_datetime(as_of), -months).replace(minute=0, second=0, microsecond=0)
+
+
 def _usage_for_allocation(t: Tables, as_of, months: int) -> DataFrame:
     cut = add_months(as_datetime(as_of), -months)
-    return (t.since(QH, cut, strict=True)
-            .filter(F.col("warehouse_name").isNotNull() & (F.col("execution_time") > 0))
-            .select("user_name", "session_id", "warehouse_name",
-                    hour_start(F.col("start_time")).alias("hour"), "execution_time"))
+    usage = (t.since(QH, cut, strict=True)
+             .filter(F.col("warehouse_name").isNotNull() & (F.col("execution_time") > 0))
+             .select("user_name", "session_id", "warehouse_name",
+                     hour_start(F.col("start_time")).alias("hour"), "execution_time"))
+    # Implied by the cut; stated so that the bound Spark infers from the
+    # bounded metering join is already present in every branch that reads
+    # this frame (identical branches share one shuffle stage).
+    return usage.filter(F.col("hour") >= ts_lit(_first_hour(as_of, months)))
 
 
 def _hour_cost(t: Tables, as_of, months: int) -> DataFrame:
-    """Metering of the hours the allocated queries can start in: every such
-    hour begins at or after the hour holding the cut-off, so earlier
-    metering is never joined and need not be read."""
-    cut = add_months(as_datetime(as_of), -months)
-    first_hour = cut.replace(minute=0, second=0, microsecond=0)
-    return t.since(WMH, first_hour).select("warehouse_name", F.col("start_time").alias("hour"), "credits_used")
+    """Metering of the hours the allocated queries can start in (earlier
+    metering is never joined, so it is not read)."""
+    return t.since(WMH, _first_hour(as_of, months)).select(
+        "warehouse_name", F.col("start_time").alias("hour"), "credits_used")
 
 
 def credits_by_user(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:

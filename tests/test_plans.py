@@ -93,3 +93,13 @@ def test_windows_only_over_aggregated_or_bounded_frames(plans):
     allowed = {"warehouse_over_7day_avg", "role_segmentation", "usage_forecast", "longest_queries",
                "most_scanned_queries"}
     assert {n for n, p in plans.items() if "Window" in p} <= allowed
+
+
+def test_allocation_reads_the_log_once(spark):
+    # Per-user shares and slot totals come from one aggregate of the log;
+    # the two branches must stay identical so AQE runs that stage once.
+    df = entry.queries()["credits_by_user"](spark, SF001)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+    assert final.count("FileScan") == 2  # the log once, metering once
