@@ -100,13 +100,21 @@ def longest_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int = 50,
     by partitions scanned among *all* qualifying queries.
 
     The label is a global row number.  It is computed distributed on a
-    narrow (id, partitions) projection (``global_row_number``) and joined to
-    the ``n`` survivors, which are broadcast (their size is the limit).
+    narrow (id, partitions) projection (``global_row_number``) of the
+    queries that can precede a survivor, and joined to the ``n`` survivors,
+    which are broadcast (their size is the limit).
     """
     q = _scan_candidates(t, as_of, months)
     survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n)
-    ranked = global_row_number(q.select("query_id", "partitions_scanned"),
-                               [F.col("partitions_scanned").desc(), F.col("query_id")], name="query_id_int")
+    # A query that scanned fewer partitions than every survivor ranks after
+    # all of them, so only queries at or above the survivors' minimum need a
+    # number (a scalar subquery over the <= n survivors; exact).
+    floor = top_k(q.select("query_id", "total_elapsed_time", "partitions_scanned"),
+                  [F.col("total_elapsed_time").desc(), F.col("query_id")], n).agg(
+        F.min("partitions_scanned")).scalar()
+    contenders = q.filter(F.col("partitions_scanned") >= floor).select("query_id", "partitions_scanned")
+    ranked = global_row_number(contenders, [F.col("partitions_scanned").desc(), F.col("query_id")],
+                               name="query_id_int")
     # The survivors are at most ``n`` rows; hint a broadcast only while that
     # bound is small, otherwise leave the choice to AQE's measured sizes.
     small = F.broadcast(survivors) if n <= BROADCAST_ROW_LIMIT else survivors

@@ -168,3 +168,16 @@ def test_reports_do_not_depend_on_session_time_zone(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert other == base
+
+
+def test_longest_queries_rank_is_global(spark):
+    import random
+
+    rnd = random.Random(11)
+    qh = [_qh(i, total_elapsed_time=rnd.randrange(1, 10_000), partitions_scanned=rnd.choice([0, 1, 5, 5, 9, 40, 80]),
+              start_time=dt.datetime(2024, 2, 1, 10)) for i in range(300)]
+    out = REPORTS["longest_queries"](_tables(spark, query_history=qh), AS_OF, n=7).collect()
+    by_rank = sorted(qh, key=lambda r: (-r["partitions_scanned"], r["query_id"]))
+    rank = {r["query_id"]: i + 1 for i, r in enumerate(by_rank)}
+    longest = sorted(qh, key=lambda r: (-r["total_elapsed_time"], r["query_id"]))[:7]
+    assert [(r.query_id, r.query_id_int) for r in out] == [(r["query_id"], rank[r["query_id"]]) for r in longest]
