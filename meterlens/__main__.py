@@ -1,7 +1,7 @@
 """Run one report or a section and write the results.
 
-    spark-submit -m meterlens credits_by_user --tables /data/telemetry \
-        --as-of 2024-02-15 --out /data/reports
+    python -m meterlens credits_by_user --tables /data/telemetry --as-of 2024-02-15 --out /data/reports
+    python -m meterlens idle_roles --database telemetry --as-of 2024-02-15 --out /data/reports
     python -m meterlens --section billing --tables /data/telemetry --as-of 2024-02-15 --out /data/reports
 """
 
@@ -30,7 +30,9 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="meterlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     ap.add_argument("report", nargs="?", choices=sorted(REPORTS))
     ap.add_argument("--section", choices=sorted(SECTIONS))
-    ap.add_argument("--tables", required=True, help="folder of telemetry tables (one sub-folder per table)")
+    source = ap.add_mutually_exclusive_group(required=True)
+    source.add_argument("--tables", help="folder of telemetry tables (one sub-folder per table)")
+    source.add_argument("--database", help="catalog database holding the telemetry tables")
     ap.add_argument("--as-of", help="evaluation instant, ISO format")
     ap.add_argument("--param", action="append", default=[], help="report parameter as key=value")
     ap.add_argument("--out", required=True, help="output folder; one sub-folder per report")
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
         ap.error("give a report or --section")
 
     spark = SparkSession.builder.appName("meterlens").getOrCreate()
-    t = Tables.from_parquet(spark, args.tables)
+    t = Tables.from_parquet(spark, args.tables) if args.tables else Tables.from_catalog(spark, args.database)
     as_of = as_datetime(args.as_of) if args.as_of else None
     params = dict(p.split("=", 1) for p in args.param)
     params = {k: _value(v) for k, v in params.items()}
