@@ -68,9 +68,12 @@ def test_hourly_overlap_edges(spark):
         ("a", T0 + H - us, T0 + H + us, 2),                                # crosses the edge by microseconds
         ("b", T0 + dt.timedelta(seconds=0.9), T0 + H + dt.timedelta(seconds=1.1), 10),
         ("b", T0, T0, None),                                               # NULL duration, exactly on the hour
+        ("b", T0 + 3 * H + dt.timedelta(minutes=20), T0 + 3 * H + dt.timedelta(minutes=5), 7),  # ends before it starts
+        ("b", T0 + 2 * H + dt.timedelta(minutes=5), T0 + H + dt.timedelta(minutes=50), 8),    # ends an hour early
     ]
     windows = [(wh, T0 + k * H) for wh in "ab" for k in range(-1, 5)]
-    got = hourly_overlap(spark.createDataFrame(queries, QUERY_SCHEMA), key="warehouse_name").collect()
+    with_nulls = queries + [("a", None, T0 + H, 1), ("a", T0, None, 1)]  # NULL times never match
+    got = hourly_overlap(spark.createDataFrame(with_nulls, QUERY_SCHEMA), key="warehouse_name").collect()
     mine = {(r["warehouse_name"], r["hour"]): (round((r["contained_ms"] or 0) / 1000 + (r["partial_seconds"] or 0), 6),
                                                r["pairs"]) for r in got}
     mine = {k: v for k, v in mine.items() if k in set(windows)}
