@@ -79,3 +79,31 @@ def test_bounded_readers_equal_filtering_the_whole_table(spark):
     plan = t.since("warehouse_metering_history", dt.datetime(2024, 1, 15))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-15T00:00)" in plan
+
+
+def test_output_and_link_helpers(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from meterlens.functions import QUERY_DETAIL_URL, to_output, url_for_query
+
+    df = spark.createDataFrame([(Decimal("1.50"), "q1", 3)], "c decimal(18,2), id string, n int")
+    out = to_output(df)
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["double", "string", "int"]
+    link = df.select(url_for_query(QUERY_DETAIL_URL, F.col("id"), account="acct").alias("u")).first().u
+    assert link.startswith("https://acct.") and link.endswith("queryId=q1")
+
+
+def test_run_report_parameters(spark):
+    import pytest
+
+    from meterlens.plans.catalog import run_report
+
+    t = driver_tables(spark, SF001)
+    with pytest.raises(ValueError, match="needs as_of"):
+        run_report(t, "idle_roles")
+    with pytest.raises(ValueError, match="warehouse"):
+        run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31))
+    df = run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31), warehouse="view", unused=1)
+    assert df.count() == 8
