@@ -19,10 +19,11 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def _range_partitions(df: DataFrame) -> int:
-    """Range partitions for numbering: at least the shuffle setting, and at
-    least as many as the input has splits, so partition size follows the
-    data instead of a fixed count."""
+def range_partitions(df: DataFrame) -> int:
+    """Range partitions for numbering ``df``: at least the shuffle setting,
+    and at least as many as the input has splits, so partition size follows
+    the data instead of a fixed count.  Pass a frame without exchanges or
+    subqueries (a filtered scan): then this only plans, it runs nothing."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
         n = max(n, df.rdd.getNumPartitions())
@@ -52,7 +53,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "ro
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or _range_partitions(df)
+    n = partitions or range_partitions(df)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Persist so writing the checkpoint does not sort a second time; the

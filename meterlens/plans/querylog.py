@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import QUERY_DETAIL_URL, QUERY_HISTORY_URL, div0, rounded, url_for_query, warehouse_nodes
 from ..functions.time import add_months, as_datetime, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.buckets import bucket_counts
-from ..operators.ranking import global_row_number, top_k
+from ..operators.ranking import global_row_number, range_partitions, top_k
 from ..operators.rollups import SUM_DECIMAL
 from ..sources.tables import SCHEMAS, Tables
 
@@ -114,7 +114,7 @@ def longest_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int = 50,
         F.min("partitions_scanned")).scalar()
     contenders = q.filter(F.col("partitions_scanned") >= floor).select("query_id", "partitions_scanned")
     ranked = global_row_number(contenders, [F.col("partitions_scanned").desc(), F.col("query_id")],
-                               name="query_id_int")
+                               name="query_id_int", partitions=range_partitions(q.select("query_id")))
     # The survivors are at most ``n`` rows; hint a broadcast only while that
     # bound is small, otherwise leave the choice to AQE's measured sizes.
     small = F.broadcast(survivors) if n <= BROADCAST_ROW_LIMIT else survivors
