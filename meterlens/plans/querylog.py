@@ -12,6 +12,7 @@ from ..functions.time import add_months, as_datetime, next_midnight_or_same, sta
 from ..operators.buckets import bucket_counts
 from ..operators.ranking import global_row_number, range_partitions, top_k
 from ..operators.rollups import SUM_DECIMAL
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import SCHEMAS, Tables
 
 QH = "query_history"
@@ -105,13 +106,14 @@ def longest_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int = 50,
     which are broadcast (their size is the limit).
     """
     q = _scan_candidates(t, as_of, months)
-    survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n)
+    # The <= n survivors are computed once and kept (a tiny checkpoint), as
+    # both the numbering bound and the final join read them.
+    ensure_checkpoint_dir(q.sparkSession)
+    survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n).checkpoint(eager=True)
     # A query that scanned fewer partitions than every survivor ranks after
     # all of them, so only queries at or above the survivors' minimum need a
-    # number (a scalar subquery over the <= n survivors; exact).
-    floor = top_k(q.select("query_id", "total_elapsed_time", "partitions_scanned"),
-                  [F.col("total_elapsed_time").desc(), F.col("query_id")], n).agg(
-        F.min("partitions_scanned")).scalar()
+    # number (a scalar subquery over the survivors; exact).
+    floor = survivors.agg(F.min("partitions_scanned")).scalar()
     contenders = q.filter(F.col("partitions_scanned") >= floor).select("query_id", "partitions_scanned")
     ranked = global_row_number(contenders, [F.col("partitions_scanned").desc(), F.col("query_id")],
                                name="query_id_int", partitions=range_partitions(q.select("query_id")))
