@@ -181,3 +181,20 @@ def test_longest_queries_rank_is_global(spark):
     rank = {r["query_id"]: i + 1 for i, r in enumerate(by_rank)}
     longest = sorted(qh, key=lambda r: (-r["total_elapsed_time"], r["query_id"]))[:7]
     assert [(r.query_id, r.query_id_int) for r in out] == [(r["query_id"], rank[r["query_id"]]) for r in longest]
+
+
+def test_reports_do_not_depend_on_ansi_mode(spark):
+    import __spark_entry__ as entry
+    from conftest import SF001
+
+    names = ["cost_per_query", "spill_ratio", "cache_usage", "warehouse_over_7day_avg", "usage_forecast",
+             "most_scanned_queries"]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    runs = {}
+    try:
+        for mode in ["true", "false"]:
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            runs[mode] = {n: sorted(map(tuple, entry.queries()[n](spark, SF001).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert runs["true"] == runs["false"]
