@@ -136,9 +136,19 @@ def rounded(col: Column, places: int = 6) -> Column:
     return F.floor(col.cast("double") * scale + 0.5).cast("double") / scale
 
 
-def to_output(df: DataFrame) -> DataFrame:
-    """Cast every decimal column to double (client-side presentation)."""
-    return df.select(*[
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-        for f in df.schema.fields
-    ])
+def to_output(df: DataFrame, *, dates_as_timestamps: bool = False, as_double: tuple[str, ...] = ()) -> DataFrame:
+    """Present a report the way a data-frame client holds it.
+
+    Decimal columns become doubles.  Optionally dates become midnight
+    timestamps and the named (nullable integer) columns become doubles, as
+    in a pandas frame, which has neither a date nor a nullable-integer type.
+    """
+    def present(f: T.StructField):
+        col = F.col(f.name)
+        if isinstance(f.dataType, T.DecimalType) or f.name in as_double:
+            return col.cast("double").alias(f.name)
+        if dates_as_timestamps and isinstance(f.dataType, T.DateType):
+            return col.cast("timestamp_ntz").alias(f.name)
+        return col
+
+    return df.select(*[present(f) for f in df.schema.fields])
