@@ -157,7 +157,9 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
         F.sum("dollars_used").cast(_AMOUNT).alias("actual_dollars_used"))
     days = calendar_days(t["warehouse_metering_history"].sparkSession, c.start.date(), c.end.date(),
                          name="consumption_date")
-    joined = days.join(actual, on="consumption_date", how="left")
+    # Both sides hold at most one row per contract day (the actuals are
+    # filtered to the term), so broadcasting the actuals is size-bounded.
+    joined = days.join(F.broadcast(actual), on="consumption_date", how="left")
     # Least squares over the days that have actuals, from exact decimal sums
     # (n, sum x, sum y, sum xy, sum xx); only the final ratio is floating
     # point, so the fit does not depend on summation order.
