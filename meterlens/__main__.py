@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from .functions.time import as_datetime
 from .plans import REPORTS
-from .plans.catalog import SECTIONS, run_report
+from .plans.catalog import SECTIONS, TIERS, run_report
 from .sources.tables import Tables
 
 
@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="meterlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     ap.add_argument("report", nargs="?", choices=sorted(REPORTS))
     ap.add_argument("--section", choices=sorted(SECTIONS))
+    ap.add_argument("--tier", type=int, choices=[1, 2, 3], help="with --section: only reports of this tier")
     source = ap.add_mutually_exclusive_group(required=True)
     source.add_argument("--tables", help="folder of telemetry tables (one sub-folder per table)")
     source.add_argument("--database", help="catalog database holding the telemetry tables")
@@ -46,7 +47,8 @@ def main(argv: list[str] | None = None) -> None:
     as_of = as_datetime(args.as_of) if args.as_of else None
     params = dict(p.split("=", 1) for p in args.param)
     params = {k: _value(v) for k, v in params.items()}
-    names = [args.report] if args.report else SECTIONS[args.section]
+    names = [args.report] if args.report else [
+        n for n in SECTIONS[args.section] if args.tier is None or TIERS.get(n) == args.tier]
     for name in names:
         try:
             df = run_report(t, name, as_of, **params)

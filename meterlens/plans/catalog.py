@@ -37,6 +37,29 @@ SECTIONS: dict[str, list[str]] = {
 }
 
 
+# --- Fixed values: the tier (1, 2, 3) each report carries in the catalogue;
+# the recent variant of the most-expensive report has none.
+TIERS: dict[str, int | None] = {
+    **{k: 1 for k in [
+        "credits_by_hour_of_day", "query_volume_by_hour", "billing_ledger", "credits_by_user",
+        "credits_by_warehouse_all", "credits_by_warehouse_recent", "ingest_daily", "usage_forecast",
+        "credits_by_client", "role_segmentation", "warehouse_over_7day_avg", "long_suspension", "no_auto_resume",
+        "no_auto_suspend", "no_resource_monitor"]},
+    **{k: 2 for k in [
+        "cost_per_query", "failed_tasks", "idle_roles", "idle_users", "idle_warehouses", "long_tasks",
+        "most_expensive_queries", "frequent_queries", "execution_time_buckets", "queue_pressure", "spill_ratio",
+        "statement_timeouts", "stale_streams", "longest_queries", "most_scanned_queries", "users_never_logged_in",
+        "warehouse_utilization", "cloud_services_ratio"]},
+    **{k: 3 for k in [
+        "clustering_cost_daily", "clustering_weekly_avg", "full_scan_users", "full_scan_queries", "heavy_scanners",
+        "mview_cost_daily", "mview_weekly_avg", "replication_cost_daily", "replication_weekly_avg",
+        "search_opt_cost_daily", "search_opt_weekly_avg", "pipe_cost_daily", "pipe_weekly_avg",
+        "top_remote_spillers", "cache_usage"]},
+    "most_expensive_queries_recent": None,
+}
+# --- end of fixed values
+
+
 def run_report(t: Tables, name: str, as_of: dt.datetime | None = None, **params) -> DataFrame:
     """Run one report, passing ``as_of`` and only the parameters it accepts."""
     from . import REPORTS
@@ -55,14 +78,17 @@ def run_report(t: Tables, name: str, as_of: dt.datetime | None = None, **params)
     return fn(t, **kwargs)
 
 
-def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, **params) -> dict[str, DataFrame]:
-    """All reports of a section as lazy DataFrames.
+def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, tier: int | None = None,
+                **params) -> dict[str, DataFrame]:
+    """All reports of a section (optionally of one tier) as lazy DataFrames.
 
     Reports that need a parameter not given (e.g. the warehouse of
     ``execution_time_buckets``) or a table ``t`` does not have are skipped.
     """
     out = {}
     for name in SECTIONS[section]:
+        if tier is not None and TIERS.get(name) != tier:
+            continue
         try:
             out[name] = run_report(t, name, as_of, **params)
         except (ValueError, KeyError):

@@ -87,7 +87,9 @@ def cost_per_query(t: Tables, as_of: dt.datetime, months: int = 1, credit_price:
     """Credits, dollars and dollars per query for each warehouse over the last month.
 
     Both sides are aggregated per warehouse before the join, so the join
-    sees one row per warehouse on each side.
+    sees one row per warehouse on each side.  ``credit_price`` is a price in
+    dollars and cents (as the ledger's ``decimal(10,2)`` price), so dollar
+    amounts are exact to the cent before the per-query division.
     """
     cut = start_of_day(add_months(as_datetime(as_of), -months))
     qc = t.since(QH, cut).groupBy("warehouse_name").agg(F.count("query_id").alias("query_count_last_month"))

@@ -11,7 +11,11 @@ from meterlens.plans.catalog import SECTIONS, run_section
 
 
 def test_every_report_is_in_a_section():
+    from meterlens.plans.catalog import TIERS
+
     assert {k for keys in SECTIONS.values() for k in keys} == set(REPORTS)
+    assert set(TIERS) == set(REPORTS)
+    assert sorted(v for v in TIERS.values() if v) .count(1) == 15
 
 
 def test_section_runner_and_cli(spark):
