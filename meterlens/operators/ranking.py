@@ -20,16 +20,14 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Range partitions for numbering ``df``: at least the shuffle setting,
-    and at least as many as the input has splits, so partition size follows
-    the data instead of a fixed count.  Pass a frame without exchanges or
-    subqueries (a filtered scan): then this only plans, it runs nothing."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions for numbering ``df``: as many as its input has splits
+    (about one per 128 MB read), so partition size follows the data rather
+    than a fixed setting.  Pass a frame without exchanges or subqueries (a
+    filtered scan): then this only plans, it runs nothing."""
     try:
-        n = max(n, df.rdd.getNumPartitions())
-    except Exception:  # no RDD access (e.g. Spark Connect): keep the setting
-        pass
-    return n
+        return max(1, df.rdd.getNumPartitions())
+    except Exception:  # no RDD access (e.g. Spark Connect): use the setting
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "row_number",
