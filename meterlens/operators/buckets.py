@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,33 +18,41 @@ def bucket_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, label, low) for i, (label, low, _) in enumerate(EXECUTION_BUCKETS)], schema)
 
 
-def bucket_counts(log: DataFrame, *, value: Column, passes: Column, row_id: Column) -> DataFrame:
+def bucket_counts(log: DataFrame, passing: DataFrame, *, value: str, row_id: str) -> DataFrame:
     """Rows per execution-time bucket, as a full outer theta join would give.
 
-    The source joins the whole log to the bucket table on
+    The source joins the whole ``log`` to the bucket table on
     ``lower <= value < upper`` (full outer), then keeps pairs whose log row
-    passes ``passes`` *or* whose log row is missing, and counts non-NULL ids
-    per bucket.  Consequences kept here exactly:
+    passes a filter *or* whose log row is missing, and counts non-NULL ids
+    per bucket.  ``passing`` is ``log`` with that filter applied.
+    Consequences kept here exactly:
 
     * a bucket no log row falls in shows 0;
-    * a bucket whose rows all fail ``passes`` disappears;
+    * a bucket whose rows all fail the filter disappears;
     * the open last bucket never matches, so it always shows, counting the
       passing rows that fall in no bucket (value too large or NULL);
     * a matched row with a NULL id keeps its bucket alive (counting 0).
 
-    One aggregate over the log with at most eight groups (map-side partial
-    aggregation makes the shuffle a few rows per task), then a join of two
-    eight-row tables.  No nested-loop join.
+    Two aggregates of at most eight groups each (map-side partial
+    aggregation makes each shuffle a few rows per task), joined to the
+    eight-row bucket table; no nested-loop join.  Only bucket existence
+    needs the whole log, and it reads just ``value`` and ``row_id``; the
+    counts read only ``passing``, which the caller bounds (partition
+    pruning and pushed filters).
     """
     last = len(EXECUTION_BUCKETS) - 1
-    idx = bucket_index(value)
-    stats = log.groupBy(F.coalesce(idx, F.lit(last)).alias("_b")).agg(
-        F.count(idx).alias("_matched"),
-        F.count(F.when(passes & row_id.isNotNull(), F.lit(1))).alias("_n"),
-        F.count(F.when(idx.isNotNull() & row_id.isNull(), F.lit(1))).alias("_null_ids"),
+    idx = bucket_index(F.col(value))
+    rid = F.col(row_id)
+    existence = log.select(idx.alias("_i"), rid.isNull().alias("_null_id")).groupBy(
+        F.coalesce(F.col("_i"), F.lit(last)).alias("_b")).agg(
+        F.count("_i").alias("_matched"),
+        F.count(F.when(F.col("_i").isNotNull() & F.col("_null_id"), F.lit(1))).alias("_null_ids"),
     )
+    counts = passing.groupBy(F.coalesce(idx, F.lit(last)).alias("_b")).agg(
+        F.count(F.when(rid.isNotNull(), F.lit(1))).alias("_n"))
     buckets = bucket_frame(log.sparkSession)
-    joined = buckets.join(F.broadcast(stats), on="_b", how="left")
+    joined = (buckets.join(F.broadcast(existence), on="_b", how="left")
+              .join(F.broadcast(counts), on="_b", how="left"))
     keep = ((F.col("_b") == last) | F.col("_matched").isNull() | (F.col("_matched") == 0)
             | (F.col("_n") > 0) | (F.col("_null_ids") > 0))
     return joined.filter(keep).select(

@@ -152,13 +152,13 @@ def execution_time_buckets(t: Tables, as_of: dt.datetime, warehouse: str, weeks:
     """Queries per execution-time bucket for one warehouse over the last week.
 
     Buckets follow the source's outer-join rules (see ``bucket_counts``):
-    the whole log decides which buckets exist, the filter decides counts.
+    the whole log decides which buckets exist (two columns of it are read),
+    the week's rows of the warehouse decide the counts (pruned, pushed).
     """
     cut = start_of_day(as_datetime(as_of)) - dt.timedelta(weeks=weeks)
-    q = t[QH]
-    passes = ((F.col("start_time") >= ts_lit(cut))
-              & (F.col("warehouse_name") == F.lit(warehouse)) & (F.col("total_elapsed_time") > 0))
-    out = bucket_counts(q, value=F.col("total_elapsed_time"), passes=passes, row_id=F.col("query_id"))
+    passing = t.since(QH, cut).filter(
+        (F.col("warehouse_name") == F.lit(warehouse)) & (F.col("total_elapsed_time") > 0))
+    out = bucket_counts(t[QH], passing, value="total_elapsed_time", row_id="query_id")
     return out.orderBy("_lower").drop("_lower")
 
 

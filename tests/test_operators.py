@@ -123,8 +123,8 @@ group by 1, coalesce(b.lo, 120000)
 ])
 def test_bucket_counts_equals_full_outer_join(spark, rows):
     log = spark.createDataFrame(rows, LOG_SCHEMA)
-    passes = (F.col("warehouse_name") == "w") & (F.col("total_elapsed_time") > 0)
-    got = bucket_counts(log, value=F.col("total_elapsed_time"), passes=passes, row_id=F.col("query_id"))
+    passing = log.filter((F.col("warehouse_name") == "w") & (F.col("total_elapsed_time") > 0))
+    got = bucket_counts(log, passing, value="total_elapsed_time", row_id="query_id")
     mine = sorted((r[0], r[1]) for r in got.collect())
     con = duckdb.connect()
     import pandas as pd
@@ -138,7 +138,7 @@ def test_bucket_counts_equals_full_outer_join(spark, rows):
 
 def test_bucket_counts_plan_has_no_nested_loop(spark):
     log = spark.createDataFrame([("1", "w", 5)], LOG_SCHEMA)
-    got = bucket_counts(log, value=F.col("total_elapsed_time"), passes=F.lit(True), row_id=F.col("query_id"))
+    got = bucket_counts(log, log, value="total_elapsed_time", row_id="query_id")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 

@@ -78,6 +78,11 @@ def test_partitioned_tables_prune_by_date(spark):
     assert "Or(GreaterThan(partitions_scanned,0),LessThan(partitions_total,0))" in scans
     assert sorted(map(tuple, REPORTS["spill_ratio"](stored).collect())) == \
         sorted(map(tuple, REPORTS["spill_ratio"](bridge).collect()))
+    buckets = _formatted(REPORTS["execution_time_buckets"](stored, as_of=dt.datetime(2024, 1, 31), warehouse="view"))
+    # The whole history is read for bucket existence only: two columns.
+    assert "ReadSchema: struct<query_id:string,total_elapsed_time:bigint>" in buckets
+    # The counted rows come from a pruned, filtered scan.
+    assert "EqualTo(warehouse_name,view)" in buckets and "PartitionFilters: [isnotnull(start_date" in buckets
 
 
 def test_single_partition_exchanges_only_over_bounded_rows(plans):

@@ -23,9 +23,9 @@ log_rows = st.lists(
 @given(rows=log_rows)
 def test_bucket_counts_equals_full_outer_theta_join(spark, rows):
     log = spark.createDataFrame(rows, LOG_SCHEMA)
-    passes = (F.col("warehouse_name") == "w") & (F.col("total_elapsed_time") > 0)
+    passing = log.filter((F.col("warehouse_name") == "w") & (F.col("total_elapsed_time") > 0))
     got = sorted((r[0], r[1]) for r in bucket_counts(
-        log, value=F.col("total_elapsed_time"), passes=passes, row_id=F.col("query_id")).collect())
+        log, passing, value="total_elapsed_time", row_id="query_id").collect())
     con = duckdb.connect()
     con.register("log", pd.DataFrame(rows, columns=["query_id", "warehouse_name", "total_elapsed_time"],
                                      dtype=object).astype({"total_elapsed_time": "Int64"}))
