@@ -26,7 +26,8 @@ def idle_users(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
     (users who never logged in are not listed here)."""
     cut = add_months(as_datetime(as_of), -months)
     u = t["users"]
-    return u.filter((F.col("last_success_login") < ts_lit(cut)) & F.col("deleted_on").isNull()).select(*_columns("users"))
+    idle = (F.col("last_success_login") < ts_lit(cut)) & F.col("deleted_on").isNull()
+    return u.filter(idle).select(*_columns("users"))
 
 
 def users_never_logged_in(t: Tables) -> DataFrame:

@@ -153,7 +153,8 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
     # into every one of the seven scans.
     in_term = ((F.col("start_time") >= ts_lit(c.start))
                & (F.col("start_time") < ts_lit(c.end + dt.timedelta(days=1))))
-    actual = actual_costs(t, credit_price, c.start, c.end + dt.timedelta(days=1)).filter(in_term).groupBy(F.to_date("start_time").alias("consumption_date")).agg(
+    lines = actual_costs(t, credit_price, c.start, c.end + dt.timedelta(days=1)).filter(in_term)
+    actual = lines.groupBy(F.to_date("start_time").alias("consumption_date")).agg(
         F.sum("dollars_used").cast(_AMOUNT).alias("actual_dollars_used"))
     days = calendar_days(t["warehouse_metering_history"].sparkSession, c.start.date(), c.end.date(),
                          name="consumption_date")

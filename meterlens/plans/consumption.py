@@ -161,7 +161,8 @@ def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
     named = per_session.join(sessions, on="session_id", how="inner").select(
         client_family(F.col("client_application_id")).alias("client_application_name"),
         "warehouse_name", "hour", "execution_time")
-    out = allocate_by_share(named, _hour_cost(t, as_of, months), who="client_application_name", slot=["warehouse_name", "hour"],
+    out = allocate_by_share(named, _hour_cost(t, as_of, months), who="client_application_name",
+                            slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
     return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
         F.col("approximate_credits_used").desc(), "client_application_name", "warehouse_name")

@@ -80,7 +80,8 @@ class DriverBridge:
             F.col("k").alias("partitions_scanned"),
             F.when(F.col("k") == 0, 0).otherwise(100).alias("partitions_total"),
             (F.col("k") * 1000).alias("bytes_scanned"),
-            F.when(F.col("user_id") % 5 == 0, F.col("cents") * 10).otherwise(0).alias("bytes_spilled_to_remote_storage"),
+            F.when(F.col("user_id") % 5 == 0, F.col("cents") * 10).otherwise(0)
+            .alias("bytes_spilled_to_remote_storage"),
             (F.col("k") * F.lit(Decimal("0.01"))).alias("percentage_scanned_from_cache"),
         ), "query_history")
 
