@@ -41,3 +41,33 @@ def test_global_row_number_equals_window(spark, keys, parts):
     got = {r["id"]: r["rn"] for r in global_row_number(df, order, name="rn", partitions=parts).collect()}
     want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).collect()}
     assert got == want
+
+
+usage_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d"]), st.sampled_from(["w", "v"]),
+                                st.integers(0, 5), st.integers(1, 10_000)), max_size=40)
+cost_rows = st.lists(st.tuples(st.sampled_from(["w", "v", "x"]), st.integers(0, 6), st.integers(0, 99_999)),
+                     max_size=14, unique_by=lambda r: (r[0], r[1]))
+
+
+@SETTINGS
+@given(usage=usage_rows, cost=cost_rows)
+def test_allocate_by_share_equals_three_way_join(spark, usage, cost):
+    from decimal import Decimal
+
+    from meterlens.operators import allocate_by_share
+
+    u = spark.createDataFrame(usage, "who string, wh string, hour long, ms long")
+    c = spark.createDataFrame([(w, h, Decimal(v) / 100) for w, h, v in cost], "wh string, hour long, c decimal(18,2)")
+    got = {(r["who"], r["wh"]): round(r["x"], 6) for r in allocate_by_share(
+        u, c, who="who", slot=["wh", "hour"], weight="ms", cost_col="c", out_col="x").collect()}
+    con = duckdb.connect()
+    con.register("u", pd.DataFrame(usage, columns=["who", "wh", "hour", "ms"]))
+    con.register("c", pd.DataFrame([(w, h, v / 100) for w, h, v in cost], columns=["wh", "hour", "c"]))
+    want = {(w, wh): round(x, 6) for w, wh, x in con.execute("""
+        with a as (select who, wh, hour, sum(ms) as t from u group by 1, 2, 3),
+             b as (select wh, hour, sum(t) as t from a group by 1, 2)
+        select a.who, c.wh, sum((a.t / b.t) * c.c) from a
+        join b on a.hour = b.hour and a.wh = b.wh join c on c.wh = a.wh and c.hour = a.hour
+        group by 1, 2""").fetchall()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
