@@ -140,3 +140,8 @@ def test_save_and_read_back_every_table(spark):
         a = sorted(map(repr, map(tuple, REPORTS[report](stored, **params).collect())))
         b = sorted(map(repr, map(tuple, REPORTS[report](sliced, **params).collect())))
         assert a == b, report
+
+
+def test_every_report_is_documented():
+    missing = [name for name, fn in REPORTS.items() if not (fn.__doc__ or "").strip()]
+    assert missing == []
