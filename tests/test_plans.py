@@ -108,3 +108,16 @@ def test_allocation_reads_the_log_once(spark):
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
     assert final.count("FileScan") == 2  # the log once, metering once
+
+
+def test_no_sort_merge_join_after_adaptive_planning(spark):
+    # Every join has a side that is small once measured (aggregates, snapshots,
+    # calendars), so AQE ends with broadcast joins everywhere.
+    smj = []
+    for name, build in entry.queries().items():
+        df = build(spark, SF001)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        if "SortMergeJoin" in final:
+            smj.append(name)
+    assert smj == []
