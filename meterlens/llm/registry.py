@@ -7,14 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_folder
 from .contentsort import content_sort_dedup
+from .packing import pack_texts
 from .simhash import simhash_dedup
+from .tokenfiles import read_tokens, token_checksums, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1,024 tokens."""
+    pieces = pack_texts(table(spark, sf_dir, "documents"), capacity=1024)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "cost")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as token files in ascending doc_id order; counts and checksums from the files read back."""
+    path = new_folder(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    write_tokens(docs, path)
+    return token_checksums(read_tokens(spark, path, docs.schema["doc_id"].dataType)).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components: 3-word shingles, links at 3 or fewer differing bits."""
     found = simhash_dedup(table(spark, sf_dir, "documents"), width=3, max_bits=3)
@@ -28,7 +46,8 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash, "op10_content_sort": op10_content_sort}
+    return {"op2_cost_packing": op2_cost_packing, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash,
+            "op10_content_sort": op10_content_sort}
 
 
 def oracle_sql() -> dict[str, str]:
