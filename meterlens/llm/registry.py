@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from .common import new_folder
 from .contentsort import content_sort_dedup
 from .packing import pack_texts
+from .pseudonym import pseudonymise
 from .simhash import simhash_dedup
 from .tokenfiles import read_tokens, token_checksums, write_tokens
+from .weaklabel import classify, fit
+
+#: Secret of the pseudonyms; production jobs set their own.
+PSEUDONYM_KEY = "corpus-pseudonyms"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +30,18 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "cost")
 
 
+def op3_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for their validated numbers and dates."""
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return done.select("row.doc_id", "text", "found")
+
+
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior, score and decision for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, fit(docs)).select("row.doc_id", "weak_posterior", "score", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as token files in ascending doc_id order; counts and checksums from the files read back."""
     path = new_folder(spark, "tokens")
@@ -46,8 +63,8 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_cost_packing": op2_cost_packing, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash,
-            "op10_content_sort": op10_content_sort}
+    return {"op2_cost_packing": op2_cost_packing, "op3_feistel": op3_feistel, "op4_weak_labels": op4_weak_labels,
+            "op7_token_files": op7_token_files, "op9_simhash": op9_simhash, "op10_content_sort": op10_content_sort}
 
 
 def oracle_sql() -> dict[str, str]:
