@@ -11,8 +11,12 @@ from .common import new_folder
 from .contentsort import content_sort_dedup
 from .packing import pack_texts
 from .pseudonym import pseudonymise
+from .redirect import LOWER as _LOWER
+from .redirect import UPPER as _UPPER
+from .redirect import alias_edges, judge_urls
 from .simhash import simhash_dedup
 from .tokenfiles import read_tokens, token_checksums, write_tokens
+from .topk import top_k
 from .weaklabel import classify, fit
 
 #: Secret of the pseudonyms; production jobs set their own.
@@ -23,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (host, path, verdict) of op1.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op1_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, block decisions spread over its aliases."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = judge_urls(pages.select("page_id", "url"), alias_edges(pages), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1,024 tokens."""
     pieces = pack_texts(table(spark, sf_dir, "documents"), capacity=1024)
@@ -50,6 +67,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_checksums(read_tokens(spark, path, docs.schema["doc_id"].dataType)).withColumnRenamed("id", "doc_id")
 
 
+def op8_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components: 3-word shingles, links at 3 or fewer differing bits."""
     found = simhash_dedup(table(spark, sf_dir, "documents"), width=3, max_bits=3)
@@ -62,14 +84,44 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op7_token_files, op8_block_top_k,
+           op9_simhash, op10_content_sort)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_cost_packing": op2_cost_packing, "op3_feistel": op3_feistel, "op4_weak_labels": op4_weak_labels,
-            "op7_token_files": op7_token_files, "op9_simhash": op9_simhash, "op10_content_sort": op10_content_sort}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_content_sort": """
-        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+    """DuckDB SQL of the queries that SQL can express."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return {"op1_redirect_equivalence": f"""
+        WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {rules}),
+        parsed AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest
+                   FROM pages),
+        own AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+                       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS query
+                FROM parsed),
+        links AS (SELECT DISTINCT host || path || query AS a, regexp_replace(regexp_extract(regexp_extract(
+                      html, '(?is)<link[^>]*rel="canonical"[^>]*>'), 'href="https?://([^"#]*)', 1), '&amp;', '&', 'g') AS b FROM own),
+        edges AS (SELECT a, b FROM links WHERE b <> '' UNION SELECT b, a FROM links WHERE b <> ''),
+        reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+        named AS (SELECT DISTINCT host || path || query AS node, host, path FROM own UNION
+                  SELECT b, regexp_extract(b, '^[^/?]*'), regexp_extract(b, '^[^/?]*([^?]*)', 1) FROM edges),
+        best AS (SELECT node, rh || rp AS rule, rv, row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC) AS nth
+                 FROM named JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+        bad AS (SELECT DISTINCT r.a FROM reach r JOIN best ON best.node = r.b AND nth = 1 AND rv = 'block')
+        SELECT page_id, host, path, rule, CASE WHEN rv IS NOT NULL THEN rv WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM own LEFT JOIN best ON best.node = host || path || query AND nth = 1 LEFT JOIN bad ON bad.a = host || path || query""",
+            "op8_block_top_k": """
+        WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS z FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        met AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM met QUALIFY rank <= 20""",
+            "op10_content_sort": """
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)"""}
