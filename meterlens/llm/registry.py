@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import new_folder
 from .contentsort import content_sort_dedup
+from .nbest import decoded, encode_n_best
 from .packing import pack_texts
 from .pseudonym import pseudonymise
 from .redirect import LOWER as _LOWER
@@ -59,6 +60,13 @@ def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs)).select("row.doc_id", "weak_posterior", "score", "kept")
 
 
+def op6_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every text, as checksums of their ids and of the text decoded from them."""
+    found = encode_n_best(table(spark, sf_dir, "documents"), n=4)
+    return found.select(F.col("id").alias("doc_id"), "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"),
+                        F.crc32(decoded(F.col("ids")).cast("binary")).alias("text_crc32"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as token files in ascending doc_id order; counts and checksums from the files read back."""
     path = new_folder(spark, "tokens")
@@ -84,8 +92,8 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op7_token_files, op8_block_top_k,
-           op9_simhash, op10_content_sort)
+QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op6_n_best, op7_token_files,
+           op8_block_top_k, op9_simhash, op10_content_sort)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
