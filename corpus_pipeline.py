@@ -9,7 +9,7 @@ from meterlens.llm.common import new_folder
 from meterlens.llm.contentsort import content_sort_dedup
 from meterlens.llm.packing import pack_texts
 from meterlens.llm.pseudonym import replace_personal
-from meterlens.llm.registry import PSEUDONYM_KEY
+from meterlens.llm.registry import PSEUDONYM_KEY, table
 from meterlens.llm.simhash import keep_one_of_each
 from meterlens.llm.weaklabel import classify, fit
 
@@ -48,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -32,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library from where the driver did; clusters install it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/corpus-{label}-{uuid.uuid4().hex}"
     _written.append(path)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import importable, new_folder
 from .contentsort import content_sort_dedup
 from .nbest import decoded, encode_n_best
 from .packing import pack_texts
+from .paragraphs import duplicate_passages
 from .pseudonym import pseudonymise
 from .redirect import LOWER as _LOWER
 from .redirect import UPPER as _UPPER
@@ -25,6 +26,7 @@ PSEUDONYM_KEY = "corpus-pseudonyms"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +62,11 @@ def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs)).select("row.doc_id", "weak_posterior", "score", "kept")
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate paragraphs and passages of all documents."""
+    return duplicate_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every text, as checksums of their ids and of the text decoded from them."""
     found = encode_n_best(table(spark, sf_dir, "documents"), n=4)
@@ -92,7 +99,7 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op6_n_best, op7_token_files,
+QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op5_paragraphs, op6_n_best, op7_token_files,
            op8_block_top_k, op9_simhash, op10_content_sort)
 
 
