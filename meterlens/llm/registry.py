@@ -95,8 +95,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates after white-space normalisation, dropped rows included."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return content_sort_dedup(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = content_sort_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op5_paragraphs, op6_n_best, op7_token_files,
