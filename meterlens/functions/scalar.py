@@ -6,6 +6,7 @@ whole-stage codegen); no Python runs per row.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -136,15 +137,19 @@ def rounded(col: Column, places: int = 6) -> Column:
     return F.floor(col.cast("double") * scale + 0.5).cast("double") / scale
 
 
-def to_output(df: DataFrame, *, dates_as_timestamps: bool = False, as_double: tuple[str, ...] = ()) -> DataFrame:
+def to_output(df: DataFrame, *, dates_as_timestamps: bool = False, as_double: tuple[str, ...] = (),
+              places: Mapping[str, int] | None = None) -> DataFrame:
     """Present a report the way a data-frame client holds it.
 
-    Decimal columns become doubles.  Optionally dates become midnight
+    Decimal columns become doubles, and the columns in ``places`` are
+    rounded to so many digits (reports themselves never round).  Optionally dates become midnight
     timestamps and the named (nullable integer) columns become doubles, as
     in a pandas frame, which has neither a date nor a nullable-integer type.
     """
     def present(f: T.StructField):
         col = F.col(f.name)
+        if f.name in (places or {}):
+            return rounded(col, places[f.name]).alias(f.name)
         if isinstance(f.dataType, T.DecimalType) or f.name in as_double:
             return col.cast("double").alias(f.name)
         if dates_as_timestamps and isinstance(f.dataType, T.DateType):

@@ -9,13 +9,11 @@ from .allocate import allocate_by_share
 from .buckets import bucket_counts, bucket_frame
 from .calendar import calendar_days
 from .overlap import hourly_overlap
-from .ranking import global_row_number, range_partitions, top_k
-from .rollups import SUM_DECIMAL, daily_cost, weekly_mean_of_daily
-
-# The names the design notes use for the same operators.
-overlap_split = hourly_overlap
+from .prefilter import keep_hashes
+from .ranking import rank_among, top_k
+from .rollups import daily_cost, weekly_mean_of_daily
 
 __all__ = [
-    "SUM_DECIMAL", "allocate_by_share", "bucket_counts", "bucket_frame", "calendar_days", "daily_cost",
-    "global_row_number", "hourly_overlap", "overlap_split", "range_partitions", "top_k", "weekly_mean_of_daily",
+    "allocate_by_share", "bucket_counts", "bucket_frame", "calendar_days", "daily_cost", "hourly_overlap",
+    "keep_hashes", "rank_among", "top_k", "weekly_mean_of_daily",
 ]

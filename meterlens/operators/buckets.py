@@ -33,28 +33,25 @@ def bucket_counts(log: DataFrame, passing: DataFrame, *, value: str, row_id: str
       passing rows that fall in no bucket (value too large or NULL);
     * a matched row with a NULL id keeps its bucket alive (counting 0).
 
-    Two aggregates of at most eight groups each (map-side partial
-    aggregation makes each shuffle a few rows per task), joined to the
-    eight-row bucket table; no nested-loop join.  Only bucket existence
-    needs the whole log, and it reads just ``value`` and ``row_id``; the
-    counts read only ``passing``, which the caller bounds (partition
-    pruning and pushed filters).
+    The counts read only ``passing``, which the caller bounds (partition
+    pruning and pushed filters): one aggregate of eight groups, joined to
+    the eight-row bucket table.  Whether a bucket exists takes two probes
+    into the log per bucket, each a scalar subquery with LIMIT 1: its bounds
+    are pushed into the scan and every task stops at its first match, so no
+    aggregate runs over the history.
     """
     last = len(EXECUTION_BUCKETS) - 1
-    idx = bucket_index(F.col(value))
-    rid = F.col(row_id)
-    existence = log.select(idx.alias("_i"), rid.isNull().alias("_null_id")).groupBy(
-        F.coalesce(F.col("_i"), F.lit(last)).alias("_b")).agg(
-        F.count("_i").alias("_matched"),
-        F.count(F.when(F.col("_i").isNotNull() & F.col("_null_id"), F.lit(1))).alias("_null_ids"),
-    )
-    counts = passing.groupBy(F.coalesce(idx, F.lit(last)).alias("_b")).agg(
+    rid, ms = F.col(row_id), F.col(value)
+    counts = passing.groupBy(F.coalesce(bucket_index(ms), F.lit(last)).alias("_b")).agg(
         F.count(F.when(rid.isNotNull(), F.lit(1))).alias("_n"))
-    buckets = bucket_frame(log.sparkSession)
-    joined = (buckets.join(F.broadcast(existence), on="_b", how="left")
-              .join(F.broadcast(counts), on="_b", how="left"))
-    keep = ((F.col("_b") == last) | F.col("_matched").isNull() | (F.col("_matched") == 0)
-            | (F.col("_n") > 0) | (F.col("_null_ids") > 0))
+    joined = bucket_frame(log.sparkSession).join(F.broadcast(counts), on="_b", how="left")
+    keep = (F.col("_b") == last) | (F.col("_n") > 0)
+    for i, (_, low, high) in enumerate(EXECUTION_BUCKETS):
+        if high is not None:
+            inside = log.filter((ms >= low) & (ms < high))
+            found, without_id = (rows.select(F.lit(1).alias("_one")).limit(1).agg(F.count("_one")).scalar()
+                                 for rows in (inside, inside.filter(rid.isNull())))
+            keep = keep | ((F.col("_b") == i) & ((found == 0) | (without_id > 0)))
     return joined.filter(keep).select(
         "execution_time_bucket", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("number_of_queries"), "_lower",
     )

@@ -9,7 +9,7 @@ from ..functions.time import hour_start, seconds_crossed
 
 
 def hourly_overlap(intervals: DataFrame, *, key: str, start: str = "start_time", end: str = "end_time",
-                   duration_ms: str = "execution_time") -> DataFrame:
+                   duration_ms: str = "execution_time", row_id: str | None = None) -> DataFrame:
     """Per (key, hour): how much of each interval falls in the closed hour.
 
     Every interval is paired with each hour window ``[h, h + 1h]`` it meets
@@ -23,7 +23,10 @@ def hourly_overlap(intervals: DataFrame, *, key: str, start: str = "start_time",
     * middle (spans the whole window):     seconds of the window;
 
     seconds counted as boundaries crossed.  Returns ``key``, ``hour``,
-    ``contained_ms`` (sum), ``partial_seconds`` (sum) and ``pairs``.
+    ``contained_ms`` (sum), ``partial_seconds`` (sum) and ``pairs`` (with
+    ``row_id`` given, only pairs whose id is not NULL; an id stands for one
+    interval -- ``Tables.repeated_ids`` finds those that do not -- so this
+    is the number of distinct ids without shuffling every id).
 
     Instead of a range join (a nested loop per key), each interval is
     exploded into the hours it touches -- a per-row generator bounded by the
@@ -37,6 +40,7 @@ def hourly_overlap(intervals: DataFrame, *, key: str, start: str = "start_time",
     last = F.greatest(first, hour_start(e))
     pairs = intervals.select(
         F.col(key), s.alias("_s"), e.alias("_e"), F.col(duration_ms).alias("_ms"),
+        (F.col(row_id) if row_id else F.lit(1)).alias("_id"),
         F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))).alias("hour"),
     ).withColumn("_we", F.timestamp_add("HOUR", F.lit(1), F.col("hour")))
     s, e, ws, we = F.col("_s"), F.col("_e"), F.col("hour"), F.col("_we")
@@ -49,5 +53,5 @@ def hourly_overlap(intervals: DataFrame, *, key: str, start: str = "start_time",
     return pairs.groupBy(key, "hour").agg(
         F.sum(F.when(starts_inside & ends_inside, F.coalesce(F.col("_ms"), F.lit(0)))).alias("contained_ms"),
         F.sum(partial).alias("partial_seconds"),
-        F.count(F.lit(1)).alias("pairs"),
+        F.count("_id").alias("pairs"),
     )

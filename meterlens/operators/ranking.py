@@ -1,17 +1,12 @@
-"""Ordering operators: top-k and a distributed global row number."""
+"""Ordering operators: top-k, and the rank of a few rows among many."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-_LOCAL_BITS = 33  # monotonically_increasing_id keeps the record number in the low 33 bits
-
 
 def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows in ``order``: planned as TakeOrderedAndProject
@@ -19,55 +14,35 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def range_partitions(df: DataFrame) -> int:
-    """Range partitions for numbering ``df``: as many as its input has splits
-    (about one per 128 MB read), so partition size follows the data rather
-    than a fixed setting.  Pass a frame without exchanges or subqueries (a
-    filtered scan): then this only plans, it runs nothing."""
-    try:
-        return max(1, df.rdd.getNumPartitions())
-    except Exception:  # no RDD access (e.g. Spark Connect): use the setting
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def global_row_number(df: DataFrame, order: Sequence[Column], *, name: str = "row_number",
-                      partitions: int | None = None) -> DataFrame:
-    """``ROW_NUMBER() OVER (ORDER BY order)`` without a single-partition window.
-
-    ``order`` must be a total order (end it with a unique key).  Steps:
-
-    1. range-partition on ``order`` and sort within partitions (a sampled
-       range exchange spreads even one very frequent sort value over many
-       tasks because the unique tie-break key splits it);
-    2. tag rows with ``monotonically_increasing_id`` (partition index in
-       the high bits, position in the low bits) and checkpoint to the
-       session's checkpoint folder, so the tags survive executor loss and
-       re-planning;
-    3. count rows per partition (one row per partition), turn the counts
-       into offsets with a window over those few rows, broadcast them
-       (size bounded by the partition count) and add them to the positions.
+def rank_among(few: DataFrame, many: DataFrame, key: Sequence[Column], n: int, *, name: str = "row_number") -> DataFrame:
+    """``few`` (at most ``n`` rows, all of them rows of ``many``) with the row
+    number each has in ``many`` ordered by ``key`` ascending.
 
-    The checkpoint makes this operator eager: it runs one job when called.
+    A row's number is one more than the rows ahead of it.  The keys of
+    ``few`` form a sorted array (a scalar subquery of ``n`` entries); every
+    row of ``many`` finds by binary search how many of them stand at or
+    before it, and rows are counted by that position: n + 1 groups, combined
+    map-side.  Summing the counts up to a row's place gives its number.  No
+    sort, window or range exchange of ``many``.  Rows of ``few`` with equal
+    keys get consecutive numbers.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or range_partitions(df)
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    # Persist so writing the checkpoint does not sort a second time; the
-    # checkpointed frame reads from the checkpoint files, so the cache can go.
-    tagged.persist(StorageLevel.MEMORY_AND_DISK)
-    checkpointed = tagged.checkpoint(eager=True)
-    tagged.unpersist()
-    tagged = checkpointed
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-    )
-    numbered = tagged.join(F.broadcast(offsets), on="_pid", how="inner")
-    return numbered.withColumn(name, (F.col("_offset") + F.col("_pos") + 1).cast("bigint")).drop(
-        "_pid", "_pos", "_mid", "_offset")
+    packed = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])
+    keys = few.agg(F.sort_array(F.collect_list(packed))).scalar()
+    located = many.select(packed.alias("_key")).withColumn("_keys", keys)
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    place = F.aggregate(
+        steps, F.struct(F.lit(0).alias("lo"), F.size("_keys").alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s)
+        .when(F.get(F.col("_keys"), middle(s)) <= F.col("_key"), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
+        lambda s: s["lo"])
+    counts = located.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    # Position -> rows, as one map of at most n + 1 entries.
+    counted = counts.agg(F.map_from_entries(F.collect_list(F.struct("_place", "_n")))).scalar()
+    numbered = few.withColumn("_key", packed).withColumn("_keys", keys).withColumn("_counts", counted)
+    first = (F.array_position("_keys", F.col("_key")) - 1).cast("int")
+    ahead = F.aggregate(F.sequence(F.lit(0), first), F.lit(0).cast("bigint"),
+                        lambda total, i: total + F.coalesce(F.col("_counts")[i], F.lit(0)))
+    twin = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return numbered.withColumn(name, (ahead + twin).cast("bigint")).drop("_key", "_keys", "_counts")

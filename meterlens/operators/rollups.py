@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rounded
-
-# Sums of money/credits keep the exact decimal type, widened to full precision.
-SUM_DECIMAL = "decimal(38,2)"
-
 
 def daily_cost(df: DataFrame, keys: list[str], *, time_col: str = "start_time",
                value_col: str = "credits_used") -> DataFrame:
@@ -19,7 +14,7 @@ def daily_cost(df: DataFrame, keys: list[str], *, time_col: str = "start_time",
     shuffle, so the exchange carries at most days x objects rows per task.
     """
     return df.groupBy(F.to_date(time_col).alias("date"), *[F.col(k) for k in keys]).agg(
-        F.sum(value_col).cast(SUM_DECIMAL).alias(value_col)
+        F.sum(value_col).alias(value_col)
     )
 
 
@@ -32,5 +27,5 @@ def weekly_mean_of_daily(df: DataFrame, *, time_col: str = "start_time", value_c
     """
     per_day = df.groupBy(F.to_date(time_col).alias("_day")).agg(F.sum(value_col).alias("_sum"))
     return per_day.groupBy(F.date_trunc("week", "_day").cast("date").alias("week")).agg(
-        rounded(F.avg("_sum")).alias(out_col)
+        F.avg("_sum").cast("double").alias(out_col)
     )

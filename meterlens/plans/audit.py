@@ -13,12 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import TIMEOUT_PARAMETER
 from ..functions.time import add_months, as_datetime, ts_lit
-from ..sources.tables import SCHEMAS, Tables
-
-
-
-def _columns(name: str) -> list[str]:
-    return [f.name for f in SCHEMAS[name].fields]
+from ..sources.tables import Tables
 
 
 def idle_users(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -27,12 +22,12 @@ def idle_users(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
     cut = add_months(as_datetime(as_of), -months)
     u = t["users"]
     idle = (F.col("last_success_login") < ts_lit(cut)) & F.col("deleted_on").isNull()
-    return u.filter(idle).select(*_columns("users"))
+    return u.filter(idle)
 
 
 def users_never_logged_in(t: Tables) -> DataFrame:
     """Users without any successful login (deleted users included)."""
-    return t["users"].filter(F.col("last_success_login").isNull()).select(*_columns("users"))
+    return t["users"].filter(F.col("last_success_login").isNull())
 
 
 def idle_roles(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -43,8 +38,8 @@ def idle_roles(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
     """
     cut = add_months(as_datetime(as_of), -months)
     used = t.since("query_history", cut, strict=True).select(F.col("role_name").alias("name")).distinct()
-    roles = t["roles"]
-    return roles.join(used, on="name", how="left_anti").filter(F.col("deleted_on").isNull()).select(*_columns("roles"))
+    roles = t["roles"].filter(F.col("deleted_on").isNull())
+    return roles.join(used, roles["name"] == used["name"], "left_anti")
 
 
 def idle_warehouses(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
@@ -56,8 +51,9 @@ def idle_warehouses(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame
     cut = add_months(as_datetime(as_of), -months)
     used = (t.since("warehouse_metering_history", cut, strict=True)
             .select(F.col("warehouse_name").alias("name")).distinct())
-    idle = t["warehouses"].join(used, on="name", how="left_anti")
-    return idle.select(*_columns("warehouses"), F.lit(None).cast("string").alias("warehouse_name"))
+    warehouses = t["warehouses"]
+    idle = warehouses.join(used, warehouses["name"] == used["name"], "left_anti")
+    return idle.select("*", F.lit(None).cast("string").alias("warehouse_name"))
 
 
 def _inventory(t: Tables, condition) -> DataFrame:
@@ -87,22 +83,17 @@ def no_resource_monitor(t: Tables) -> DataFrame:
 
 def stale_streams(t: Tables) -> DataFrame:
     """Change streams whose offset fell out of the retention period."""
-    return t["streams"].filter(F.col("stale") == F.lit(True)).select(*_columns("streams"))
+    return t["streams"].filter(F.col("stale") == F.lit(True))
 
 
 def statement_timeouts(t: Tables, parameter: str = TIMEOUT_PARAMETER) -> DataFrame:
-    """The statement timeout set at account, warehouse and user level.
+    """Per object, the statement timeout in force.
 
-    One row per object that sets it, with the value that applies to work on
-    that object: the lowest non-zero of its own value and the account-level
-    value (0 means unset).  The account value is an aggregate per parameter
-    name (one row), joined back on the name.
+    The lowest non-zero of the values set for the object (0 means unset),
+    whether as a warehouse or as a user; an object that sets none has the
+    account's.  The account value is a scalar subquery (one row).
     """
     p = t["parameters"].filter(F.col("name") == parameter)
-    account = (p.filter((F.col("level") == "ACCOUNT") & (F.col("value") > 0))
-               .groupBy("name").agg(F.min("value").alias("_account")))
-    own = F.when(F.col("value") > 0, F.col("value"))
-    effective = F.least(own, F.col("_account"))
-    return p.join(account, on="name", how="left").select(
-        "level", "object", F.col("value").alias("value_seconds"), effective.cast("bigint").alias("effective_seconds"),
-    ).orderBy("level", "object")
+    account = p.filter((F.col("level") == "ACCOUNT") & (F.col("value") > 0)).agg(F.min("value")).scalar()
+    own = p.groupBy("object").agg(F.min(F.when(F.col("value") > 0, F.col("value"))).alias("_own"))
+    return own.select("object", F.coalesce("_own", account).cast("bigint").alias("effective_seconds")).orderBy("object")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (
-    LEDGER_GROUPS, MEASURE_ACTUAL, MEASURE_CONTRACT, MEASURE_PROJECTED, STORAGE_DOLLARS_PER_TB_MONTH, rounded,
+    LEDGER_GROUPS, MEASURE_ACTUAL, MEASURE_CONTRACT, MEASURE_PROJECTED, STORAGE_DOLLARS_PER_TB_MONTH,
 )
 from ..functions.time import add_months, as_datetime, ts_lit
 from ..operators.calendar import calendar_days
@@ -19,7 +19,8 @@ LEDGER_COLUMNS = [
     "warehouse_group_name", "warehouse_name", "group_contact", "group_cost_center", "group_comment",
     "start_time", "end_time", "credits_used", "credit_price", "dollars_used", "measure_type",
 ]
-_AMOUNT = "decimal(38,6)"
+# Credits have nine decimals and prices two, so dollars have eleven.
+_AMOUNT = "decimal(38,11)"
 _PRICE = "decimal(10,2)"
 _TB = 1024 ** 4
 
@@ -44,7 +45,7 @@ class Contract:
     def _per_day(self, value: Decimal) -> Column:
         with localcontext() as ctx:
             ctx.prec = 60
-            exact = (value / self.days).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+            exact = (value / self.days).quantize(Decimal("0.00000000001"), ROUND_HALF_UP)
         return F.lit(exact).cast(_AMOUNT)
 
     def dollars_per_day(self) -> Column:
@@ -105,7 +106,7 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00", lo: dt.datetime
     su = read("storage_usage")
     days_in_month = F.dayofmonth(F.last_day("usage_date"))
     total_bytes = F.col("storage_bytes") + F.col("stage_bytes") + F.col("failsafe_bytes")
-    storage_dollars = rounded(total_bytes / F.lit(float(_TB)) * STORAGE_DOLLARS_PER_TB_MONTH / days_in_month)
+    storage_dollars = total_bytes / F.lit(float(_TB)) * STORAGE_DOLLARS_PER_TB_MONTH / days_in_month
     storage = groups["storage_usage"]
     parts.append(_branch(su, storage, F.lit(storage), F.col("usage_date"), F.col("usage_date"), None, price,
                          storage_dollars, MEASURE_ACTUAL))
@@ -115,10 +116,6 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00", lo: dt.datetime
     return out
 
 
-# The seven actual-cost branches shared by the ledger and the forecast.
-cost_ledger = actual_costs
-
-
 def billing_ledger(t: Tables, credit_price: float | str = "4.00", term_start: dt.date | str = "2019-01-01",
                    term_months: int = 12, term_amount: float | str = "100000.00") -> DataFrame:
     """Every cost line, one projected line per contract day, and the contract total.
@@ -142,11 +139,10 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
     """Per contract day: contracted dollars, actual dollars and a linear forecast.
 
     Actual dollars are summed per day (partial aggregation collapses the
-    ledger to one row per day per task before the shuffle); the least-squares
-    line is fitted over contract days that have actuals and evaluated on
-    every contract day.  Fit and evaluation run over the calendar (one row
-    per contract day, bounded by the term), so no join with a one-row
-    result is needed.
+    ledger to one row per day per task before the shuffle).  The line is
+    fitted by the built-in regression aggregates over the contract days that
+    have actuals and evaluated on every contract day; without at least two
+    such days there is no line and the forecast is NULL.
     """
     c = Contract(credit_price, term_start, term_months, term_amount, inclusive_end=False)
     # Only contract days matter: this filter is pushed through the union
@@ -161,26 +157,12 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
     # Both sides hold at most one row per contract day (the actuals are
     # filtered to the term), so broadcasting the actuals is size-bounded.
     joined = days.join(F.broadcast(actual), on="consumption_date", how="left")
-    # Least squares over the days that have actuals, from exact decimal sums
-    # (n, sum x, sum y, sum xy, sum xx); only the final ratio is floating
-    # point, so the fit does not depend on summation order.
-    whole_term = Window.partitionBy(F.lit(c.start.date()))
-    x = F.datediff(F.col("consumption_date"), F.lit(c.start.date())).cast("bigint")
-    y = F.col("actual_dollars_used")
-    x_obs = F.when(y.isNotNull(), x)
-    fit = joined.select(
-        "*",
-        F.count(y).over(whole_term).alias("_n"), F.sum(x_obs).over(whole_term).alias("_sx"),
-        F.sum(y).over(whole_term).alias("_sy"), F.sum(x * y).over(whole_term).alias("_sxy"),
-        F.sum(x_obs * x_obs).over(whole_term).alias("_sxx"),
-    )
-    n, sx, sy, sxy, sxx = (F.col(k) for k in ("_n", "_sx", "_sy", "_sxy", "_sxx"))
-    slope = (n * sxy - sx * sy).cast("double") / (n * sxx - sx * sx).cast("double")
-    intercept = (sy.cast("double") - slope * sx.cast("double")) / n.cast("double")
-    forecast = x.cast("double") * slope + intercept
-    return fit.select(
+    x = F.datediff(F.col("consumption_date"), F.lit(c.start.date())).cast("double")
+    y = F.col("actual_dollars_used").cast("double")
+    slope, intercept = (joined.agg(fit(y, x)).scalar() for fit in (F.regr_slope, F.regr_intercept))
+    return joined.select(
         "consumption_date",
         c.dollars_per_day().alias("contracted_dollars_used"),
         "actual_dollars_used",
-        rounded(forecast, 2).alias("forecasted_dollars_used"),
+        (x * slope + intercept).alias("forecasted_dollars_used"),
     ).orderBy("consumption_date")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import client_family, rounded
+from ..functions.scalar import client_family
 from ..functions.time import add_months, as_datetime, hour_start, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.allocate import allocate_by_share
 from ..operators.overlap import hourly_overlap
-from ..operators.rollups import SUM_DECIMAL
 from ..sources.tables import Tables
 
 WMH, QH = "warehouse_metering_history", "query_history"
@@ -20,7 +20,7 @@ WMH, QH = "warehouse_metering_history", "query_history"
 def credits_by_warehouse_all(t: Tables) -> DataFrame:
     """Compute credits per warehouse over all metering history; largest first."""
     return (t[WMH].groupBy("warehouse_name")
-            .agg(F.sum("credits_used_compute").cast(SUM_DECIMAL).alias("credits_used_compute_sum"))
+            .agg(F.sum("credits_used_compute").alias("credits_used_compute_sum"))
             .orderBy(F.col("credits_used_compute_sum").desc(), "warehouse_name"))
 
 
@@ -28,7 +28,7 @@ def credits_by_warehouse_recent(t: Tables, as_of: dt.datetime, days: int = 7) ->
     """Compute credits per warehouse over the last ``days``; largest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
     return (t.since(WMH, cut).groupBy("warehouse_name")
-            .agg(F.sum("credits_used_compute").cast(SUM_DECIMAL).alias("credits_used_compute_sum"))
+            .agg(F.sum("credits_used_compute").alias("credits_used_compute_sum"))
             .orderBy(F.col("credits_used_compute_sum").desc(), "warehouse_name"))
 
 
@@ -37,7 +37,7 @@ def credits_by_hour_of_day(t: Tables, as_of: dt.datetime, days: int = 7) -> Data
     cut = as_datetime(as_of) - dt.timedelta(days=days)
     return (t.since(WMH, cut).filter(F.col("warehouse_id") > 0)
             .groupBy(F.hour("start_time").cast("bigint").alias("start_hour"), "warehouse_name")
-            .agg(rounded(F.avg("credits_used_compute")).alias("credits_used_compute_avg"))
+            .agg(F.avg("credits_used_compute").cast("double").alias("credits_used_compute_avg"))
             .orderBy("start_hour", "warehouse_name"))
 
 
@@ -54,11 +54,11 @@ def cloud_services_ratio(t: Tables, as_of: dt.datetime, months: int = 1) -> Data
     """Cloud-services share of credits per warehouse, for metering rows with cloud credits."""
     cut = next_midnight_or_same(add_months(as_datetime(as_of), -months))
     out = (t.since(WMH, cut).filter(F.col("credits_used_cloud_services") > 0).groupBy("warehouse_name").agg(
-        F.sum("credits_used").cast(SUM_DECIMAL).alias("credits_used"),
-        F.sum("credits_used_cloud_services").cast(SUM_DECIMAL).alias("credits_used_cloud_services"),
+        F.sum("credits_used").alias("credits_used"),
+        F.sum("credits_used_cloud_services").alias("credits_used_cloud_services"),
     ))
     ratio = F.try_divide(F.col("credits_used_cloud_services").cast("double"), F.col("credits_used").cast("double"))
-    return out.withColumn("percent_cloud_services", rounded(ratio)).orderBy(
+    return out.withColumn("percent_cloud_services", ratio).orderBy(
         F.col("percent_cloud_services").desc_nulls_last(), "warehouse_name")
 
 
@@ -70,7 +70,7 @@ def warehouse_over_7day_avg(t: Tables, rows: int = 7, min_credits: float = 100,
     The window partitions per warehouse over at most one row per day.
     """
     daily = t[WMH].groupBy(F.to_date("start_time").alias("start_date"), "warehouse_name").agg(
-        F.sum("credits_used").cast(SUM_DECIMAL).alias("credits_used_date_wh"))
+        F.sum("credits_used").alias("credits_used_date_wh"))
     frame = Window.partitionBy("warehouse_name").orderBy("start_date").rowsBetween(-rows, 0)
     value = F.col("credits_used_date_wh").cast("double")
     avg = F.avg(value).over(frame)
@@ -78,8 +78,8 @@ def warehouse_over_7day_avg(t: Tables, rows: int = 7, min_credits: float = 100,
     out = out.filter((F.col("credits_used_date_wh") > min_credits) & (F.col("_pct") >= min_pct))
     return out.select(
         "start_date", "warehouse_name", "credits_used_date_wh",
-        rounded(F.col("_avg")).alias("credits_used_7_day_avg"),
-        rounded(F.col("_pct")).alias("pct_over_to_7_day_average"),
+        F.col("_avg").alias("credits_used_7_day_avg"),
+        F.col("_pct").alias("pct_over_to_7_day_average"),
     ).orderBy(F.col("pct_over_to_7_day_average").desc(), "warehouse_name", "start_date")
 
 
@@ -87,24 +87,17 @@ def cost_per_query(t: Tables, as_of: dt.datetime, months: int = 1, credit_price:
     """Credits, dollars and dollars per query for each warehouse over the last month.
 
     Both sides are aggregated per warehouse before the join, so the join
-    sees one row per warehouse on each side.  ``credit_price`` is a price in
-    dollars and cents (as the ledger's ``decimal(10,2)`` price), so dollar
-    amounts are exact to the cent before the per-query division.
+    sees one row per warehouse on each side.  Credits and dollars keep their
+    full scale; only the cost per query is a price in cents.
     """
     cut = start_of_day(add_months(as_datetime(as_of), -months))
     qc = t.since(QH, cut).groupBy("warehouse_name").agg(F.count("query_id").alias("query_count_last_month"))
-    wc = t.since(WMH, cut).groupBy("warehouse_name").agg(
-        F.sum("credits_used").cast(SUM_DECIMAL).alias("credits_used_last_month"))
-    wc = wc.withColumn("credit_cost_last_month",
-                       (F.col("credits_used_last_month") * F.lit(credit_price)).cast(SUM_DECIMAL))
-    out = qc.join(wc, on="warehouse_name", how="inner")
-    # Dollars per query, rounded half-up to cents on the exact quotient
-    # (integer arithmetic: no intermediate rounding step).
-    cents = (F.col("credit_cost_last_month") * 100).cast("bigint")
-    count = F.col("query_count_last_month").cast("bigint")
-    per_query = F.when(F.col("_count") > 0, F.expr("(_cents * 2 + _count) div (_count * 2)"))
-    out = out.withColumn("_cents", cents).withColumn("_count", count).withColumn(
-        "cost_per_query", (per_query.cast("decimal(38,0)") / 100).cast("decimal(10,2)"))
+    wc = t.since(WMH, cut).groupBy("warehouse_name").agg(F.sum("credits_used").alias("credits_used_last_month"))
+    price = F.lit(Decimal(str(credit_price))).cast("decimal(10,4)")
+    wc = wc.withColumn("credit_cost_last_month", F.col("credits_used_last_month") * price)
+    # A warehouse without query ids has no price per query (no division by zero).
+    per_query = F.try_divide(F.col("credit_cost_last_month"), F.col("query_count_last_month").cast("decimal(20,0)"))
+    out = qc.join(wc, on="warehouse_name", how="inner").withColumn("cost_per_query", per_query.cast("decimal(10,2)"))
     return out.select("warehouse_name", "query_count_last_month", "credits_used_last_month",
                       "credit_cost_last_month", "cost_per_query").orderBy(F.col("cost_per_query").desc_nulls_last(),
                                                                         "warehouse_name")
@@ -143,7 +136,7 @@ def credits_by_user(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame
     usage = _usage_for_allocation(t, as_of, months)
     out = allocate_by_share(usage, _hour_cost(t, as_of, months), who="user_name", slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
-    return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
+    return out.orderBy(
         F.col("approximate_credits_used").desc(), "user_name", "warehouse_name")
 
 
@@ -164,7 +157,7 @@ def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
     out = allocate_by_share(named, _hour_cost(t, as_of, months), who="client_application_name",
                             slot=["warehouse_name", "hour"],
                             weight="execution_time", cost_col="credits_used", out_col="approximate_credits_used")
-    return out.withColumn("approximate_credits_used", rounded(F.col("approximate_credits_used"))).orderBy(
+    return out.orderBy(
         F.col("approximate_credits_used").desc(), "client_application_name", "warehouse_name")
 
 
@@ -179,14 +172,14 @@ def warehouse_utilization(t: Tables, as_of: dt.datetime, weeks: int = 1) -> Data
     """
     cut = next_midnight_or_same(as_datetime(as_of) - dt.timedelta(weeks=weeks))
     metering = t.since(WMH, cut).select("warehouse_name", "start_time", "credits_used")
-    queries = t.since(QH, cut).select("warehouse_name", "start_time", "end_time", "execution_time")
-    per_hour = hourly_overlap(queries, key="warehouse_name").select(
+    queries = t.since(QH, cut).select("query_id", "warehouse_name", "start_time", "end_time", "execution_time")
+    per_hour = hourly_overlap(queries, key="warehouse_name", row_id="query_id").select(
         "warehouse_name", F.col("hour").alias("start_time"),
         (F.coalesce(F.col("contained_ms"), F.lit(0)) / 1000 + F.coalesce(F.col("partial_seconds"), F.lit(0)))
         .alias("_seconds"),
         F.col("pairs").alias("_pairs"))
     joined = metering.join(per_hour, on=["warehouse_name", "start_time"], how="left")
     return joined.groupBy("warehouse_name", "start_time", "credits_used").agg(
-        rounded(F.sum(F.coalesce(F.col("_seconds"), F.lit(0.0)))).alias("total_execution_time_seconds"),
+        F.sum(F.coalesce(F.col("_seconds"), F.lit(0.0))).alias("total_execution_time_seconds"),
         F.sum(F.coalesce(F.col("_pairs"), F.lit(0))).cast("bigint").alias("query_count"),
     )

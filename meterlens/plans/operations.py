@@ -7,11 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import INGEST_BULK, INGEST_PIPE, TASK_FAILED, TASK_SUCCEEDED, rounded
+from ..functions.scalar import INGEST_BULK, INGEST_PIPE, TASK_FAILED, TASK_SUCCEEDED
 from ..functions.time import as_datetime, seconds_crossed
-from ..sources.tables import SCHEMAS, Tables
-
-_TASK_COLUMNS = [f.name for f in SCHEMAS["task_history"].fields]
+from ..sources.tables import Tables, all_columns
 
 
 def ingest_daily(t: Tables) -> DataFrame:
@@ -29,7 +27,7 @@ def ingest_daily(t: Tables) -> DataFrame:
     ).agg(
         F.sum("row_count").cast("bigint").alias("row_count"),
         F.sum("row_parsed").cast("bigint").alias("rows_parsed"),
-        rounded(F.avg("file_size")).alias("avg_file_size_bytes"),
+        F.avg("file_size").alias("avg_file_size_bytes"),
         total.cast("bigint").alias("total_file_size_bytes"),
         *sizes,
     )
@@ -37,16 +35,17 @@ def ingest_daily(t: Tables) -> DataFrame:
 
 
 def failed_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """Task runs that failed in the last ``days``; newest first."""
+    """Task runs that failed in the last ``days``, all columns; newest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
-    return (t.since("task_history", cut).filter(F.col("state") == TASK_FAILED).select(*_TASK_COLUMNS)
+    failed = t.since("task_history", cut).filter(F.col("state") == TASK_FAILED)
+    return (all_columns(failed, "task_history")
             .orderBy(F.col("query_start_time").desc(), "task_id"))
 
 
 def long_tasks(t: Tables, as_of: dt.datetime, days: int = 7) -> DataFrame:
-    """Successful task runs of the last ``days`` with their duration; longest first."""
+    """Successful task runs of the last ``days`` with their duration, all columns; longest first."""
     cut = as_datetime(as_of) - dt.timedelta(days=days)
     runs = t.since("task_history", cut).filter(F.col("state") == TASK_SUCCEEDED)
-    return runs.select(
-        seconds_crossed(F.col("query_start_time"), F.col("completed_time")).alias("duration_seconds"), *_TASK_COLUMNS,
+    return all_columns(runs, "task_history").select(
+        seconds_crossed(F.col("query_start_time"), F.col("completed_time")).alias("duration_seconds"), "*",
     ).orderBy(F.col("duration_seconds").desc(), "task_id")

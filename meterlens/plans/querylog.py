@@ -7,17 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import QUERY_DETAIL_URL, QUERY_HISTORY_URL, div0, rounded, url_for_query, warehouse_nodes
+from ..functions.scalar import QUERY_DETAIL_URL, QUERY_HISTORY_URL, div0, url_for_query, warehouse_nodes
 from ..functions.time import add_months, as_datetime, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.buckets import bucket_counts
-from ..operators.ranking import global_row_number, range_partitions, top_k
-from ..operators.rollups import SUM_DECIMAL
-from ..session import ensure_checkpoint_dir
-from ..sources.tables import SCHEMAS, Tables
+from ..operators.prefilter import keep_hashes
+from ..operators.ranking import rank_among, top_k
+from ..sources.tables import Tables, all_columns
 
 QH = "query_history"
-# Largest row count we hint for broadcast on the strength of a limit alone.
-BROADCAST_ROW_LIMIT = 100_000
 _MS_PER = {"seconds": 1000, "minutes": 1000 * 60, "hours": 1000 * 60 * 60}
 
 
@@ -72,16 +69,17 @@ def frequent_queries(t: Tables, as_of: dt.datetime, months: int = 1, min_count:
     Query texts are the widest column of the log and mostly unique, so a
     plain ``groupBy(text)`` would shuffle nearly every text.  Instead the
     texts are first counted by a 64-bit hash (8 bytes per row through the
-    shuffle, combined map-side); only rows whose hash reaches ``min_count``
-    -- a superset of the answer, since a text's count never exceeds its
-    hash's count -- are grouped by the exact text.  Collisions can only add
-    candidates, never lose or merge texts, so the result is exact.
+    shuffle, combined map-side).  A bitmap of the hashes that reach
+    ``min_count``, of fixed size, drops the other rows where they are read;
+    the exact semi join and the grouping by exact text see only candidates.
+    Collisions can only add candidates, never lose or merge texts, so the
+    result is exact.
     """
     q = t.since(QH, _day_after_months_before(as_of, months)).filter(F.col("total_elapsed_time") > 0)
     q = q.select("query_text", "total_elapsed_time", F.xxhash64("query_text").alias("_h"))
     candidates = q.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_count).select("_h")
     total = F.sum("total_elapsed_time")
-    out = q.join(candidates, on="_h", how="left_semi").groupBy("query_text").agg(
+    out = keep_hashes(q, candidates, "_h").join(candidates, on="_h", how="left_semi").groupBy("query_text").agg(
         F.count(F.lit(1)).alias("number_of_queries"),
         (total / _MS_PER["seconds"]).alias("execution_seconds"),
         (total / _MS_PER["minutes"]).alias("execution_minutes"),
@@ -100,28 +98,15 @@ def longest_queries(t: Tables, as_of: dt.datetime, months: int = 1, n: int = 50,
     """The ``n`` longest queries of the last month, each labelled with its rank
     by partitions scanned among *all* qualifying queries.
 
-    The label is a global row number.  It is computed distributed on a
-    narrow (id, partitions) projection (``global_row_number``) of the
-    queries that can precede a survivor, and joined to the ``n`` survivors,
-    which are broadcast (their size is the limit).
+    The label is the row number over partitions scanned (most first, then
+    query id).  A survivor's is one more than the number of queries ahead of
+    it, so the log is counted against the ``n`` survivors' keys
+    (``rank_among``), never sorted or numbered.
     """
     q = _scan_candidates(t, as_of, months)
-    # The <= n survivors are computed once and kept (a tiny checkpoint), as
-    # both the numbering bound and the final join read them.
-    ensure_checkpoint_dir(q.sparkSession)
-    survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n).checkpoint(eager=True)
-    # A query that scanned fewer partitions than every survivor ranks after
-    # all of them, so only queries at or above the survivors' minimum need a
-    # number (a scalar subquery over the survivors; exact).
-    floor = survivors.agg(F.min("partitions_scanned")).scalar()
-    contenders = q.filter(F.col("partitions_scanned") >= floor).select("query_id", "partitions_scanned")
-    ranked = global_row_number(contenders, [F.col("partitions_scanned").desc(), F.col("query_id")],
-                               name="query_id_int", partitions=range_partitions(q.select("query_id")))
-    # The survivors are at most ``n`` rows; hint a broadcast only while that
-    # bound is small, otherwise leave the choice to AQE's measured sizes.
-    small = F.broadcast(survivors) if n <= BROADCAST_ROW_LIMIT else survivors
-    out = small.join(ranked.select("query_id", "query_id_int"), on="query_id", how="inner")
-    return out.select(
+    survivors = top_k(q, [F.col("total_elapsed_time").desc(), F.col("query_id")], n)
+    ranked = rank_among(survivors, q, [-F.col("partitions_scanned"), F.col("query_id")], n, name="query_id_int")
+    return ranked.select(
         "query_id", _query_url(account, F.col("query_id")).alias("query_profile_url"), "query_id_int", "query_text",
         (F.col("total_elapsed_time") / 1000).alias("query_execution_time_seconds"),
         "partitions_scanned", "partitions_total", "total_elapsed_time",
@@ -152,8 +137,9 @@ def execution_time_buckets(t: Tables, as_of: dt.datetime, warehouse: str, weeks:
     """Queries per execution-time bucket for one warehouse over the last week.
 
     Buckets follow the source's outer-join rules (see ``bucket_counts``):
-    the whole log decides which buckets exist (two columns of it are read),
-    the week's rows of the warehouse decide the counts (pruned, pushed).
+    the whole log decides which buckets exist (a first-match probe for each
+    bucket, its bounds pushed into the scan), the week's rows of the
+    warehouse decide the counts (pruned, pushed).
     """
     cut = start_of_day(as_datetime(as_of)) - dt.timedelta(weeks=weeks)
     passing = t.since(QH, cut).filter(
@@ -179,7 +165,7 @@ def full_scan_users(t: Tables, as_of: dt.datetime, months: int = 1, fraction: fl
 
 def full_scan_queries(t: Tables, as_of: dt.datetime, months: int = 1, fraction: float = 0.95, n: int = 50) -> DataFrame:
     """The worst ``n`` (near) full table scans of last month, all columns."""
-    q = _full_scans(t, as_of, months, fraction).select(*[f.name for f in SCHEMAS[QH].fields])
+    q = all_columns(_full_scans(t, as_of, months, fraction), QH)
     return top_k(q, [F.col("partitions_scanned").desc_nulls_last(), F.col("query_id")], n)
 
 
@@ -188,7 +174,7 @@ def heavy_scanners(t: Tables, as_of: dt.datetime, days: int = 45) -> DataFrame:
     cut = start_of_day(as_datetime(as_of)) - dt.timedelta(days=days - 1)
     frac = F.when(F.col("partitions_total") > 0, F.col("partitions_scanned") / F.col("partitions_total")).otherwise(0.0)
     return (t.since(QH, cut).groupBy("user_name", "warehouse_name")
-            .agg(rounded(F.avg(frac)).alias("avg_pct_scanned"))
+            .agg(F.avg(frac).alias("avg_pct_scanned"))
             .orderBy(F.col("avg_pct_scanned").desc(), "user_name", "warehouse_name"))
 
 
@@ -226,8 +212,8 @@ def queue_pressure(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
     cut = next_midnight_or_same(add_months(as_datetime(as_of), -months))
     return (t.since("warehouse_load_history", cut, column="start_time")
             .groupBy(F.to_date("start_time").alias("date"), "warehouse_name")
-            .agg(F.sum("avg_running").cast(SUM_DECIMAL).alias("sum_running"),
-                 F.sum("avg_queued_load").cast(SUM_DECIMAL).alias("sum_queued"))
+            .agg(F.sum("avg_running").alias("sum_running"),
+                 F.sum("avg_queued_load").alias("sum_queued"))
             .filter(F.col("sum_queued") > 0))
 
 
@@ -239,11 +225,10 @@ def cache_usage(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFrame:
         # Bytes summed as decimal(38,0): a month of a busy warehouse can pass
         # the bigint range, which would fail under ANSI arithmetic.
         F.sum(F.col("bytes_scanned").cast("decimal(38,0)")).alias("bytes_scanned"),
-        F.sum(F.col("bytes_scanned") * F.col("percentage_scanned_from_cache")).cast(SUM_DECIMAL)
-        .alias("bytes_scanned_from_cache"),
+        F.sum(F.col("bytes_scanned") * F.col("percentage_scanned_from_cache")).alias("bytes_scanned_from_cache"),
     )
     ratio = F.try_divide(F.col("bytes_scanned_from_cache").cast("double"), F.col("bytes_scanned").cast("double"))
-    return out.withColumn("percent_scanned_from_cache", rounded(ratio)).orderBy("percent_scanned_from_cache",
+    return out.withColumn("percent_scanned_from_cache", ratio).orderBy("percent_scanned_from_cache",
                                                                                 "warehouse_name")
 
 
@@ -253,7 +238,7 @@ def role_segmentation(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
     the aggregate (at most one row per role per warehouse)."""
     cut = next_midnight_or_same(add_months(as_datetime(as_of), -months))
     agg = t.since(QH, cut).groupBy("warehouse_name", "role_name").agg(
-        rounded(F.avg("execution_time")).alias("average_execution_time"),
+        F.avg("execution_time").alias("average_execution_time"),
         F.count("query_id").alias("count_of_queries"))
     out = agg.withColumn("roles_per_warehouse",
                          F.count("role_name").over(Window.partitionBy("warehouse_name")).cast("bigint"))

@@ -8,7 +8,6 @@ and it only *fills in* settings the cluster has not already fixed.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -37,32 +36,4 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     builder = builder.config("spark.driver.memory", os.environ.get("METERLENS_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is (and is required).  Only a local session without one (a test on
-    one machine) gets a fresh scratch folder.
-    """
-    try:
-        context = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        context = None
-    current = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir() if context else None)
-    if current:
-        if context is not None and not context.getCheckpointDir():
-            context.setCheckpointDir(current)
-        return current
-    master = (context.master if context is not None else spark.conf.get("spark.master", "")) or ""
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local folder "
-                           "cannot hold checkpoints for a cluster")
-    folder = tempfile.mkdtemp(prefix="meterlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    if context is not None:
-        context.setCheckpointDir(folder)
-    return folder

@@ -32,7 +32,8 @@ FIXTURE_CLIENT_IDS = [prefix + version for (prefix, _), version in
 
 
 def _credits(col):
-    return col.cast("decimal(18,2)")
+    """Credits with all nine decimals in use: cents of ``col`` times 0.010000123."""
+    return (F.round(col * 100).cast("bigint") * F.lit(Decimal("0.010000123"))).cast("decimal(18,9)")
 
 
 def _plus_seconds(ts, seconds):
@@ -82,7 +83,7 @@ class DriverBridge:
             (F.col("k") * 1000).alias("bytes_scanned"),
             F.when(F.col("user_id") % 5 == 0, F.col("cents") * 10).otherwise(0)
             .alias("bytes_spilled_to_remote_storage"),
-            (F.col("k") * F.lit(Decimal("0.01"))).alias("percentage_scanned_from_cache"),
+            (F.col("k") / 100).alias("percentage_scanned_from_cache"),
         ), "query_history")
 
     def _events_between(self, lo, hi) -> DataFrame:
@@ -108,7 +109,9 @@ class DriverBridge:
         ).agg(
             F.sum(value).alias("credits_used"),
             F.sum(F.when(~cloud, value).otherwise(F.lit(Decimal("0")))).alias("credits_used_compute"),
-            F.sum(F.when(cloud, value).otherwise(F.lit(Decimal("0")))).alias("credits_used_cloud_services"),
+            # Some warehouses have far less than a cent of cloud credits an hour.
+            F.sum(F.when(cloud, F.when(F.col("event_type") == "error", F.lit(Decimal("0.0004"))).otherwise(value))
+                  .otherwise(F.lit(Decimal("0")))).alias("credits_used_cloud_services"),
         ), "warehouse_metering_history")
 
     def warehouse_load_history(self, e: DataFrame | None = None) -> DataFrame:
@@ -116,8 +119,8 @@ class DriverBridge:
         return conform(e.groupBy(
             F.col("event_type").alias("warehouse_name"), hour_start(F.col("ts")).alias("start_time"),
         ).agg(
-            F.count(F.lit(1)).alias("avg_running"),
-            F.sum(F.when(F.col("user_id") % 29 == 0, 1).otherwise(0)).alias("avg_queued_load"),
+            (F.count(F.lit(1)) * F.lit(Decimal("0.125"))).alias("avg_running"),
+            (F.sum(F.when(F.col("user_id") % 29 == 0, 1).otherwise(0)) * F.lit(Decimal("0.0004"))).alias("avg_queued_load"),
         ), "warehouse_load_history")
 
     def task_history(self) -> DataFrame:

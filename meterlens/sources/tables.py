@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,8 @@ from ..functions.time import ts_lit
 
 _S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 _TS, _D = T.TimestampNTZType(), T.DateType()
-_CREDITS = T.DecimalType(18, 2)
+# Credits and loads carry nine decimals; sums keep them (decimal(28,9)).
+_CREDITS = T.DecimalType(18, 9)
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -40,7 +42,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("start_time", _TS), ("end_time", _TS), ("execution_time", _L), ("total_elapsed_time", _L),
         ("error_code", _S), ("partitions_scanned", _L), ("partitions_total", _L),
         ("bytes_scanned", _L), ("bytes_spilled_to_remote_storage", _L),
-        ("percentage_scanned_from_cache", T.DecimalType(5, 2)),
+        ("percentage_scanned_from_cache", T.DoubleType()),
     ),
     "warehouse_metering_history": _schema(
         ("warehouse_id", _I), ("warehouse_name", _S), ("start_time", _TS), ("end_time", _TS),
@@ -97,6 +99,13 @@ Source = DataFrame | Callable[[], DataFrame]
 BoundedReader = Callable[[dt.datetime | None, dt.datetime | None], DataFrame]
 
 
+class MissingTable(KeyError):
+    """A report asked for a telemetry table that the source does not have."""
+
+    def __str__(self) -> str:
+        return f"telemetry table {self.args[0]!r} is not available"
+
+
 class Tables:
     """Named telemetry DataFrames, resolved lazily and memoised per name.
 
@@ -107,8 +116,10 @@ class Tables:
     by aggregation, whose time column is an expression the scan cannot see).
     """
 
-    def __init__(self, sources: Mapping[str, Source], bounded: Mapping[str, BoundedReader] | None = None):
+    def __init__(self, sources: Mapping[str, Source], bounded: Mapping[str, BoundedReader] | None = None,
+                 raw: Mapping[str, Callable[[], DataFrame]] | None = None):
         self._sources = dict(sources)
+        self._raw = dict(raw or {})
         self._frames: dict[str, DataFrame] = {}
         self._bounded = dict(bounded or {})
 
@@ -117,8 +128,13 @@ class Tables:
             try:
                 source = self._sources[name]
             except KeyError:
-                raise KeyError(f"telemetry table {name!r} is not available") from None
-            self._frames[name] = source() if callable(source) else source
+                raise MissingTable(name) from None
+            try:
+                self._frames[name] = source() if callable(source) else source
+            except AnalysisException as err:
+                if err.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                    raise MissingTable(name) from err
+                raise
         return self._frames[name]
 
     def __contains__(self, name: str) -> bool:
@@ -164,11 +180,14 @@ class Tables:
     def validate(self, names: list[str] | None = None) -> None:
         """Check that each table has the declared columns with castable types.
 
-        Raises ``ValueError`` naming every missing or incompatible column.
+        Raises ``ValueError`` naming every missing column and every column
+        whose values a cast could cut (a finer decimal scale, a wider integer).
         """
         problems = []
         for name in names or self.names():
-            have = {f.name.lower(): f.dataType for f in self[name].schema.fields}
+            source = self._sources[name]  # as stored, before any cast
+            raw = self._raw[name]() if name in self._raw else source() if callable(source) else source
+            have = {f.name.lower(): f.dataType for f in raw.schema.fields}
             for f in SCHEMAS[name].fields:
                 kind = have.get(f.name)
                 if kind is None:
@@ -178,31 +197,33 @@ class Tables:
         if problems:
             raise ValueError("telemetry schema problems: " + "; ".join(problems))
 
+    def repeated_ids(self, name: str = "query_history", key: str = "query_id") -> DataFrame:
+        """Ids that stand in more than one row, with their counts (none in sound telemetry)."""
+        return (self[name].groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+                .filter(F.col(key).isNotNull() & (F.col("rows") > 1)))
+
     # -- constructors -------------------------------------------------
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> Tables:
         """One folder per table under ``root`` (as written by ``save``).
 
-        Each table is projected onto its declared schema with explicit casts
-        (a no-op when the files already hold those types, so filters still
-        reach the reader); fact tables keep their date partition column.
+        Declared columns are cast to their types (a no-op when the files
+        already hold them, so filters still reach the reader); all other
+        columns, the date partition column among them, stay as they are.
         """
         names = names or list(SCHEMAS)
-
-        def reader(name: str) -> Callable[[], DataFrame]:
-            def read() -> DataFrame:
-                df = spark.read.parquet(f"{root}/{name}")
-                extra = [PARTITIONING[name][1]] if name in PARTITIONING else []
-                return conform(df, name, keep=[c for c in extra if c in df.columns])
-            return read
-
-        return cls({n: reader(n) for n in names})
+        return cls._conforming({n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, names: list[str] | None = None) -> Tables:
-        """Catalog tables ``database.<name>``, projected onto the declared schemas."""
+        """Catalog tables ``database.<name>``, all columns, declared ones cast to
+        their types; a date partition column stays and prunes bounded scans."""
         names = names or list(SCHEMAS)
-        return cls({n: (lambda n=n: conform(spark.table(f"{database}.{n}"), n)) for n in names})
+        return cls._conforming({n: (lambda n=n: spark.table(f"{database}.{n}")) for n in names})
+
+    @classmethod
+    def _conforming(cls, raw: Mapping[str, Callable[[], DataFrame]]) -> Tables:
+        return cls({n: (lambda n=n: conform(raw[n](), n)) for n in raw}, raw=raw)
 
     def save(self, root: str, mode: str = "overwrite") -> None:
         """Write every table as parquet; fact tables partitioned by date.
@@ -212,32 +233,58 @@ class Tables:
         rows is split over several tasks instead of landing in one.
         """
         for name in self.names():
-            df = self[name].select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
-            writer_df = df
+            df = conform(self[name], name)
             if name in PARTITIONING:
                 time_col, part_col = PARTITIONING[name]
-                writer_df = (df.withColumn(part_col, F.to_date(time_col))
-                             .repartitionByRange(F.col(part_col), F.col(time_col))
-                             .sortWithinPartitions(part_col, time_col))
-                writer_df.write.mode(mode).partitionBy(part_col).parquet(f"{root}/{name}")
+                by_day = (df.withColumn(part_col, F.to_date(time_col))
+                          .repartitionByRange(F.col(part_col), F.col(time_col))
+                          .sortWithinPartitions(part_col, time_col))
+                by_day.write.mode(mode).partitionBy(part_col).parquet(f"{root}/{name}")
             else:
-                writer_df.write.mode(mode).parquet(f"{root}/{name}")
+                df.write.mode(mode).parquet(f"{root}/{name}")
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the declared columns of ``name`` cast to their types and
+    named in lower case; undeclared columns stay as they are, in place."""
+    declared = {f.name: f.dataType for f in SCHEMAS[name].fields}
+    have = {c.lower() for c in df.columns}
+    missing = [c for c in declared if c not in have]
+    if missing:
+        raise ValueError(f"telemetry table {name!r} lacks {missing}")
+
+    def column(c: str):
+        col = F.col("`" + c.replace("`", "``") + "`")
+        return col.cast(declared[c.lower()]).alias(c.lower()) if c.lower() in declared else col
+
+    return df.select(*[column(c) for c in df.columns])
+
+
+def all_columns(df: DataFrame, name: str) -> DataFrame:
+    """``SELECT *`` of a table: every column but the date that only lays out its files."""
+    layout = PARTITIONING[name][1] if name in PARTITIONING else None
+    return df.drop(layout) if layout else df
 
 
-def conform(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
-    """Project ``df`` onto the declared schema of ``name`` (explicit casts),
-    keeping the extra columns in ``keep`` as they are."""
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
-    return df.select(*cols, *[F.col(c) for c in keep or []])
+_WHOLE = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
 
 def _castable(have: T.DataType, want: T.DataType) -> bool:
+    """Whether every value of type ``have`` survives a cast to ``want``."""
     if have == want:
         return True
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
     times = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    if isinstance(want, numeric):
-        return isinstance(have, numeric)
+    if isinstance(want, T.DecimalType):
+        if isinstance(have, T.DecimalType):
+            return have.scale <= want.scale and have.precision - have.scale <= want.precision - want.scale
+        return type(have) in _WHOLE and _WHOLE[type(have)] <= want.precision - want.scale
+    if isinstance(want, T.DoubleType):
+        return isinstance(have, (T.FloatType, T.ByteType, T.ShortType, T.IntegerType)) or (
+            isinstance(have, T.DecimalType) and have.precision <= 15)
+    if type(want) in _WHOLE:
+        if isinstance(have, T.DecimalType):
+            return have.scale == 0 and have.precision < _WHOLE[type(want)]
+        return type(have) in _WHOLE and _WHOLE[type(have)] <= _WHOLE[type(want)]
     if isinstance(want, times):
         return isinstance(have, times) or isinstance(have, T.StringType)
     if isinstance(want, T.StringType):
