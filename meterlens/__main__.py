@@ -8,25 +8,36 @@
 from __future__ import annotations
 
 import argparse
+import sys
+from typing import get_args
 
 from pyspark.sql import SparkSession
 
 from .functions.time import as_datetime
 from .plans import REPORTS
-from .plans.catalog import SECTIONS, TIERS, run_report
+from .plans.catalog import SECTIONS, parameters, run_report, run_section
 from .sources.tables import Tables
 
 
-def _value(text: str):
+def _value(name: str, key: str, text: str):
+    """``text`` as the type that the report's parameter is annotated with."""
+    known = parameters(name)
+    if key not in known:
+        raise ValueError(f"report {name!r} has no parameter {key!r}")
+    kinds = get_args(known[key].annotation) or (known[key].annotation,)
+    if bool in kinds:
+        return text.lower() in ("1", "true", "yes")
     for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
+        if kind in kinds and str not in kinds:
+            try:
+                return kind(text)
+            except ValueError:
+                continue
     return text
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None) -> int:
+    """0 if every report was written, 1 if some were skipped."""
     ap = argparse.ArgumentParser(prog="meterlens", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     ap.add_argument("report", nargs="?", choices=sorted(REPORTS))
     ap.add_argument("--section", choices=sorted(SECTIONS))
@@ -46,21 +57,26 @@ def main(argv: list[str] | None = None) -> None:
     t = Tables.from_parquet(spark, args.tables) if args.tables else Tables.from_catalog(spark, args.database)
     as_of = as_datetime(args.as_of) if args.as_of else None
     params = dict(p.split("=", 1) for p in args.param)
-    params = {k: _value(v) for k, v in params.items()}
-    names = [args.report] if args.report else [
-        n for n in SECTIONS[args.section] if args.tier is None or TIERS.get(n) == args.tier]
-    for name in names:
-        try:
-            df = run_report(t, name, as_of, **params)
-        except (ValueError, KeyError) as err:
-            print(f"skip {name}: {err}")
-            continue
+    if args.report:
+        typed = {k: _value(args.report, k, v) for k, v in params.items()}
+        reports, skipped = {args.report: run_report(t, args.report, as_of, **typed)}, {}
+    else:
+        owner = {k: n for n in SECTIONS[args.section] for k in parameters(n)}
+        unknown = sorted(set(params) - set(owner))
+        if unknown:
+            raise ValueError(f"no report of section {args.section!r} has a parameter {unknown}")
+        reports = run_section(t, args.section, as_of, args.tier, **{k: _value(owner[k], k, v) for k, v in params.items()})
+        skipped = reports.skipped
+    for name, df in reports.items():
         writer = df.write.mode("overwrite")
         if args.format == "csv":
             writer = writer.option("header", "true")
         writer.format(args.format).save(f"{args.out}/{name}")
         print(f"wrote {args.out}/{name}")
+    for name, reason in skipped.items():
+        print(f"skipped {name}: {reason}", file=sys.stderr)
+    return 1 if skipped else 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

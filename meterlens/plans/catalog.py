@@ -10,7 +10,7 @@ import inspect
 
 from pyspark.sql import DataFrame
 
-from ..sources.tables import Tables
+from ..sources.tables import MissingTable, Tables
 
 SECTIONS: dict[str, list[str]] = {
     "demo": ["no_resource_monitor", "most_scanned_queries", "clustering_cost_daily", "cloud_services_ratio"],
@@ -60,37 +60,62 @@ TIERS: dict[str, int | None] = {
 # --- end of fixed values
 
 
+class MissingParameter(ValueError):
+    """A report needs a parameter that was not given."""
+
+
+class SectionReports(dict[str, DataFrame]):
+    """The reports of a section by key; ``skipped`` names those that could
+    not be built, with the reason."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.skipped: dict[str, str] = {}
+
+
+def parameters(name: str) -> dict[str, inspect.Parameter]:
+    """The parameters of a report besides its tables."""
+    from . import REPORTS
+
+    return {k: p for k, p in inspect.signature(REPORTS[name], eval_str=True).parameters.items() if k != "t"}
+
+
 def run_report(t: Tables, name: str, as_of: dt.datetime | None = None, **params) -> DataFrame:
-    """Run one report, passing ``as_of`` and only the parameters it accepts."""
+    """Run one report; ``as_of`` goes to reports that take it, any other
+    parameter must be one of the report's."""
     from . import REPORTS
 
-    fn = REPORTS[name]
-    accepted = inspect.signature(fn).parameters
-    kwargs = {k: v for k, v in params.items() if k in accepted}
+    accepted = parameters(name)
+    unknown = sorted(set(params) - set(accepted))
+    if unknown:
+        raise ValueError(f"report {name!r} has no parameter {unknown}")
     if "as_of" in accepted:
         if as_of is None:
-            raise ValueError(f"report {name!r} needs as_of")
-        kwargs["as_of"] = as_of
-    missing = [p.name for p in accepted.values()
-               if p.default is inspect.Parameter.empty and p.name not in kwargs and p.name != "t"]
+            raise MissingParameter(f"report {name!r} needs as_of")
+        params["as_of"] = as_of
+    missing = [k for k, p in accepted.items() if p.default is inspect.Parameter.empty and k not in params]
     if missing:
-        raise ValueError(f"report {name!r} needs {missing}")
-    return fn(t, **kwargs)
+        raise MissingParameter(f"report {name!r} needs {missing}")
+    return REPORTS[name](t, **params)
 
 
 def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, tier: int | None = None,
-                **params) -> dict[str, DataFrame]:
+                **params) -> SectionReports:
     """All reports of a section (optionally of one tier) as lazy DataFrames.
 
-    Reports that need a parameter not given (e.g. the warehouse of
-    ``execution_time_buckets``) or a table ``t`` does not have are skipped.
+    A parameter goes to the reports that have it; one that none has is an
+    error.  Reports that lack a parameter (e.g. the warehouse of
+    ``execution_time_buckets``) or a table are listed in ``skipped`` of the
+    result; every other error is raised.
     """
-    out = {}
-    for name in SECTIONS[section]:
-        if tier is not None and TIERS.get(name) != tier:
-            continue
+    names = [n for n in SECTIONS[section] if tier is None or TIERS.get(n) == tier]
+    unknown = sorted(set(params) - {p for n in names for p in parameters(n)})
+    if unknown:
+        raise ValueError(f"no report of section {section!r} has a parameter {unknown}")
+    out = SectionReports()
+    for name in names:
         try:
-            out[name] = run_report(t, name, as_of, **params)
-        except (ValueError, KeyError):
-            continue
+            out[name] = run_report(t, name, as_of, **{k: v for k, v in params.items() if k in parameters(name)})
+        except (MissingParameter, MissingTable) as err:
+            out.skipped[name] = str(err)
     return out
