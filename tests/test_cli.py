@@ -26,18 +26,43 @@ def test_section_runner_and_cli(spark):
     Tables({n: bridge[n] for n in names}).save(root)
     t = Tables.from_parquet(spark, root, names)
     reports = run_section(t, "setup", as_of=dt.datetime(2024, 2, 15))
-    assert set(reports) == set(SECTIONS["setup"])
+    assert set(reports) == set(SECTIONS["setup"]) and reports.skipped == {}
     usage = run_section(t, "usage", as_of=dt.datetime(2024, 2, 15))
-    assert "execution_time_buckets" not in usage  # needs a warehouse
+    # Left out, and said so: one lacks its warehouse, one a table.
+    assert set(usage.skipped) == {"execution_time_buckets", "usage_forecast"}
+    assert "needs ['warehouse']" in usage.skipped["execution_time_buckets"]
+    assert "is not available" in usage.skipped["usage_forecast"]
+    assert set(usage) | set(usage.skipped) == set(SECTIONS["usage"])
     assert usage["credits_by_user"].count() > 0
     out = tempfile.mkdtemp(prefix="meterlens-out-")
-    main(["--section", "setup", "--tables", root, "--as-of", "2024-02-15", "--out", out])
+    assert main(["--section", "setup", "--tables", root, "--as-of", "2024-02-15", "--out", out]) == 0
     assert sorted(os.listdir(out)) == sorted(SECTIONS["setup"])
     back = spark.read.parquet(f"{out}/idle_roles").collect()
     assert sorted(r.name for r in back) == sorted(r.name for r in REPORTS["idle_roles"](t, dt.datetime(2024, 2, 15))
                                                   .collect())
 
 
+def test_cli_reports_what_it_skips(spark, capsys):
+    import pytest
+
+    root, out = tempfile.mkdtemp(prefix="meterlens-store-"), tempfile.mkdtemp(prefix="meterlens-out-")
+    bridge = driver_tables(spark, SF001)
+    Tables({"query_history": bridge["query_history"]}).save(root)
+    code = main(["--section", "usage", "--tier", "2", "--tables", root, "--as-of", "2024-02-15", "--out", out])
+    assert code == 1 and "skipped execution_time_buckets" in capsys.readouterr().err
+    with pytest.raises(ValueError, match="min_cuont"):
+        main(["frequent_queries", "--tables", root, "--as-of", "2024-02-15", "--out", out, "--param", "min_cuont=9"])
+
+
+def test_cli_values_follow_the_parameter():
+    from meterlens.__main__ import _value
+
+    assert _value("execution_time_buckets", "warehouse", "123") == "123"
+    assert _value("frequent_queries", "min_count", "12") == 12
+    assert _value("spill_ratio", "factor", "2.5") == 2.5
+    assert _value("billing_ledger", "credit_price", "4.10") == "4.10"  # a price stays exact
+
+
 def test_validate_names_schema_problems(spark):
     import pytest
 
@@ -48,6 +73,25 @@ def test_validate_names_schema_problems(spark):
         bad.validate()
 
 
+def test_validate_refuses_types_that_a_cast_would_cut(spark):
+    import pytest
+
+    wide = good = driver_tables(spark, SF001)["warehouse_metering_history"]
+    for kind in ("decimal(38,12)", "double", "decimal(38,9)"):
+        bad = Tables({"warehouse_metering_history": wide.withColumn("credits_used", wide.credits_used.cast(kind))})
+        with pytest.raises(ValueError, match="warehouse_metering_history.credits_used"):
+            bad.validate()
+    bad = Tables({"warehouse_metering_history": wide.withColumn("warehouse_id", wide.warehouse_id.cast("bigint"))})
+    with pytest.raises(ValueError, match="warehouse_id: bigint is not int"):
+        bad.validate()
+    Tables({"warehouse_metering_history": good.withColumn("credits_used", good.credits_used.cast("decimal(11,2)"))}).validate()
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "query_id string")
+    assert [tuple(r) for r in Tables({"query_history": df}).repeated_ids().collect()] == [("a", 2)]
+
+
 def test_from_parquet_accepts_utc_timestamps(spark):
     from pyspark.sql import functions as F
 
@@ -109,8 +153,13 @@ def test_run_report_parameters(spark):
         run_report(t, "idle_roles")
     with pytest.raises(ValueError, match="warehouse"):
         run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31))
-    df = run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31), warehouse="view", unused=1)
+    df = run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31), warehouse="view")
     assert df.count() == 8
+    with pytest.raises(ValueError, match="unused"):
+        run_report(t, "execution_time_buckets", dt.datetime(2024, 1, 31), warehouse="view", unused=1)
+    with pytest.raises(ValueError, match="min_cuont"):
+        run_section(t, "usage", as_of=dt.datetime(2024, 1, 31), min_cuont=99)
+    assert run_section(t, "usage", as_of=dt.datetime(2024, 1, 31), min_count=2, warehouse="view").skipped == {}
 
 
 def test_save_and_read_back_every_table(spark):
@@ -137,9 +186,11 @@ def test_save_and_read_back_every_table(spark):
             sorted(map(repr, map(tuple, sliced[name].collect()))), name
     for report, params in [("billing_ledger", {"term_start": "2000-01-01"}), ("ingest_daily", {}),
                            ("credits_by_user", {"as_of": dt.datetime(2024, 2, 15)})]:
-        a = sorted(map(repr, map(tuple, REPORTS[report](stored, **params).collect())))
-        b = sorted(map(repr, map(tuple, REPORTS[report](sliced, **params).collect())))
-        assert a == b, report
+        def rows(tables):
+            return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r])
+                          for r in REPORTS[report](tables, **params).collect())  # noqa: B023
+
+        assert rows(stored) == rows(sliced), report
 
 
 def test_every_report_is_documented():

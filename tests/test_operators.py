@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from meterlens.functions import (
     EXECUTION_BUCKETS, add_months, client_family, div0, next_midnight_or_same, rounded, seconds_crossed,
 )
-from meterlens.operators import allocate_by_share, bucket_counts, global_row_number, hourly_overlap, top_k
+from meterlens.operators import allocate_by_share, bucket_counts, hourly_overlap, keep_hashes, rank_among, top_k
 from meterlens.plans.billing import Contract
 
 H = dt.timedelta(hours=1)
@@ -136,27 +136,52 @@ def test_bucket_counts_equals_full_outer_join(spark, rows):
     assert mine == want
 
 
-def test_bucket_counts_plan_has_no_nested_loop(spark):
+def test_bucket_counts_plan(spark):
     log = spark.createDataFrame([("1", "w", 5)], LOG_SCHEMA)
     got = bucket_counts(log, log, value="total_elapsed_time", row_id="query_id")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_global_row_number_matches_window_with_hot_key(spark):
+def _numbers(df, n):
+    few = top_k(df, [F.col("v").desc(), F.col("id")], n)
+    got = rank_among(few, df, [-F.col("k"), F.col("id")], n, name="rn")
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("k").desc(), F.col("id"))).cast("long"))
+    ids = [r["id"] for r in few.collect()]
+    return ({r["id"]: r["rn"] for r in got.collect()},
+            {r["id"]: r["rn"] for r in want.collect() if r["id"] in ids})
+
+
+def test_rank_among_matches_window_with_hot_key(spark):
     rnd = random.Random(3)
     rows = [(str(i), 7 if i % 3 == 0 else rnd.randrange(0, 500), rnd.random()) for i in range(6000)]
     df = spark.createDataFrame(rows, "id string, k long, v double").repartition(5)
-    order = [F.col("k").desc(), F.col("id")]
-    got = {r["id"]: r["rn"] for r in global_row_number(df, order, name="rn", partitions=6).collect()}
-    want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).collect()}
-    assert got == want
-    assert sorted(got.values()) == list(range(1, 6001))
+    got, want = _numbers(df, 50)
+    assert got == want and len(got) == 50
+
+
+def test_rank_among_few_rows_and_none(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "id string, k long, v double")
+    got, want = _numbers(df, 50)
+    assert got == want == {"a": 1, "b": 2}
+    assert _numbers(df.filter("false"), 5) == ({}, {})
+
+
+def test_rank_among_plan_and_laziness(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 9).alias("k"),
+                                  F.rand(1).alias("v"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = rank_among(top_k(df, [F.col("v").desc(), F.col("id")], 5), df, [-F.col("k"), F.col("id")], 5)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before  # building runs nothing
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_global_row_number_empty(spark):
-    df = spark.createDataFrame([], "id string, k long")
-    assert global_row_number(df, [F.col("k"), F.col("id")]).count() == 0
+def test_keep_hashes_keeps_all_wanted(spark):
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("_h"))
+    wanted = df.filter("id % 100 = 0").select("_h")
+    kept = {r.id for r in keep_hashes(df, wanted, "_h").collect()}
+    assert set(range(0, 5000, 100)) <= kept and len(kept) < 60
+    assert keep_hashes(df, wanted.filter("false"), "_h").count() == 0
 
 
 def test_top_k_ties_are_deterministic(spark):

@@ -5,12 +5,13 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare
 from conftest import SF01, SF001
+from meterlens import REPORTS
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(REPORTS)
 
 
 def test_every_report_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql()) and set(NAMES) <= set(entry.queries())
     assert len(NAMES) == 49
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterlens.functions import EXECUTION_BUCKETS
-from meterlens.operators import bucket_counts, global_row_number
+from meterlens.operators import bucket_counts, rank_among, top_k
 from test_operators import _BUCKET_SQL, LOG_SCHEMA
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -34,13 +34,14 @@ def test_bucket_counts_equals_full_outer_theta_join(spark, rows):
 
 
 @SETTINGS
-@given(keys=st.lists(st.integers(0, 5), min_size=0, max_size=120), parts=st.integers(1, 7))
-def test_global_row_number_equals_window(spark, keys, parts):
+@given(keys=st.lists(st.integers(0, 5), min_size=0, max_size=120), n=st.integers(1, 9))
+def test_rank_among_equals_window(spark, keys, n):
     df = spark.createDataFrame([(f"{i:04d}", k) for i, k in enumerate(keys)], "id string, k long")
-    order = [F.col("k").desc(), F.col("id")]
-    got = {r["id"]: r["rn"] for r in global_row_number(df, order, name="rn", partitions=parts).collect()}
-    want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).collect()}
-    assert got == want
+    few = top_k(df, [F.xxhash64("id"), F.col("id")], n)
+    got = {r["id"]: r["rn"] for r in rank_among(few, df, [-F.col("k"), F.col("id")], n, name="rn").collect()}
+    want = {r["id"]: r["rn"] for r in df.withColumn(
+        "rn", F.row_number().over(Window.orderBy(F.col("k").desc(), F.col("id")))).collect()}
+    assert got == {i: want[i] for i in got} and len(got) == min(n, len(keys))
 
 
 usage_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d"]), st.sampled_from(["w", "v"]),
