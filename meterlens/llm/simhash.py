@@ -195,7 +195,8 @@ def forest(cell: np.ndarray, fp: np.ndarray, max_bits: int) -> list[tuple[int, i
         if not len(at):
             return edges
         to = at[(parent[at] != parent[at + d])]
-        to = to[np.bitwise_count(fp[to] ^ fp[to + d]) <= max_bits]
+        # Unsigned, as numpy counts the bits of a signed number's absolute value.
+        to = to[np.bitwise_count((fp[to] ^ fp[to + d]).view(np.uint64)) <= max_bits]
         for i in to:
             a, b = root(i), root(i + d)
             if a != b:
