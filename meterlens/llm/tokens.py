@@ -14,12 +14,15 @@ from array import array
 
 import regex
 
-#: Words kept in a worker's cache; further ones are encoded each time.
-CACHE = 500_000
+#: Words, and other pieces of text, kept in a worker's caches; further ones are encoded each time.
+CACHE, PIECES = 900_000, 200_000
 
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Marks that may end a word; with no space, letter, digit or apostrophe among them they are one pre-token.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
 _VISIBLE = "!-~\u00a1-\u024f"
 _CUT = re.compile(f" (?=[{_VISIBLE}])")
 _OTHER_SPACE = re.compile(f" (?![{_VISIBLE}])")
@@ -51,12 +54,13 @@ class WordEncoder(dict):
         self._pieces: dict[str, bytes] = {}
         self._split = regex.compile(PATTERN).findall
         self._letters = str.maketrans(_byte_letters())
+        self._space, self._model = _byte_letters()[" "], self.tokenizer.model
         self._by_words = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self._letters)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-        if len(self._pieces) < CACHE and len(piece) <= 40:
+        ids = array("I", [t.id for t in self._model.tokenize(spelt)]).tobytes()
+        if len(self._pieces) < PIECES and len(piece) <= 40:
             self._pieces[piece] = ids
         return ids
 
@@ -70,7 +74,16 @@ class WordEncoder(dict):
         return self._whole(text)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._unit(" " + word)
+        # Most words are letters and a few marks: two pre-tokens, and the letters alone fill the cache.
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha() and max(letters) < "\u0250":
+            if len(letters) < len(word):
+                marks = word[len(letters):]
+                return self[letters] + (self._pieces.get(marks) or self._piece(marks))
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+            ids = array("I", [t.id for t in self._model.tokenize(self._space + spelt)]).tobytes()
+        else:
+            ids = self._unit(" " + word)
         if len(self) < CACHE and len(word) <= 40:
             self[word] = ids
         return ids
