@@ -150,7 +150,7 @@ def plan_search(n: int, together: np.ndarray, max_bits: int) -> list[tuple[list[
             row = [0.0]
             for t in range(max_bits + 1):
                 met = sum(near[d] * math.comb(len(group) - d, t - d) for d in range(t + 1) if t <= len(group))
-                row.append(n * math.comb(len(group), t) * KEY_COST + met * PAIR_COST)
+                row.append(max(n, 1) * math.comb(len(group), t) * KEY_COST + met * PAIR_COST)
             costs.append(row)
         table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for row in costs:
