@@ -12,6 +12,7 @@ stretch, and the k best of each meeting are merged per query.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,17 +34,16 @@ _STRETCH_SCHEMA = "part int, nth int, dim int, n int, ids binary, anonymous bina
 def _stretches(scale: float) -> Callable:
     """Batches (id, vector) -> stretches of vectors that take part, scaled and floored."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, nth = TaskContext.get().partitionId(), {}, 0
+        part, held, done = TaskContext.get().partitionId(), {}, Counter()  # stretches are counted per length
         names = [f.split()[0] for f in _STRETCH_SCHEMA.split(", ")]
 
         def row(dim: int, rows: list) -> pa.RecordBatch:
-            nonlocal nth
-            nth += 1
+            done[dim] += 1
             ids = np.array([0 if i is None else i for i, _ in rows], "<i8")
             anonymous = np.array([i is None for i, _ in rows], bool)
             matrix = np.array([v for _, v in rows], "<f8").reshape(len(rows), dim)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
-                (part, nth - 1, dim, len(rows), ids.tobytes(), anonymous.tobytes(), matrix.tobytes()),
+                (part, done[dim] - 1, dim, len(rows), ids.tobytes(), anonymous.tobytes(), matrix.tobytes()),
                 (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
         for batch in batches:
