@@ -1,0 +1,103 @@
+"""Format-preserving pseudonyms: formats, validity, bijections, linkage."""
+
+import datetime as dt
+import itertools
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterlens.llm.pseudonym import permute_number, permute_text, pseudonymise, replace_personal
+
+KEY = "test key"
+
+
+def run(spark, texts, key=KEY):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, found string")
+    rows = pseudonymise(df, key).select("row.doc_id", "text", "found").orderBy("doc_id").collect()
+    return [(r.text, r.found) for r in rows]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def shape(text):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text)))
+
+
+def test_cards_keep_format_check_digit_and_linkage(spark):
+    texts = ["pay 4111 1111 1111 1111 now", "4111-1111-1111-1111", "4111111111111111.", "bad 4111111111111112", "x4111111111111111",
+             "378282246310005 and 6011000990139424"]
+    got = run(spark, texts)
+    digits = [re.sub(r"\D", "", t) for t, _ in got]
+    assert digits[0] == digits[1] == digits[2] != re.sub(r"\D", "", texts[0]) and luhn(digits[0])
+    assert [shape(t) for t, _ in got] == [shape(t) for t in texts]
+    assert [n for _, n in got] == [1, 1, 1, 0, 0, 2]
+    assert [got[k][0] for k in (3, 4)] == [texts[k] for k in (3, 4)]
+    assert run(spark, texts, "other key")[0][0] != got[0][0]
+
+
+def test_dates(spark):
+    texts = ["2020-02-29", "29.02.2020", "02/29/2020", "2/9/2020", "31/12/1999", "2021-02-29", "32.01.2000", "2020-13-01", "1850-01-01",
+             "version 1.2.3", "2020-02-29T10:00"]
+    got = run(spark, texts)
+    iso = dt.date.fromisoformat(got[0][0])
+    assert dt.datetime.strptime(got[1][0], "%d.%m.%Y").date() == iso == dt.datetime.strptime(got[2][0], "%m/%d/%Y").date()
+    assert 1900 <= iso.year <= 2099
+    assert dt.datetime.strptime(got[4][0], "%d/%m/%Y").day > 12
+    for k in (5, 6, 7, 8, 9, 10):
+        assert got[k] == (texts[k], 0)
+
+
+def test_numbers_addresses_and_mail(spark):
+    texts = ["call +1 (017) 555-7713 or (555) 123-4567", "ip 97.51.17.173, 999.1.1.1 and 1.2.3.4.5", "ssn 123-45-6789 000-12-3456 666-12-3456",
+             "iban GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765433", "mail und.34@mail7.example.com!", "tok 681c09b8e90e7e8c9575180f595f646c"]
+    got = run(spark, texts)
+    assert got[0][1] == 2 and got[0][0].startswith("call +1 (") and shape(got[0][0]) == shape(texts[0])
+    octets = re.search(r"ip ([0-9.]+),", got[1][0]).group(1)
+    assert octets != "97.51.17.173" and all(0 <= int(o) <= 255 for o in octets.split(".")) and got[1][0].endswith(", 999.1.1.1 and 1.2.3.4.5")
+    ssn = got[2][0].split()[1]
+    assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", ssn) and got[2][0].endswith("000-12-3456 666-12-3456")
+    iban = re.search(r"iban (.*) or", got[3][0]).group(1)
+    plain = iban.replace(" ", "")
+    number = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4]))
+    assert number % 97 == 1 and shape(iban)[4:] == shape("GB82 WEST 1234 5698 7654 32")[4:] and got[3][0].endswith("GB82WEST12345698765433")
+    assert got[4][1] == 1 and got[4][0].endswith("@mail7.example.com!") and "und.34" not in got[4][0] and shape(got[4][0]) == shape(texts[4])
+    assert got[5] == (texts[5], 0)
+
+
+@pytest.mark.parametrize("tweak", ["a", "b"])
+def test_small_permutations_are_bijections(spark, tweak):
+    numbers = spark.range(1000).select(permute_number(F.col("id"), 1000, KEY, tweak).alias("x")).collect()
+    assert sorted(r.x for r in numbers) == list(range(1000))
+    texts = ["".join(t) for t in itertools.product("01", "ab", "-", "XY", "012")]
+    every = ["".join(t) for t in itertools.product("0123456789", "-", "0123456789", "01")]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in every], "t string").select(permute_text(F.col("t"), KEY, tweak).alias("t")).collect()]
+    assert len(set(got)) == len(every) and [shape(t) for t in got] == [shape(t) for t in every]
+    mixed = spark.createDataFrame([(t,) for t in texts], "t string").select(permute_text(F.col("t"), KEY, tweak).alias("t")).collect()
+    assert len({r.t for r in mixed}) == len(texts)
+
+
+def test_walk_stays_inside_valid_numbers(spark):
+    even = spark.range(0, 1000, 2).select(permute_number(F.col("id"), 1000, KEY, "e", lambda x: x % 2 == 0).alias("x")).collect()
+    assert sorted(r.x for r in even) == list(range(0, 1000, 2))
+
+
+def test_clean_null_empty_long_and_clashing_columns(spark):
+    long = "clean words. " * 50_000 + "4111111111111111"
+    got = run(spark, ["nothing 2.0 here", None, "", long, "version 3."])
+    assert got[0] == ("nothing 2.0 here", 0) and got[1] == (None, 0) and got[2] == ("", 0) and got[4] == ("version 3.", 0)
+    assert got[3][1] == 1 and got[3][0][:-16] == long[:-16]
+    df = spark.createDataFrame([(1, "1.2.3.4 x", 9, "keep")], "doc_id long, text string, n_chars long, found string")
+    out = replace_personal(df, KEY)
+    assert out.columns == df.columns
+    row = out.first()
+    assert row.found == "keep" and row.n_chars == len(row.text)
+    assert replace_personal(df.filter("false"), KEY).count() == 0
+
+
+def test_plan_is_native(spark):
+    df = spark.createDataFrame([(1, "1.2.3.4 x")], "doc_id long, text string")
+    plan = pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert not any(k in plan for k in ("Python", "Arrow", "Pandas", "Exchange"))
