@@ -35,23 +35,24 @@ def bucket_counts(log: DataFrame, passing: DataFrame, *, value: str, row_id: str
 
     The counts read only ``passing``, which the caller bounds (partition
     pruning and pushed filters): one aggregate of eight groups, joined to
-    the eight-row bucket table.  Whether a bucket exists takes two probes
-    into the log per bucket, each a scalar subquery with LIMIT 1: its bounds
-    are pushed into the scan and every task stops at its first match, so no
-    aggregate runs over the history.
+    the eight-row bucket table.  Whether a bucket exists takes a probe into
+    the log, a scalar subquery with LIMIT 1: its bounds are pushed into the
+    scan and every task stops at its first match, so no aggregate runs over
+    the history.
     """
     last = len(EXECUTION_BUCKETS) - 1
     rid, ms = F.col(row_id), F.col(value)
     counts = passing.groupBy(F.coalesce(bucket_index(ms), F.lit(last)).alias("_b")).agg(
         F.count(F.when(rid.isNotNull(), F.lit(1))).alias("_n"))
     joined = bucket_frame(log.sparkSession).join(F.broadcast(counts), on="_b", how="left")
-    keep = (F.col("_b") == last) | (F.col("_n") > 0)
+    # Buckets with rows that lack an id: the IS NULL test is pushed, and in sound telemetry skips every row group.
+    inside_any = (ms >= EXECUTION_BUCKETS[0][1]) & (ms < EXECUTION_BUCKETS[last][1])
+    without_id = log.filter(rid.isNull() & inside_any).agg(F.collect_set(bucket_index(ms))).scalar()
+    keep = (F.col("_b") == last) | (F.col("_n") > 0) | F.array_contains(without_id, F.col("_b"))
     for i, (_, low, high) in enumerate(EXECUTION_BUCKETS):
         if high is not None:
-            inside = log.filter((ms >= low) & (ms < high))
-            found, without_id = (rows.select(F.lit(1).alias("_one")).limit(1).agg(F.count("_one")).scalar()
-                                 for rows in (inside, inside.filter(rid.isNull())))
-            keep = keep | ((F.col("_b") == i) & ((found == 0) | (without_id > 0)))
+            found = log.filter((ms >= low) & (ms < high)).select(F.lit(1).alias("_one")).limit(1).agg(F.count("_one")).scalar()
+            keep = keep | ((F.col("_b") == i) & (found == 0))
     return joined.filter(keep).select(
         "execution_time_bucket", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("number_of_queries"), "_lower",
     )

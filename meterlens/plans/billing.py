@@ -159,10 +159,10 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
     joined = days.join(F.broadcast(actual), on="consumption_date", how="left")
     x = F.datediff(F.col("consumption_date"), F.lit(c.start.date())).cast("double")
     y = F.col("actual_dollars_used").cast("double")
-    slope, intercept = (joined.agg(fit(y, x)).scalar() for fit in (F.regr_slope, F.regr_intercept))
+    line = joined.agg(F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("base"))).scalar()
     return joined.select(
         "consumption_date",
         c.dollars_per_day().alias("contracted_dollars_used"),
         "actual_dollars_used",
-        (x * slope + intercept).alias("forecasted_dollars_used"),
+        (x * line["slope"] + line["base"]).alias("forecasted_dollars_used"),
     ).orderBy("consumption_date")
