@@ -138,9 +138,11 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.nda
 def train(x: np.ndarray, target: np.ndarray, penalty: float = 1e-5, rounds: int = 600) -> np.ndarray:
     """Logistic weights (last: bias) for soft targets, by accelerated gradient descent."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    if not len(x):
+        return np.zeros(x.shape[1], np.float32)
     step = 4 / max(1e-9, float((x * x).sum(axis=1).mean()))
     w = z = np.zeros(x.shape[1], np.float32)
-    for k in range(rounds if len(x) else 0):
+    for k in range(rounds):
         p = 1 / (1 + np.exp(-(x @ z)))
         new = z - step * (x.T @ (p - target) / len(x) + penalty * z).astype(np.float32)
         z, w = new + k / (k + 3) * (new - w), new
