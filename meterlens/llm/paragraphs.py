@@ -15,6 +15,7 @@ are merged into spans.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -43,15 +44,8 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, 7)
-        if len(self) < 500_000:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
+_LOWER_CODE = np.arange(256, dtype=np.uint64) + 1
+_LOWER_CODE[65:91] = _LOWER_CODE[97:123]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -60,22 +54,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``width`` words (at least one word), in order."""
+def _need_powers(n: int) -> None:
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_FACTOR, _INVERSE)):
+            _powers[k] = np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a UTF-8 text, A-Z lower-cased, with the byte where each begins and ends."""
+    raw = np.frombuffer(data, np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _IS_SPACE[raw]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    begins, ends = turns[::2], turns[1::2]
+    _need_powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LOWER_CODE[raw] * _powers[0][:len(raw)], out=sums[1:])
+    return _mixed((sums[ends] - sums[begins]) * _powers[1][begins]), begins, ends
+
+
+def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, in order, from the hashes of the words."""
     n = len(words)
     if n < width:
         return np.empty(0, np.uint64)
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_FACTOR, _INVERSE)):
-            _powers[k] = np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)))
-    values = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(values * _powers[0][:n]))
+    _need_powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _powers[0][:n], out=sums[1:])
     return _mixed((sums[width:] - sums[:-width]) * _powers[1][: n - width + 1])
 
 
 # ------------------------------------------------------- paragraph clusters
 
-def tune_bands(similarity: float, recall: float = 0.999, most: int = 16) -> tuple[int, int]:
+def tune_bands(similarity: float, recall: float = 0.999, most: int = 10) -> tuple[int, int]:
     """Bands and rows per band: the most selective rows that reach ``recall`` at ``similarity`` with at most ``most`` bands."""
     best = (1, 1)
     for rows in range(1, 33):
@@ -86,15 +97,19 @@ def tune_bands(similarity: float, recall: float = 0.999, most: int = 16) -> tupl
     return best
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Keys of the bands of a MinHash signature over shingle hashes."""
+@functools.lru_cache(maxsize=8)
+def _permutations(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), 4096):
-        least = np.minimum(least, _mixed(shingles[s:s + 4096, None] * a + b).min(axis=0))
-    keys = np.arange(bands, dtype=np.uint64) * np.uint64(_FACTOR)
+    factors = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64), np.arange(bands, dtype=np.uint64) * np.uint64(_FACTOR)
+
+
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of the bands of a MinHash signature over shingle hashes (at least one)."""
+    factors, offsets, keys = _permutations(bands, rows)
+    least = (shingles[:4096, None] * factors + offsets).min(axis=0)
+    for s in range(4096, len(shingles), 4096):
+        least = np.minimum(least, (shingles[s:s + 4096, None] * factors + offsets).min(axis=0))
     for r in range(rows):
         keys = _mixed(keys * np.uint64(_FACTOR) + least[r::rows])
     return keys.view(np.int64)
@@ -146,7 +161,7 @@ def _paragraph_table(source: DataFrame, bands: int, rows: int) -> DataFrame:
                         if len(known) >= 200_000:
                             known.clear()
                         known.add(h)
-                        keys = band_keys(np.unique(gram_hashes(normal.split(), SHINGLE)), bands, rows)
+                        keys = band_keys(gram_hashes(word_hashes(normal)[0], SHINGLE), bands, rows)
                     found.append((i, start, len(line), h, keys))
                 if len(found) > 20_000 or found and i + 1 == len(batch):
                     at, starts, lengths, hs, keys = zip(*found)
@@ -226,12 +241,27 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 # --------------------------------------------------------- verbatim passages
 
+def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Minimum (or maximum) of every ``width`` neighbours, by doubling."""
+    pick, have = np.minimum if least else np.maximum, 1
+    while 2 * have <= width:
+        x, have = pick(x[:-have], x[have:]), 2 * have
+    rest = width - have
+    return pick(x[:-rest], x[rest:]) if rest else x
+
+
 def window_places(grams: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """Winnowed places: of any ``places`` neighbouring windows the one with the smallest hash (the last of equals)."""
+    """Winnowed places: those with the smallest hash among some ``places`` neighbours.
+
+    In a periodic run, where equal hashes follow one another, the first stands for all.
+    """
     if len(grams) <= places:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))] if len(grams) else [], int)
-    views = np.lib.stride_tricks.sliding_window_view(grams, places)[:, ::-1]
-    return np.unique(np.arange(len(views)) + places - 1 - views.argmin(axis=1))
+        at = np.flatnonzero(grams == grams.min())[:1] if len(grams) else np.empty(0, int)
+    else:
+        padded = np.zeros(len(grams) + places - 1, np.uint64)
+        padded[places - 1:len(grams)] = _slide(grams, places, least=True)
+        at = np.flatnonzero(_slide(padded, places, least=False) == grams)
+    return at[np.append(True, (grams[at[1:]] != grams[at[:-1]]) | (np.diff(at) >= WINDOW))] if len(at) else at
 
 
 def _windows(source: DataFrame) -> DataFrame:
@@ -244,12 +274,11 @@ def _windows(source: DataFrame) -> DataFrame:
             at, starts, stops, keys, held = [], [], [], [], 0
             for i, text in enumerate(batch["text"]):
                 data = (text.as_py() or "").encode("utf-8", "replace")
-                grams = gram_hashes(data.translate(_LOWER).split(), WINDOW)
+                words, begins, ends = word_hashes(data)
+                grams = gram_hashes(words, WINDOW)
                 if len(grams):
-                    raw = np.frombuffer(data, np.uint8)
-                    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
-                    chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters before each byte
-                    begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+                    chars = np.zeros(len(data) + 1, np.int64)  # characters before each byte
+                    np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=chars[1:])
                     chosen = window_places(grams)
                     at.append(np.full(len(chosen), i))
                     starts.append(chars[begins[chosen]])
