@@ -15,7 +15,7 @@ from array import array
 import regex
 
 #: Words, and other pieces of text, kept in a worker's caches; further ones are encoded each time.
-CACHE, PIECES = 900_000, 200_000
+CACHE, PIECES = 600_000, 200_000
 
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
