@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,9 @@ def bucket_counts(log: DataFrame, passing: DataFrame, *, value: str, row_id: str
     The counts read only ``passing``, which the caller bounds (partition
     pruning and pushed filters): one aggregate of eight groups, joined to
     the eight-row bucket table.  Whether a bucket exists takes a probe into
-    the log, a scalar subquery with LIMIT 1: its bounds are pushed into the
-    scan and every task stops at its first match, so no aggregate runs over
-    the history.
+    the log with LIMIT 1 (their union is one scalar subquery): its bounds
+    are pushed into the scan and every task stops at its first match, so no
+    aggregate runs over the history.
     """
     last = len(EXECUTION_BUCKETS) - 1
     rid, ms = F.col(row_id), F.col(value)
@@ -48,11 +50,11 @@ def bucket_counts(log: DataFrame, passing: DataFrame, *, value: str, row_id: str
     # Buckets with rows that lack an id: the IS NULL test is pushed, and in sound telemetry skips every row group.
     inside_any = (ms >= EXECUTION_BUCKETS[0][1]) & (ms < EXECUTION_BUCKETS[last][1])
     without_id = log.filter(rid.isNull() & inside_any).agg(F.collect_set(bucket_index(ms))).scalar()
-    keep = (F.col("_b") == last) | (F.col("_n") > 0) | F.array_contains(without_id, F.col("_b"))
-    for i, (_, low, high) in enumerate(EXECUTION_BUCKETS):
-        if high is not None:
-            found = log.filter((ms >= low) & (ms < high)).select(F.lit(1).alias("_one")).limit(1).agg(F.count("_one")).scalar()
-            keep = keep | ((F.col("_b") == i) & (found == 0))
+    probes = [log.filter((ms >= low) & (ms < high)).select(F.lit(i).alias("_i")).limit(1)
+              for i, (_, low, high) in enumerate(EXECUTION_BUCKETS) if high is not None]
+    found = reduce(DataFrame.union, probes).agg(F.collect_set("_i")).scalar()
+    keep = ((F.col("_b") == last) | (F.col("_n") > 0) | F.array_contains(without_id, F.col("_b"))
+            | ~F.array_contains(found, F.col("_b")))
     return joined.filter(keep).select(
         "execution_time_bucket", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("number_of_queries"), "_lower",
     )

@@ -14,10 +14,10 @@ def keep_hashes(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
     A Bloom filter with one hash: ``wanted`` sets bits of a bitmap of fixed
     size, which is broadcast (at most ``BITS`` / 8 bytes) and tested where
-    ``df`` is read.  It keeps every wanted row and few others, so an exact
-    join after it shuffles little.  Null hashes are dropped.  The returned
-    hash is computed from the bitmap as well, so that the optimizer does not
-    move such a join below this one.
+    ``df`` is read.  It keeps every wanted row and few others, so what
+    follows shuffles little.  Null hashes are dropped.  The returned hash is
+    computed from the bitmap as well, so that the optimizer does not move a
+    later join on it below this one.
     """
     bit = F.pmod(F.col(column), F.lit(BITS))
     row = F.floor(bit / ROW_BITS).cast("int")

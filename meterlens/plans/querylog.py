@@ -70,16 +70,16 @@ def frequent_queries(t: Tables, as_of: dt.datetime, months: int = 1, min_count:
     plain ``groupBy(text)`` would shuffle nearly every text.  Instead the
     texts are first counted by a 64-bit hash (8 bytes per row through the
     shuffle, combined map-side).  A bitmap of the hashes that reach
-    ``min_count``, of fixed size, drops the other rows where they are read;
-    the exact semi join and the grouping by exact text see only candidates.
-    Collisions can only add candidates, never lose or merge texts, so the
-    result is exact.
+    ``min_count``, of fixed size, drops the other rows where they are read,
+    so the grouping by exact text shuffles candidates only.  Collisions can
+    add candidates, never lose or merge texts, and the exact count is
+    filtered again, so the result is exact.
     """
     q = t.since(QH, _day_after_months_before(as_of, months)).filter(F.col("total_elapsed_time") > 0)
     q = q.select("query_text", "total_elapsed_time", F.xxhash64("query_text").alias("_h"))
     candidates = q.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_count).select("_h")
     total = F.sum("total_elapsed_time")
-    out = keep_hashes(q, candidates, "_h").join(candidates, on="_h", how="left_semi").groupBy("query_text").agg(
+    out = keep_hashes(q, candidates, "_h").groupBy("query_text").agg(
         F.count(F.lit(1)).alias("number_of_queries"),
         (total / _MS_PER["seconds"]).alias("execution_seconds"),
         (total / _MS_PER["minutes"]).alias("execution_minutes"),
