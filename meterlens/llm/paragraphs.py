@@ -84,6 +84,11 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return _mixed((sums[width:] - sums[:-width]) * _powers[1][: n - width + 1])
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: sort-merged (and split where skewed) at every size, never broadcast."""
+    return df.hint("merge")
+
+
 # ------------------------------------------------------- paragraph clusters
 
 def tune_bands(similarity: float, recall: float = 0.999, most: int = 10) -> tuple[int, int]:
@@ -194,7 +199,7 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
 def _normal_forms(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, normal) for the paragraphs of ``wanted`` (h, id): their texts, read from their documents."""
     ids = wanted.select("id").distinct().withColumnRenamed("id", "k")
-    held = source.join(ids, F.col("id").eqNullSafe(F.col("k")), "left_semi").select("text")
+    held = source.join(_large(ids), F.col("id").eqNullSafe(F.col("k")), "left_semi").select("text")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +208,7 @@ def _normal_forms(source: DataFrame, wanted: DataFrame) -> DataFrame:
                                               pa.array([f[1] for f in found], pa.binary())], names=["h", "normal"])
 
     texts = held.mapInArrow(forms, "h binary, normal binary")
-    return texts.join(wanted.select(F.col("h").alias("w")), F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"])
+    return texts.join(_large(wanted.select(F.col("h").alias("w"))), F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"])
 
 
 def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,17 +229,17 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY) -> Dat
                                       F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first"))
     per_text = stored(per_text, "paragraph-texts")
     met = cells.select("h").distinct()
-    wanted = stored(per_text.join(met, "h").select("h", F.col("first.id").alias("id")), "paragraph-wanted")
+    wanted = stored(per_text.join(_large(met), "h").select("h", F.col("first.id").alias("id")), "paragraph-wanted")
     forms = stored(_normal_forms(source, wanted), "paragraph-forms")
-    links = stored(_verified(cells.join(forms, "h"), similarity).distinct(), "paragraph-links")
+    links = stored(_verified(cells.join(_large(forms), "h"), similarity).distinct(), "paragraph-links")
     roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
 
-    joined = per_text.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    joined = per_text.join(_large(roots), "h", "left").withColumn("root", F.coalesce("root", "h"))
     clusters = (joined.groupBy("root").agg(F.sum("n").alias("cluster_size"), F.min("first").alias("head"))
                 .filter("cluster_size > 1"))
-    named = stored(joined.join(clusters, "root").select(F.col("h").alias("k"), "cluster_size", "head",
+    named = stored(joined.join(_large(clusters), "root").select(F.col("h").alias("k"), "cluster_size", "head",
                                                         F.lower(F.hex("root")).alias("cluster_id")), "paragraph-clusters")
-    return (table.select("id", "start", "length", "h").join(named, F.col("h") == F.col("k"))
+    return (table.select("id", "start", "length", "h").join(_large(named), F.col("h") == F.col("k"))
             .select("id", "start", "length", "cluster_id", "cluster_size",
                     (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("start") == F.col("head.start"))).alias("kept")))
 
@@ -303,7 +308,7 @@ def shared_passages(source: DataFrame) -> DataFrame:
               .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
                    F.max(F.col("id").isNull()).alias("none"), F.max(F.col("id").isNotNull()).alias("some"))
               .filter("first_id <> last_id OR (none AND some)").select("k", "first_id"))
-    hits = windows.join(shared, F.col("key") == F.col("k")).select("id", "start", "stop", "first_id")
+    hits = windows.join(_large(shared), F.col("key") == F.col("k")).select("id", "start", "stop", "first_id")
     order = Window.partitionBy("id").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = (hits.withColumn("new", (F.col("start") > reach + 1).cast("int"))
