@@ -22,6 +22,7 @@ from array import array
 from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,14 @@ from pyspark.sql import types as T
 from .common import quoted
 
 SPACE = "▁"
-#: Words, and parts of words, in a worker's caches.
-CACHE = 200_000
+#: Words, and other parts of texts, in a worker's caches.
+CACHE, PARTS = 400_000, 50_000
 
-#: A segmentation: cost over the best one, ids as little-endian 32-bit integers, number of ids.
-Choice = tuple[float, bytes, int]
+#: A segmentation: cost over the best one, ids as little-endian 32-bit integers.
+Choice = tuple[float, bytes]
+
+#: Marks that may end a word.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def default_model() -> str:
@@ -46,9 +50,9 @@ def default_model() -> str:
 def join_choices(left: list[Choice], right: list[Choice], n: int) -> list[Choice]:
     """The ``n`` cheapest combinations of two lists in ascending cost."""
     if len(right) == 1 and len(left) == 1:
-        return [(0.0, left[0][1] + right[0][1], left[0][2] + right[0][2])]
+        return [(0.0, left[0][1] + right[0][1])]
     sums = sorted((a[0] + b[0], i, j) for i, a in enumerate(left) for j, b in enumerate(right) if i * j < n)[:n]
-    return [(c, left[i][1] + right[j][1], left[i][2] + right[j][2]) for c, i, j in sums]
+    return [(c, left[i][1] + right[j][1]) for c, i, j in sums]
 
 
 class Pieces(dict):
@@ -79,6 +83,9 @@ class Pieces(dict):
                 lowest = min(lowest, model.get_score(i))
                 self.pairs.update(map("".join, itertools.pairwise(piece)))
                 self.words_end &= re.search(f"[^{SPACE}]{SPACE}", piece) is None
+        self.sizes = np.array([len(x) for x in self.spelt])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.spelt), np.uint8)
         self.unknown, self.unknown_id = lowest - 10.0, model.unk_id()
         self._parts: dict[str, tuple[float, list[Choice]]] = {}
 
@@ -115,7 +122,7 @@ class Pieces(dict):
         while open_now:
             cost, _, at, tail = open_now.pop(0)
             head = ids[at]
-            found.append((cost, head + tail, (len(head) + len(tail)) // 4))
+            found.append((cost, head + tail))
             wanted = self.n - len(found)
             worst = open_now[-1][0] if len(open_now) >= wanted and open_now else float("inf")
             while at and wanted:
@@ -138,20 +145,25 @@ class Pieces(dict):
         got = self._parts.get(part)
         if got is None:
             got = self.search(part)
-            if len(self._parts) < CACHE and len(part) <= 40:
+            if len(self._parts) < PARTS and len(part) <= 40:
                 self._parts[part] = got
         return got
 
     def unit(self, text: str) -> tuple[float, list[Choice]]:
         """Best score and choices of any text, cut where no piece can cross."""
-        total, choices, start = 0.0, [(0.0, b"", 0)], 0
+        total, choices, start = 0.0, None, 0
         for i in range(1, len(text) + 1):
             if i == len(text) or text[i - 1:i + 1] not in self.pairs:
                 score, more = self._part(text[start:i])
-                total, choices, start = total + score, join_choices(choices, more, self.n), i
-        return total, choices
+                total, choices, start = total + score, join_choices(choices, more, self.n) if choices else more, i
+        return total, choices or [(0.0, b"")]
 
     def __missing__(self, word: str) -> tuple[float, list[Choice]]:
+        # Most words are letters and a few marks; the letters alone fill the cache.
+        letters = word.rstrip(_MARKS)
+        if letters and len(letters) < len(word) and word[len(letters) - 1:len(letters) + 1] not in self.pairs:
+            (score, choices), (more, marks) = self[letters], self.unit(word[len(letters):])
+            return score + more, join_choices(choices, marks, self.n)
         got = self.unit(SPACE + word)
         if len(self) < CACHE and len(word) <= 40:
             self[word] = got
@@ -170,9 +182,8 @@ class Pieces(dict):
             first, *words = text.split(SPACE)
             parts = [self.unit(first)] if first else []
             parts += map(self.__getitem__, words)
-        score = sum(p[0] for p in parts)
-        best = [p[1][0] for p in parts]
-        ids, count = [b[1] for b in best], sum(b[2] for b in best)
+        score = sum([p[0] for p in parts])
+        ids = [p[1][0][1] for p in parts]
         open_parts = heapq.nsmallest(self.n - 1, [(p[1][1][0], i) for i, p in enumerate(parts) if len(p[1]) > 1])
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for i in sorted(i for _, i in open_parts):
@@ -180,18 +191,21 @@ class Pieces(dict):
                                             for cost, changes in ways for k, c in enumerate(parts[i][1])])
         out = []
         for cost, changes in ways:
-            own, n = ids[:] if changes else ids, count
+            own = ids[:] if changes else ids
             for i, k in changes:
                 own[i] = parts[i][1][k][1]
-                n += parts[i][1][k][2] - best[i][2]
-            out.append((score - cost, n, b"".join(own)))
+            joined = b"".join(own)
+            out.append((score - cost, len(joined) // 4, joined))
         return out
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian 32-bit ids: pieces and bytes joined, without the space that the model puts in front."""
-        spelt = self.spelt
-        text = b"".join([spelt[i] for i in array("I", ids)]).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        at = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        # For every byte of the text, its place in the spellings of all pieces.
+        place = np.arange(ends[-1] if len(at) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        return self.letters[place].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 @functools.lru_cache(maxsize=2)

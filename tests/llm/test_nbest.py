@@ -60,8 +60,8 @@ def test_longer_texts_keep_order_and_round_trip(model):
 
 
 def test_join_choices():
-    left, right = [(0.0, b"a", 1), (2.0, b"b", 1)], [(0.0, b"c", 1), (1.0, b"d", 1), (5.0, b"e", 1)]
-    assert [(c, i) for c, i, _ in join_choices(left, right, 4)] == [(0.0, b"ac"), (1.0, b"ad"), (2.0, b"bc"), (3.0, b"bd")]
+    left, right = [(0.0, b"a"), (2.0, b"b")], [(0.0, b"c"), (1.0, b"d"), (5.0, b"e")]
+    assert join_choices(left, right, 4) == [(0.0, b"ac"), (1.0, b"ad"), (2.0, b"bc"), (3.0, b"bd")]
 
 
 def test_frame(spark):
