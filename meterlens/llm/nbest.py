@@ -32,7 +32,7 @@ from .common import quoted
 
 SPACE = "▁"
 #: Words, and other parts of texts, in a worker's caches.
-CACHE, PARTS = 400_000, 50_000
+CACHE, PARTS = 120_000, 40_000
 
 #: A segmentation: cost over the best one, ids as little-endian 32-bit integers.
 Choice = tuple[float, bytes]
