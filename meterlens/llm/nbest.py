@@ -18,6 +18,7 @@ import functools
 import heapq
 import itertools
 import re
+import zlib
 from array import array
 from bisect import insort
 from collections.abc import Iterator
@@ -216,11 +217,12 @@ def pieces(path: str, n: int) -> Pieces:
 
 def encode_n_best(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
                   model: str | None = None) -> DataFrame:
-    """Rows (id, rank, score, n_pieces, ids): the ``n`` best segmentations of every whole text, fewer if there are no more.
+    """Rows (id, rank, score, n_pieces, ids, text_crc32): the ``n`` best segmentations of every whole text, fewer if there are no more.
 
     ``score`` is the sum of piece scores (unknown characters: the lowest score
     less 10, then spelt in byte pieces); among equal scores the order is that
-    of the search.  ids are little-endian 32-bit integers.  Null counts as
+    of the search.  ids are little-endian 32-bit integers, text_crc32 the
+    checksum of the text that they decode to.  Null counts as
     empty and has one segmentation without ids; repeated rows and null ids are
     encoded like any other; an empty table gives an empty result.
     """
@@ -228,7 +230,7 @@ def encode_n_best(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     out = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("rank", T.IntegerType()),
                         T.StructField("score", T.DoubleType()), T.StructField("n_pieces", T.LongType()),
-                        T.StructField("ids", T.BinaryType())])
+                        T.StructField("ids", T.BinaryType()), T.StructField("text_crc32", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in out]
@@ -236,13 +238,13 @@ def encode_n_best(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col:
             rows, held = [], 0
             for i, text in enumerate(batch["text"]):
                 for rank, (score, count, ids) in enumerate(pieces(path, n).encode(text.as_py() or ""), 1):
-                    rows.append((i, rank, score, count, ids))
+                    rows.append((i, rank, score, count, ids, zlib.crc32(pieces(path, n).decode(ids).encode("utf-8", "replace"))))
                     held += len(ids)
                 if held > 8 << 20 or i + 1 == len(batch):
-                    at, ranks, scores, counts, ids = zip(*rows)
+                    at, ranks, scores, counts, ids, sums = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [batch["id"].take(pa.array(at)), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()),
-                         pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=names)
+                         pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(sums, pa.int64())], names=names)
                     rows, held = [], 0
 
     return source.mapInArrow(encode, out)
@@ -255,6 +257,6 @@ def decoded(ids: Column, model: str | None = None) -> Column:
     @F.arrow_udf(T.StringType())
     def texts(column: pa.Array) -> pa.Array:
         decode = pieces(path, 1).decode
-        return pa.array([None if x is None else decode(x) for x in column.to_pylist()], pa.string())
+        return pa.array([decode(x.as_py()) if x.is_valid else None for x in column], pa.string())
 
     return texts(ids)

@@ -2,6 +2,7 @@
 
 import functools
 import random
+import zlib
 
 import pytest
 
@@ -69,6 +70,7 @@ def test_frame(spark):
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, rank int")
     out = encode_n_best(df, n=3)
     got = out.withColumn("text", decoded(out.ids)).collect()
+    assert all(r.text_crc32 == zlib.crc32(r.text.encode()) for r in got)
     by = {}
     for r in got:
         by.setdefault(r.id, []).append(r)
