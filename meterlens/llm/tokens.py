@@ -50,7 +50,8 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # No word is cut out of a text that holds one of these: the library finds them before it cuts words.
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._pieces: dict[str, bytes] = {}
         self._split = regex.compile(PATTERN).findall
         self._letters = str.maketrans(_byte_letters())
@@ -90,7 +91,7 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
-        if not self._by_words:
+        if not self._by_words or any(added in text for added in self._added):
             return self._whole(text)
         words = text.split(" ") if not _OTHER_SPACE.search(text) else _CUT.split(text)
         return self._unit(words[0]) + b"".join(map(self.__getitem__, words[1:]))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from meterlens.llm.packing import assign, pack, pack_texts, room_for
 from meterlens.llm.tokens import default_vocabulary, encoder
@@ -21,6 +22,16 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_get_the_ids_of_a_fresh_library():
+    fresh, enc = Tokenizer.from_file(default_vocabulary()), encoder(default_vocabulary())
+    rng = random.Random(5)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x", "a <|endoftext|><|endoftext|>\n日本", "<|endoftext| >", "<|ENDOFTEXT|>", "word " * 50 + "<|endoftext|>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "word", " ", "É", "日", "'s", "\n"]) for _ in range(rng.randint(0, 20))) for _ in range(500)]
+    assert np.frombuffer(enc.encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    for text in texts:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_assign_fills_every_sequence(seed):
     rng = random.Random(seed)
