@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from .common import quoted, stored
 from .components import connected_components
 
-#: Paragraphs of fewer words are left alone: licence lines, headings, greetings.
-MIN_WORDS = 50
 SHINGLE, SIMILARITY = 5, 0.8
+#: Words of the shortest paragraphs compared by default: one shingle.
+MIN_WORDS = SHINGLE
 #: Words in a window, and places among which at least one window is taken: WINDOW + PLACES - 1 = 50.
 WINDOW, PLACES = 25, 26
 #: Paragraphs in a block of a large band bucket.
@@ -120,6 +120,21 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def band_keys_of(lines: list[bytes], bands: int, rows: int) -> np.ndarray:
+    """``band_keys`` of several lines of at least a shingle, words a space apart: one row of keys a line."""
+    factors, offsets, keys = _permutations(bands, rows)
+    counts = np.array([line.count(b" ") + 1 for line in lines])
+    inside = np.ones(counts.sum(), bool)  # shingles that begin in the last words of a line reach into the next
+    for back in range(1, SHINGLE):
+        inside[np.cumsum(counts) - back] = False
+    grams = gram_hashes(word_hashes(b"\n".join(lines))[0], SHINGLE)[inside[:1 - SHINGLE]]
+    firsts = np.cumsum(counts - SHINGLE + 1) - (counts - SHINGLE + 1)
+    least = np.minimum.reduceat(grams[:, None] * factors + offsets, firsts, axis=0)
+    for r in range(rows):
+        keys = _mixed(keys * np.uint64(_FACTOR) + least[:, r::rows])
+    return keys.view(np.int64)
+
+
 def _shingles(words: list[bytes]) -> set:
     return set(zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else {tuple(words)}
 
@@ -149,8 +164,8 @@ def _lines(text: str, least: int) -> Iterator[tuple[int, str, bytes]]:
         start += len(line) + 1
 
 
-def _paragraph_table(source: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, start, length, h, keys): every paragraph; band keys once per task and text."""
+def _paragraph_table(source: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
+    """(id, start, length, h, keys): every paragraph; band keys once per task and text, none below a shingle."""
     out = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("start", T.IntegerType()),
                         T.StructField("length", T.IntegerType()), T.StructField("h", T.BinaryType()),
                         T.StructField("keys", T.ArrayType(T.LongType()))])
@@ -158,17 +173,32 @@ def _paragraph_table(source: DataFrame, bands: int, rows: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known = [f.name for f in out], set()
         for batch in batches:
-            found = []
+            found, new, held = [], [], 0  # new: lines whose keys are still to be made, and their places in found
+
+            def make_keys() -> None:
+                for (at, _), keys in zip(new, band_keys_of([n for _, n in new], bands, rows) if new else ()):
+                    found[at][4] = keys
+                new.clear()
+
             for i, text in enumerate(batch["text"]):
-                for start, line, normal in _lines(text.as_py() or "", MIN_WORDS):
-                    h, keys = xxhash.xxh3_128_digest(normal), None
-                    if h not in known:
+                for start, line, normal in _lines(text.as_py() or "", least):
+                    h, words = xxhash.xxh3_128_digest(normal), normal.count(b" ") + 1
+                    found.append([i, start, len(line), h, None])
+                    if words >= SHINGLE and h not in known:
                         if len(known) >= 200_000:
                             known.clear()
                         known.add(h)
-                        keys = band_keys(gram_hashes(word_hashes(normal)[0], SHINGLE), bands, rows)
-                    found.append((i, start, len(line), h, keys))
+                        if words > 4096:
+                            found[-1][4] = band_keys(gram_hashes(word_hashes(normal)[0], SHINGLE), bands, rows)
+                            continue
+                        new.append((len(found) - 1, normal))
+                        held += words
+                        if held > 4096:
+                            make_keys()
+                            held = 0
                 if len(found) > 20_000 or found and i + 1 == len(batch):
+                    make_keys()
+                    held = 0
                     at, starts, lengths, hs, keys = zip(*found)
                     yield pa.RecordBatch.from_arrays(
                         [batch["id"].take(pa.array(at)), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
@@ -196,14 +226,14 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a binary, b binary")
 
 
-def _normal_forms(source: DataFrame, wanted: DataFrame) -> DataFrame:
+def _normal_forms(source: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(h, normal) for the paragraphs of ``wanted`` (h, id): their texts, read from their documents."""
     ids = wanted.select("id").distinct().withColumnRenamed("id", "k")
     held = source.join(_large(ids), F.col("id").eqNullSafe(F.col("k")), "left_semi").select("text")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(xxhash.xxh3_128_digest(n), n) for t in batch["text"] for _, _, n in _lines(t.as_py() or "", MIN_WORDS)]
+            found = [(xxhash.xxh3_128_digest(n), n) for t in batch["text"] for _, _, n in _lines(t.as_py() or "", least)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
                                               pa.array([f[1] for f in found], pa.binary())], names=["h", "normal"])
 
@@ -211,10 +241,13 @@ def _normal_forms(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(_large(wanted.select(F.col("h").alias("w"))), F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"])
 
 
-def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, start, length, cluster_id, cluster_size, kept) for paragraphs with a duplicate; ``source``: id, text."""
+def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, start, length, cluster_id, cluster_size, kept) for paragraphs with a duplicate; ``source``: id, text.
+
+    Paragraphs of at least ``min_words`` words; those below a shingle have duplicates only where they are equal.
+    """
     bands, rows = tune_bands(similarity)
-    table = stored(_paragraph_table(source, bands, rows), "paragraphs")
+    table = stored(_paragraph_table(source, bands, rows, max(1, min_words)), "paragraphs")
     keys = (table.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key")).repartition("key")
             .dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -230,7 +263,7 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY) -> Dat
     per_text = stored(per_text, "paragraph-texts")
     met = cells.select("h").distinct()
     wanted = stored(per_text.join(_large(met), "h").select("h", F.col("first.id").alias("id")), "paragraph-wanted")
-    forms = stored(_normal_forms(source, wanted), "paragraph-forms")
+    forms = stored(_normal_forms(source, wanted, SHINGLE), "paragraph-forms")
     links = stored(_verified(cells.join(_large(forms), "h"), similarity).distinct(), "paragraph-links")
     roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
 
@@ -319,12 +352,13 @@ def shared_passages(source: DataFrame) -> DataFrame:
                         F.col("id").eqNullSafe(F.col("first_id")).alias("kept"))
 
 
-def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, kind, start, length, cluster_id, occurrences, kept) for every duplicate span of characters.
 
-    kind "paragraph": a line of at least 50 words; cluster_id names its
-    component, occurrences counts the paragraphs in it, and the one with the
-    smallest id and start is kept.  kind "passage": words in a row that also
+    kind "paragraph": a line of at least ``min_words`` words (5 unless set; lines
+    of fewer than 5 are compared for equality); cluster_id names its component, occurrences counts the paragraphs in it, and the one with the
+    smallest id and start is kept; which clusters to remove (licence lines,
+    greetings) is the caller's choice.  kind "passage": words in a row that also
     stand in another document; cluster_id is the smallest id that has them
     (kept there), occurrences the windows found.  Lower case A-Z; null counts
     as empty; documents are told apart by id, all null ids being one; repeated
@@ -332,7 +366,7 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result.
     """
     source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    paragraphs = similar_paragraphs(source).select(
+    paragraphs = similar_paragraphs(source, min_words=min_words).select(
         "id", F.lit("paragraph").alias("kind"), "start", "length", "cluster_id", F.col("cluster_size").alias("occurrences"), "kept")
     passages = shared_passages(source).select(
         "id", F.lit("passage").alias("kind"), "start", "length", F.col("first_id").cast("string").alias("cluster_id"),

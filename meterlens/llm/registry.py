@@ -63,8 +63,8 @@ def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate paragraphs and passages of all documents."""
-    return duplicate_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Duplicate paragraphs (every line that is not empty) and passages of all documents."""
+    return duplicate_passages(table(spark, sf_dir, "documents"), min_words=1).withColumnRenamed("id", "doc_id")
 
 
 def op6_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,31 @@ def test_edge_cases(spark):
     assert sorted((r.id for r in one), key=repr) == [5, 8, 8, None] and sum(r.kept for r in one) == 1
     assert duplicate_passages(df.filter("doc_id in (1, 2, 3, 4)")).count() == 0
     assert duplicate_passages(df.filter("false")).count() == 0
+
+
+def test_lines_of_every_length_have_clusters(spark):
+    rng = random.Random(11)
+    twenty, eight, seven, base = prose(rng, 20), prose(rng, 8), prose(rng, 7), prose(rng, 40)
+    near = base.split()
+    near[0] = "edited"  # one of 36 shingles
+    rows = [(1, f"{twenty}\n{prose(rng, 30)}\nLes."), (2, f"{eight}\n{twenty.upper()}"), (3, f"les.\n{seven}\n{base}"),
+            (4, f"{eight}  \n\n{' '.join(near)}"), (5, f"{seven} more\n{twenty} tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def clusters(**settings):
+        found = defaultdict(set)
+        for r in duplicate_passages(df, **settings).filter("kind = 'paragraph'").collect():
+            found[r.cluster_id].add((r.id, rows[r.id - 1][1][r.start:r.start + r.length].lower()))
+        return sorted(sorted(c) for c in found.values())
+
+    long = [[(1, twenty), (2, twenty), (5, twenty + " tail")], [(2, eight), (4, eight + "  ")], [(3, base), (4, " ".join(near))]]
+    assert clusters() == sorted(long)
+    assert clusters(min_words=1) == sorted([*long, [(1, "les."), (3, "les.")]])
+
+
+def test_keys_of_many_lines_equal_those_of_each():
+    rng = random.Random(12)
+    lines = [prose(rng, n).encode() for n in (5, 6, 80, 5, 300, 7)]
+    each = [paragraphs.band_keys(gram_hashes(word_hashes(n)[0], 5), 10, 3).tolist() for n in lines]
+    assert paragraphs.band_keys_of(lines, 10, 3).tolist() == each
+    assert paragraphs.band_keys_of(lines[:1], 10, 3).tolist() == each[:1]
