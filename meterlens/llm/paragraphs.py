@@ -9,8 +9,10 @@ compared in cells of bounded size; a cell returns a spanning forest.
 A passage that stands inside longer paragraphs changes their similarity too
 little to be found that way.  Windows of 25 words are therefore taken at
 winnowed places, which depend on the words alone: two documents that share
-51 words in a row share a window.  Windows that occur in several documents
-are merged into spans.
+50 words in a row share a window.  Around the windows that occur in several
+documents, every window is taken and compared in turn, so that those which
+occur in several documents cover a shared run to its ends; they are merged
+into spans.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.prefilter import keep_hashes
 from .common import quoted, stored
 from .components import connected_components
 
@@ -302,10 +305,14 @@ def window_places(grams: np.ndarray, places: int = PLACES) -> np.ndarray:
     return at[np.append(True, (grams[at[1:]] != grams[at[:-1]]) | (np.diff(at) >= WINDOW))] if len(at) else at
 
 
-def _windows(source: DataFrame) -> DataFrame:
-    """(id, start, stop, key): winnowed windows with their character span."""
-    out = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("start", T.IntegerType()),
-                        T.StructField("stop", T.IntegerType()), T.StructField("key", T.LongType())])
+def _windows(texts: DataFrame, near: bool = False) -> DataFrame:
+    """(id, doc, start, stop, key): windows with their character span; ``texts``: id, doc, text and, if ``near``, keys.
+
+    Winnowed windows, or all that begin at most ``PLACES`` - 1 words from one of ``keys``.
+    """
+    out = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("doc", T.LongType()),
+                        T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
+                        T.StructField("key", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,37 +324,58 @@ def _windows(source: DataFrame) -> DataFrame:
                 if len(grams):
                     chars = np.zeros(len(data) + 1, np.int64)  # characters before each byte
                     np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=chars[1:])
-                    chosen = window_places(grams)
+                    chosen = near_places(grams, batch["keys"][i].values.to_numpy().view(np.uint64)) if near else window_places(grams)
                     at.append(np.full(len(chosen), i))
                     starts.append(chars[begins[chosen]])
                     stops.append(chars[ends[chosen + WINDOW - 1]])
                     keys.append(grams[chosen].view(np.int64))
                     held += len(chosen)
                 if held > 100_000 or held and i + 1 == len(batch):
+                    rows = pa.array(np.concatenate(at))
                     yield pa.RecordBatch.from_arrays(
-                        [batch["id"].take(pa.array(np.concatenate(at))), pa.array(np.concatenate(starts).astype("int32")),
+                        [batch["id"].take(rows), batch["doc"].take(rows), pa.array(np.concatenate(starts).astype("int32")),
                          pa.array(np.concatenate(stops).astype("int32")), pa.array(np.concatenate(keys))],
                         names=[f.name for f in out])
                     at, starts, stops, keys, held = [], [], [], [], 0
 
-    return source.select("id", "text").mapInArrow(cut, out)
+    return texts.mapInArrow(cut, out)
 
 
-def shared_passages(source: DataFrame) -> DataFrame:
-    """(id, start, length, first_id, n_windows, kept) for spans whose windows occur in several documents."""
-    windows = stored(_windows(source), "windows")
+def near_places(grams: np.ndarray, keys: np.ndarray, reach: int = PLACES - 1) -> np.ndarray:
+    """Places at most ``reach`` from one whose hash is among ``keys``."""
+    before = np.append(0, np.cumsum(np.isin(grams, keys)))
+    at = np.arange(len(grams))
+    return np.flatnonzero(before[np.minimum(at + reach + 1, len(grams))] > before[np.maximum(at - reach, 0)])
+
+
+def _hits(windows: DataFrame) -> DataFrame:
+    """``windows`` whose key stands in several documents, with ``first_id``, the smallest id that has it."""
     # Documents are told apart by id; all rows with a null id count as one.
     shared = (windows.groupBy(F.col("key").alias("k"))
               .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
                    F.max(F.col("id").isNull()).alias("none"), F.max(F.col("id").isNotNull()).alias("some"))
               .filter("first_id <> last_id OR (none AND some)").select("k", "first_id"))
-    hits = windows.join(_large(shared), F.col("key") == F.col("k")).select("id", "start", "stop", "first_id")
-    order = Window.partitionBy("id").orderBy("start", "stop")
+    return windows.join(_large(shared), F.col("key") == F.col("k")).drop("k")
+
+
+def shared_passages(source: DataFrame) -> DataFrame:
+    """(id, start, length, first_id, n_windows, kept) for spans whose windows occur in several documents.
+
+    A run of at least 50 words that two documents share is covered whole in
+    both.  Shorter ones, of 25 words and more, may be found or not.
+    """
+    texts = source.select("id", F.xxhash64("text").alias("doc"), "text")
+    winnowed = stored(_windows(texts), "windows")
+    keys = stored(_hits(winnowed).groupBy("doc").agg(F.collect_set("key").alias("keys")), "window-keys")
+    held = (keep_hashes(texts, keys.select("doc"), "doc")
+            .join(_large(keys.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d")).select("id", "doc", "text", "keys"))
+    hits = _hits(stored(_windows(held, near=True), "near-windows"))
+    order = Window.partitionBy("id", "doc").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = (hits.withColumn("new", (F.col("start") > reach + 1).cast("int"))
              .withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(order))
-             .groupBy("id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                        F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_windows")))
+             .groupBy("id", "doc", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+                                               F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_windows")))
     return spans.select("id", "start", (F.col("stop") - F.col("start")).alias("length"), "first_id", "n_windows",
                         F.col("id").eqNullSafe(F.col("first_id")).alias("kept"))
 
@@ -359,7 +387,8 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of fewer than 5 are compared for equality); cluster_id names its component, occurrences counts the paragraphs in it, and the one with the
     smallest id and start is kept; which clusters to remove (licence lines,
     greetings) is the caller's choice.  kind "passage": words in a row that also
-    stand in another document; cluster_id is the smallest id that has them
+    stand in another document, runs of at least 50 to both their ends;
+    cluster_id is the smallest id that has them
     (kept there), occurrences the windows found.  Lower case A-Z; null counts
     as empty; documents are told apart by id, all null ids being one; repeated
     rows are compared like others; tables without duplicates or rows give an

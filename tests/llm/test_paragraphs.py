@@ -151,3 +151,24 @@ def test_keys_of_many_lines_equal_those_of_each():
     each = [paragraphs.band_keys(gram_hashes(word_hashes(n)[0], 5), 10, 3).tolist() for n in lines]
     assert paragraphs.band_keys_of(lines, 10, 3).tolist() == each
     assert paragraphs.band_keys_of(lines[:1], 10, 3).tolist() == each[:1]
+
+
+def test_spans_cover_the_whole_shared_run(spark):
+    rng = random.Random(13)
+    runs = [prose(rng, n) for n in (50, 51, 60, 77, 140, 400)] + [" ".join(["again"] * 120), " ".join(["to and fro"] * 60)]
+    rows = []
+    for k, run in enumerate(runs):
+        for copy in range(3):
+            rows.append((None if k == 3 and copy < 1 else 10 * k + copy, f"É{prose(rng, rng.randint(0, 90))}\n{run} {prose(rng, rng.randint(0, 90))}"))
+    rows += [(900, f"{prose(rng, 30)} {runs[0]} {runs[1]} {prose(rng, 9)}"), (901, f"{prose(rng, 30)} {runs[4]}"), (901, f"{prose(rng, 7)} {runs[5]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = defaultdict(list)
+    for r in duplicate_passages(df).filter("kind = 'passage'").collect():
+        spans[r.id].append((r.start, r.start + r.length))
+    for i, text in rows:
+        for run in runs:
+            start = text.find(run)
+            if start >= 0:
+                assert any(a <= start and start + len(run) <= b for a, b in spans[i]), (i, run[:20])
+    for i, text in rows[:-3]:  # and hardly more than the run: a word beside it that happens to be the same
+        assert len(spans[i]) == 1 and spans[i][0][1] - spans[i][0][0] <= max(len(r) for r in runs if r in text) + 12
