@@ -2,7 +2,10 @@
 
 Found: payment cards (Luhn), IBANs (mod 97), US social security numbers,
 phone numbers, IPv4 addresses, calendar dates and e-mail local parts.  A
-match that fails its check stays as it is.  Every kind is permuted inside
+match that fails its check stays as it is.  Cards and IBANs are looked for at
+every start and with every end at a separator, the longest valid first, so
+that an expiry date, a code or a currency beside them does not hide them; of
+two that overlap the one with more digits is taken.  Every kind is permuted inside
 its own format, so the result is again a valid value of that kind, and equal
 values get equal pseudonyms in all documents whatever their separators.
 All of it is built-in SQL functions on the row's own text: no shuffle, no Python.
@@ -33,10 +36,17 @@ PATTERNS = {
             r"(?![\p{L}\p{N}]|[./-][0-9])",
     "ip": r"(?<![\p{L}\p{N}]|[0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+    # With +1 ten digits follow; elsewhere at most 15 digits in all.  No card begins inside (CARDS: those of the text).
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+             r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?(?!CARDS)[0-9]{2,4}){1,4}"
+             r"(?<!\+" + r"[ .()-]{0,3}[0-9]" * 16 + r"[0-9 .()-]{0,30})"
              r"|(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4})(?![\p{L}\p{N}]|-[0-9])",
     "card": _BEFORE + r"[0-9](?:[ -]?[0-9]){12,18}" + _AFTER,
 }
+#: What may be a card or an IBAN, at every place where one may begin.
+_STARTS = {"card": r"(?=([0-9](?:[ -]?[0-9]){12,18})(?![\p{L}\p{N}]))" + _BEFORE,
+           "iban": r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}]))" + _BEFORE}
+_NEVER = "(?!)"
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
 
@@ -124,6 +134,44 @@ def _mod97(text: Column) -> Column:
         c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def _iban_valid(s: Column) -> Column:
+    return _mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1
+
+
+def _longest_valid(m: Column, kind: str) -> Column:
+    """The longest valid card or IBAN that begins where ``m`` does and ends with it or before a separator; or null."""
+    def ends(k: Column) -> Column:
+        return (F.substr(m, k + 1, F.lit(1)).isin("", " ", "-")) & ~F.substr(m, k, F.lit(1)).isin(" ", "-")
+
+    def valid(c: Column) -> Column:
+        if kind == "card":
+            return let(_digits(c), lambda d: (F.length(d) >= 13) & (_luhn(d, 1) % 10 == 0))
+        return c.rlike("^(?:" + PATTERNS["iban"] + ")$") & _iban_valid(F.regexp_replace(c, " ", ""))
+
+    places = F.filter(F.sequence(F.length(m), F.lit(12), F.lit(-1)), ends)
+    return F.get(F.filter(F.transform(places, lambda k: F.substr(m, F.lit(1), k)), valid), F.lit(0))
+
+
+def _overlapped(c: Column, later: Column) -> Column:
+    """Whether one of ``later``, with more digits, begins inside the card ``c``."""
+    tails = F.transform(F.filter(F.sequence(F.lit(2), F.length(c)), lambda k: F.substr(c, k - 1, F.lit(1)).isin(" ", "-")),
+                        lambda k: F.substr(c, k, F.length(c)))
+    return F.exists(later, lambda x: F.coalesce((F.length(_digits(x)) > F.length(_digits(c)))
+                                                & F.exists(tails, lambda t: F.startswith(x, t)), F.lit(False)))
+
+
+def _alternatives(text: Column, kind: str) -> Column:
+    """Pattern of the valid cards or IBANs in a text, the longest first."""
+    starts = F.regexp_extract_all(text, F.lit(_STARTS[kind]), F.lit(1))
+    found = F.transform(starts, lambda m: _longest_valid(m, kind))
+    if kind == "card":
+        found = let(found, lambda every: F.filter(every, lambda c, i: c.isNotNull() & ~_overlapped(c, F.slice(every, i + 2, F.lit(18)))))
+    ordered = F.reverse(F.array_sort(F.transform(F.array_distinct(F.filter(found, lambda c: c.isNotNull())),
+                                                 lambda c: F.struct(F.length(c).alias("n"), c.alias("c")))))
+    return let(F.array_join(F.transform(ordered, lambda x: x["c"]), "|"), lambda p: F.when(p == "", _NEVER).otherwise(
+        F.concat(F.lit(_BEFORE + "(?:"), p, F.lit(")" + _AFTER))))
+
+
 def _card(m: Column, key: str) -> Column:
     return let(_digits(m), lambda d: F.when(_luhn(d, 1) % 10 == 0, let(
         permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"),
@@ -137,8 +185,7 @@ def _iban(m: Column, key: str) -> Column:
             m, F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body),
             "[A-Z0-9]"))
 
-    return let(F.regexp_replace(m, " ", ""), lambda s: F.when(
-        _mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1, renewed(s)).otherwise(m))
+    return let(F.regexp_replace(m, " ", ""), lambda s: F.when(_iban_valid(s), renewed(s)).otherwise(m))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -218,7 +265,7 @@ def pseudonym(match: Column, key: str) -> Column:
     """The pseudonym of one match, or the match itself if its check fails."""
     chosen = None
     for kind, change in _KINDS.items():
-        test = match.rlike("^(?:" + PATTERNS[kind] + ")$")
+        test = match.rlike("^(?:" + PATTERNS[kind].replace("CARDS", _NEVER) + ")$")
         chosen = F.when(test, change(match, key)) if chosen is None else chosen.when(test, change(match, key))
     return chosen.otherwise(match)
 
@@ -230,14 +277,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     found 0, and empty tables give an empty result; the whole text is read.
     """
     # Numbered groups of single patterns count on in the union; the date pattern refers to its own by number.
-    union = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "date")
-    union = f"(?:{PATTERNS['date']})|{union}"
+    # Cards and IBANs stand in it as the valid ones of the text.
+    names = {"card": "CARDS", "iban": "IBANS"}
+    union = "|".join(f"(?:{names.get(k, p)})" for k, p in PATTERNS.items() if k != "date")
+    union = F.lit(f"(?:{PATTERNS['date']})|{union}")
     rows = as_row(docs).withColumn("old", field("row", text_col))
-    parts = F.transform(F.regexp_extract_all("old", F.lit(union), F.lit(0)),
+    for kind, name in names.items():
+        union = F.replace(union, F.lit(name), F.when(F.col("old").rlike("[0-9]"), _alternatives(F.col("old"), kind)).otherwise(_NEVER))
+    rows = rows.withColumn("union", F.when(F.col("old").rlike("[0-9@]"), union))
+    parts = F.transform(F.regexp_extract_all("old", F.col("union"), F.lit(0)),
                         lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    rows = rows.withColumn("parts", F.when(F.col("old").rlike("[0-9@]"), parts))
+    rows = rows.withColumn("parts", F.when(F.col("union").isNotNull(), parts))
     text = F.when(F.size("parts") > 0, F.array_join(F.zip_with(
-        F.split("old", union, -1), "parts", lambda gap, x: F.concat(gap, F.coalesce(x["p"], F.lit("")))), "")).otherwise(F.col("old"))
+        F.split("old", F.col("union"), -1), "parts", lambda gap, x: F.concat(gap, F.coalesce(x["p"], F.lit("")))), "")).otherwise(F.col("old"))
     found = F.coalesce(F.size(F.filter("parts", lambda x: x["m"] != x["p"])), F.lit(0))
     return rows.select("row", text.alias("text"), F.when(F.col("parts").isNull(), 0).otherwise(found).alias("found"))
 

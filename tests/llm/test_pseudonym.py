@@ -101,3 +101,20 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "1.2.3.4 x")], "doc_id long, text string")
     plan = pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def test_neighbours_do_not_hide_valid_numbers(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "+1 415 555 2671"
+    texts = [card, iban, phone, f"{card} 12/27", "4111111111111111 123", f"2 {card}", f"2 2 2 2 2 2 2 2 2 {card} 5 5 5", f"{iban} EUR", f"{iban} EURO 12",
+             f"{phone} {card}", f"{phone} 25 people", f"XX00 {card}", f"+49 30 123456 {card}", f"{card} {card}", f"+44 20 7946 0958 {card}"]
+    got = run(spark, texts)
+    new_card, new_iban, new_phone = (t for t, _ in got[:3])
+    assert new_card != card and new_iban != iban and new_phone != phone and [n for _, n in got[:3]] == [1, 1, 1]
+    for (text, found), old in zip(got, texts):
+        assert shape(text) == shape(old)
+    assert [got[k] for k in (3, 4, 5, 6)] == [(f"{new_card} 12/27", 1), (new_card.replace(" ", "") + " 123", 1), (f"2 {new_card}", 1),
+                                              (f"2 2 2 2 2 2 2 2 2 {new_card} 5 5 5", 1)]
+    assert [got[k] for k in (7, 8)] == [(f"{new_iban} EUR", 1), (f"{new_iban} EURO 12", 1)]
+    assert [got[k] for k in (9, 10, 11)] == [(f"{new_phone} {new_card}", 2), (f"{new_phone} 25 people", 1), (f"XX00 {new_card}", 1)]
+    assert got[13] == (f"{new_card} {new_card}", 2)
+    assert all(got[k][1] == 2 and got[k][0].endswith(new_card) for k in (12, 14))
