@@ -32,6 +32,11 @@ def test_every_operator_has_a_query():
     assert set(registry.oracle_sql()) <= set(entry.oracle_sql())
 
 
+def test_n_best_gives_four_segmentations(spark):
+    got = registry.op6_n_best(spark, SMALL).groupBy("rank").count().collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4]
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = registry.table(spark, SMALL, "documents")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
