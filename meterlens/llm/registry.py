@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, new_folder
+from .common import field, importable, new_folder
 from .contentsort import content_sort_dedup
+from .licences import scan_licences
 from .nbest import encode_n_best
 from .packing import pack_texts
 from .paragraphs import duplicate_passages
+from .prefixtrie import prefix_trie
 from .pseudonym import pseudonymise
 from .redirect import LOWER as _LOWER
 from .redirect import UPPER as _UPPER
@@ -20,6 +22,8 @@ from .simhash import simhash_dedup
 from .tokenfiles import read_tokens, token_checksums, write_tokens
 from .topk import top_k
 from .weaklabel import classify, fit
+from .whitening import fit as fit_whitening
+from .whitening import whiten
 
 #: Secret of the pseudonyms; production jobs set their own.
 PSEUDONYM_KEY = "corpus-pseudonyms"
@@ -98,8 +102,33 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading whitening components, a row a component."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whiten(vectors, fit_whitening(vectors, components=8))
+    entries = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "entry")
+    return (found.select(field("row", "vec_id").alias("vec_id"), "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", entries)
+            .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "entry.whitened", "entry.explained", "identity_error"))
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence templates in every document."""
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    starts, base = F.transform("places", lambda p: p["start"]), F.transform("places", lambda p: p["label"])
+    covered = F.transform("spans", lambda s: s["label"])
+    return found.select(
+        "row.doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, covered))), ",").alias("labels"), "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared heads, with the totals of every subtree."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (op1_redirect_equivalence, op2_cost_packing, op3_feistel, op4_weak_labels, op5_paragraphs, op6_n_best, op7_token_files,
-           op8_block_top_k, op9_simhash, op10_content_sort)
+           op8_block_top_k, op9_simhash, op10_content_sort, op11_whitening, op12_licence_scan, op13_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -138,4 +167,32 @@ def oracle_sql() -> dict[str, str]:
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
-        FROM n WINDOW w AS (PARTITION BY norm)"""}
+        FROM n WINDOW w AS (PARTITION BY norm)""",
+            "op13_prefix_trie": """
+        WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                             sha256(concat_ws(':', length(coalesce(role, '')), coalesce(role, ''), coalesce(text, ''))) AS digest
+                      FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM said),
+        heads AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295], flatten(
+                      [[(ord(c)::BIGINT >> k) & 1 FOR k IN range(8)] FOR c IN string_split(conv_id::VARCHAR, '')])),
+                      lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h FROM own),
+        turns AS (SELECT h.conv_id, 0 AS part, place, digest, words FROM heads h JOIN own o ON o.conv_id = base AND place < h
+                  UNION ALL SELECT o.conv_id, 1, place, digest, words FROM heads h JOIN own o ON o.conv_id = h.conv_id AND place >= h),
+        lists AS (SELECT conv_id, list(digest ORDER BY part, place) AS said, list(words ORDER BY part, place) AS words
+                  FROM turns GROUP BY conv_id),
+        whole AS (SELECT conv_id, coalesce(said, []) AS said, coalesce(words, []) AS words FROM heads LEFT JOIN lists USING (conv_id)),
+        paths AS (SELECT conv_id, depth, array_to_string(said[1:depth], ',') AS node, depth = len(said) AS ends,
+                         CASE WHEN depth > 0 THEN array_to_string(said[1:depth - 1], ',') END AS parent, coalesce(words[depth], 0) AS words
+                  FROM (SELECT *, unnest(range(len(said) + 1)) AS depth FROM whole)),
+        nodes AS (SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+                         string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+                  FROM paths GROUP BY node, depth, parent),
+        kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        sums AS (SELECT p.node, p.depth, sum(n.saved) AS saved, count(*) FILTER (k.node IS NULL) AS leaves
+                 FROM nodes n LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth
+                 JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node, p.depth)
+        SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+               CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN nodes a ON a.node = n.parent AND a.depth = n.depth - 1
+        LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth"""}

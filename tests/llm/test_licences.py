@@ -1,0 +1,115 @@
+"""Licence scan against plain searches."""
+
+import random
+import re
+
+import pytest
+
+from meterlens.llm import registry
+from meterlens.llm.licences import NOTICES, PHRASES, Automaton, Scanner, scan_licences, words_of
+
+SMALL = "/root/testdata/sf0.001"
+MIT = dict(reversed(NOTICES))["mit"]
+SCANNER = Scanner(tuple(PHRASES.items()), NOTICES, 4, 16, 0.6)
+
+
+def plain_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def plain_places(text, phrases=PHRASES):
+    words = plain_words(text)
+    return sorted(((label, i) for phrase, label in phrases.items() for i in range(len(words))
+                   if words[i:i + len(phrase.split())] == phrase.split()), key=lambda p: (p[1], p[0]))
+
+
+def occurs(part, texts):
+    return any(t[i:i + len(part)] == part for t in texts for i in range(len(t) - len(part) + 1))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matching_statistics_and_places(seed):
+    rng = random.Random(seed)
+    texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in range(4)]
+    automaton = Automaton(texts)
+    words = [rng.randrange(4) for _ in range(60)]
+    for i, (state, length) in enumerate(automaton.statistics(words), 1):
+        longest = max(k for k in range(i + 1) if not k or occurs(words[i - k:i], texts))
+        assert length == longest
+        if length:
+            part = words[i - length:i]
+            places = {(t, e) for t, text in enumerate(texts) for e in range(length, len(text) + 1) if text[e - length:e] == part}
+            assert set(automaton.places[state]) == places and len(automaton.places[state]) == len(places)
+
+
+def test_phrases_that_overlap_and_nest():
+    rng = random.Random(1)
+    phrases = {"a b": "x", "b a b": "y", "b": "z", "a b a b": "x", "c c": "w"}
+    scanner = Scanner(tuple(phrases.items()), (("n", "a b c a b b a"),), 2, 3, 0.5)
+    for _ in range(200):
+        text = " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))
+        n, places, _, score = scanner.scan(text.encode())
+        assert n == len(text.split()) and places == plain_places(text, phrases) and (score == 1.0 or not places)
+
+
+def test_words_are_the_contracts():
+    rng = random.Random(2)
+    letters = "aZ09 \t\n_-.@[`{~\x00\x7f" + "éÉßÀİK漢字 \xa0\U0001f600"
+    for _ in range(300):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(50)))
+        assert [w.decode() for w in words_of(text.encode())] == plain_words(text)
+
+
+def test_whole_notices_give_their_spans():
+    for label, notice in NOTICES:
+        n, _, spans, score = SCANNER.scan(("Some header. " + notice + " int main").encode())
+        assert (label, 2, n - 4, n - 4, n - 4) in [(s[0], s[2], s[3], s[4], s[5]) for s in spans] and score == 1.0
+
+
+def test_edited_notices_are_chained():
+    words = MIT.split()
+    edited = words[:20] + ["Acme"] + words[22:50] + ["and", "its", "friends"] + words[50:]
+    _, places, spans, score = SCANNER.scan(" ".join(["head"] * 5 + edited).encode())
+    (span,) = [s for s in spans if s[0] == "mit"]
+    assert not places and span[2] == 5 and span[4] >= len(words_of(MIT.encode())) - 3 and 0.95 < score < 1
+    # Two copies in a row are two spans; half a notice is none.
+    _, _, spans, _ = SCANNER.scan((MIT + " " + MIT).encode())
+    assert [(s[2], s[4] == s[5]) for s in spans if s[0] == "mit"] == [(0, True), (len(words_of(MIT.encode())), True)]
+    _, _, spans, score = SCANNER.scan(" ".join(words[:len(words) // 2]).encode())
+    assert not spans and 0.4 < score < 0.6
+    # Parts in another order do not chain.
+    _, _, spans, _ = SCANNER.scan(" ".join(words[50:] + ["x"] * 20 + words[:50]).encode())
+    assert not [s for s in spans if s[0] == "mit"]
+
+
+def test_long_texts_and_many_copies_stay_linear():
+    import time
+
+    text = ("the license under the terms of the software and " * 4 + MIT + " ") * 400
+    start = time.time()
+    n, _, spans, _ = SCANNER.scan(text.encode())
+    assert n == len(plain_words(text)) and len([s for s in spans if s[0] == "mit"]) == 400
+    assert time.time() - start < 20
+
+
+def test_nulls_empty_extra_columns_and_repeats(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (2, "The MIT License", "c"), (2, "The MIT License", "c"), (None, "cc-by cc by CC BY.", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = sorted((r.row.score, r.n_words, [tuple(p) for p in r.places], list(r.spans), r.score) for r in scan_licences(df).collect())
+    assert got == [("a", 0, [], [], 0.0), ("b", 0, [], [], 0.0), ("c", 3, [("mit", 1)], [], 1.0), ("c", 3, [("mit", 1)], [], 1.0),
+                   ("d", 6, [("cc-by", 0), ("cc-by", 2), ("cc-by", 4)], [], 1.0)]
+    assert scan_licences(df.limit(0)).collect() == []
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = registry.op12_licence_scan(spark, SMALL).collect()
+    assert len(got) == len(texts) and any(r.n_base for r in got)
+    for r in got:
+        places = plain_places(texts[r.doc_id])
+        starts = [p[1] for p in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (
+            len(plain_words(texts[r.doc_id])), len(places), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({p[0] for p in places})) and 0 <= r.score <= 1
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
