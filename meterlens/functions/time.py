@@ -56,8 +56,12 @@ def date_lit(d: dt.date) -> Column:
 
 
 def epoch_second(col: Column) -> Column:
-    """Whole seconds since the epoch, floored (sub-second part dropped)."""
-    return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(1_000_000))
+    """Whole seconds since the epoch, floored (sub-second part dropped).
+
+    Built from the value's own fields, so no session time zone (and none of
+    its clock changes) is involved.
+    """
+    return (F.unix_date(F.to_date(col)).cast("bigint") * 86_400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col))
 
 
 def seconds_crossed(start: Column, end: Column) -> Column:

@@ -6,14 +6,18 @@ range or theta joins, and no single-partition windows over data.
 """
 
 from .allocate import allocate_by_share
-from .buckets import bucket_counts, bucket_frame
+from .buckets import bucket_counts, place_of
 from .calendar import calendar_days
-from .overlap import hourly_overlap
+from .distinct import distinct_counts, distinct_state, merge_states
+from .intervals import interval_join, points_in_intervals
+from .numbering import global_row_number
+from .overlap import overlap_split
 from .prefilter import keep_hashes
 from .ranking import rank_among, top_k
 from .rollups import daily_cost, weekly_mean_of_daily
 
 __all__ = [
-    "allocate_by_share", "bucket_counts", "bucket_frame", "calendar_days", "daily_cost", "hourly_overlap",
-    "keep_hashes", "rank_among", "top_k", "weekly_mean_of_daily",
+    "allocate_by_share", "bucket_counts", "calendar_days", "daily_cost", "distinct_counts", "distinct_state", "global_row_number",
+    "interval_join", "keep_hashes", "merge_states", "overlap_split", "place_of", "points_in_intervals", "rank_among", "top_k",
+    "weekly_mean_of_daily",
 ]

@@ -97,3 +97,13 @@ def statement_timeouts(t: Tables, parameter: str = TIMEOUT_PARAMETER) -> DataFra
     account = p.filter((F.col("level") == "ACCOUNT") & (F.col("value") > 0)).agg(F.min("value")).scalar()
     own = p.groupBy("object").agg(F.min(F.when(F.col("value") > 0, F.col("value"))).alias("_own"))
     return own.select("object", F.coalesce("_own", account).cast("bigint").alias("effective_seconds")).orderBy("object")
+
+
+def timeout_listing(t: Tables, level: str, name: str | None = None, parameter: str = TIMEOUT_PARAMETER) -> DataFrame:
+    """The statement timeouts set at one ``level`` (ACCOUNT, WAREHOUSE or USER), or of its object ``name`` alone.
+
+    The three listings that ``statement_timeouts`` merges, each as a result
+    set of its own: name, level, object, value.
+    """
+    p = t["parameters"].filter((F.col("name") == parameter) & (F.col("level") == level))
+    return (p if name is None else p.filter(F.col("object") == name)).select("name", "level", "object", "value").orderBy("object")

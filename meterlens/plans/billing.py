@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (
@@ -20,8 +20,8 @@ LEDGER_COLUMNS = [
     "start_time", "end_time", "credits_used", "credit_price", "dollars_used", "measure_type",
 ]
 # Credits have nine decimals and prices two, so dollars have eleven.
-_AMOUNT = "decimal(38,11)"
-_PRICE = "decimal(10,2)"
+AMOUNT = "decimal(38,11)"
+PRICE = "decimal(10,2)"
 _TB = 1024 ** 4
 
 
@@ -46,7 +46,7 @@ class Contract:
         with localcontext() as ctx:
             ctx.prec = 60
             exact = (value / self.days).quantize(Decimal("0.00000000001"), ROUND_HALF_UP)
-        return F.lit(exact).cast(_AMOUNT)
+        return F.lit(exact).cast(AMOUNT)
 
     def dollars_per_day(self) -> Column:
         return self._per_day(self.amount)
@@ -65,8 +65,8 @@ def _branch(df: DataFrame, group: str | None, name: Column, start: Column, end:
         F.lit(group).cast("string").alias("warehouse_group_name"), name.cast("string").alias("warehouse_name"),
         null_s.alias("group_contact"), null_s.alias("group_cost_center"), null_s.alias("group_comment"),
         start.cast("timestamp_ntz").alias("start_time"), end.cast("timestamp_ntz").alias("end_time"),
-        (credits if credits is not None else F.lit(None)).cast(_AMOUNT).alias("credits_used"),
-        F.lit(price).cast(_PRICE).alias("credit_price"), dollars.cast(_AMOUNT).alias("dollars_used"),
+        (credits if credits is not None else F.lit(None)).cast(AMOUNT).alias("credits_used"),
+        F.lit(price).cast(PRICE).alias("credit_price"), dollars.cast(AMOUNT).alias("dollars_used"),
         F.lit(measure).alias("measure_type"),
     )
 
@@ -85,7 +85,7 @@ def actual_costs(t: Tables, credit_price: float | str = "4.00", lo: dt.datetime
     source, so the time range reaches every scan).
     """
     price = Decimal(str(credit_price)).quantize(Decimal("0.01"))
-    p = F.lit(price).cast(_PRICE)
+    p = F.lit(price).cast(PRICE)
     bounded = lo is not None or hi is not None
 
     def read(table: str) -> DataFrame:
@@ -151,18 +151,26 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
                & (F.col("start_time") < ts_lit(c.end + dt.timedelta(days=1))))
     lines = actual_costs(t, credit_price, c.start, c.end + dt.timedelta(days=1)).filter(in_term)
     actual = lines.groupBy(F.to_date("start_time").alias("consumption_date")).agg(
-        F.sum("dollars_used").cast(_AMOUNT).alias("actual_dollars_used"))
-    days = calendar_days(t["warehouse_metering_history"].sparkSession, c.start.date(), c.end.date(),
-                         name="consumption_date")
+        F.sum("dollars_used").cast(AMOUNT).alias("actual_dollars_used"))
+    return forecast_days(t["warehouse_metering_history"].sparkSession, c, actual)
+
+
+def forecast_days(spark: SparkSession, c: Contract, actual: DataFrame) -> DataFrame:
+    """The forecast from the actual dollars per day (consumption_date, actual_dollars_used) of the term.
+
+    The line is fitted in a window over the calendar, which has one row per
+    contract day, so the actuals are computed once.
+    """
+    days = calendar_days(spark, c.start.date(), c.end.date(), name="consumption_date")
     # Both sides hold at most one row per contract day (the actuals are
     # filtered to the term), so broadcasting the actuals is size-bounded.
     joined = days.join(F.broadcast(actual), on="consumption_date", how="left")
     x = F.datediff(F.col("consumption_date"), F.lit(c.start.date())).cast("double")
     y = F.col("actual_dollars_used").cast("double")
-    line = joined.agg(F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("base"))).scalar()
+    term = Window.partitionBy(F.lit(0))
     return joined.select(
         "consumption_date",
         c.dollars_per_day().alias("contracted_dollars_used"),
         "actual_dollars_used",
-        (x * line["slope"] + line["base"]).alias("forecasted_dollars_used"),
+        (x * F.regr_slope(y, x).over(term) + F.regr_intercept(y, x).over(term)).alias("forecasted_dollars_used"),
     ).orderBy("consumption_date")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import client_family
 from ..functions.time import add_months, as_datetime, hour_start, next_midnight_or_same, start_of_day, ts_lit
 from ..operators.allocate import allocate_by_share
-from ..operators.overlap import hourly_overlap
+from ..operators.overlap import overlap_split
 from ..sources.tables import Tables
 
 WMH, QH = "warehouse_metering_history", "query_history"
@@ -162,24 +162,24 @@ def credits_by_client(t: Tables, as_of: dt.datetime, months: int = 1) -> DataFra
 
 
 def warehouse_utilization(t: Tables, as_of: dt.datetime, weeks: int = 1) -> DataFrame:
-    """Per warehouse-hour: credits, seconds spent executing and queries touching it.
-
-    Queries crossing hour edges are split across the hours they overlap
-    (closed at both ends).  Contained queries count their execution time;
-    split ones count wall-clock seconds.  Only queries *started* in the
-    lookback are considered.  Metering windows are the hourly windows
-    ``[start, start + 1h]``.
+    """Per warehouse and metering window: credits, seconds spent executing and queries touching it.
+
+    Queries that cross the edges of a metering window are split across the
+    windows they overlap (closed at both ends).  Contained queries count
+    their execution time; split ones count wall-clock seconds.  Queries are
+    counted by distinct id, separately as contained, ending, starting or
+    passing through.  Only queries *started* in the lookback are considered.
+    Windows are metering's own, from start to end, whatever their length.
     """
     cut = next_midnight_or_same(as_datetime(as_of) - dt.timedelta(weeks=weeks))
-    metering = t.since(WMH, cut).select("warehouse_name", "start_time", "credits_used")
+    metering = t.since(WMH, cut).select("warehouse_name", "start_time", "end_time", "credits_used")
     queries = t.since(QH, cut).select("query_id", "warehouse_name", "start_time", "end_time", "execution_time")
-    per_hour = hourly_overlap(queries, key="warehouse_name", row_id="query_id").select(
-        "warehouse_name", F.col("hour").alias("start_time"),
+    per_window = overlap_split(queries, metering, key="warehouse_name").select(
+        "warehouse_name", "start_time",
         (F.coalesce(F.col("contained_ms"), F.lit(0)) / 1000 + F.coalesce(F.col("partial_seconds"), F.lit(0)))
-        .alias("_seconds"),
-        F.col("pairs").alias("_pairs"))
-    joined = metering.join(per_hour, on=["warehouse_name", "start_time"], how="left")
+        .alias("_seconds"), "ids")
+    joined = metering.join(per_window, on=["warehouse_name", "start_time"], how="left")
     return joined.groupBy("warehouse_name", "start_time", "credits_used").agg(
         F.sum(F.coalesce(F.col("_seconds"), F.lit(0.0))).alias("total_execution_time_seconds"),
-        F.sum(F.coalesce(F.col("_pairs"), F.lit(0))).cast("bigint").alias("query_count"),
+        F.sum(F.coalesce(F.col("ids"), F.lit(0))).cast("bigint").alias("query_count"),
     )

@@ -137,9 +137,9 @@ def execution_time_buckets(t: Tables, as_of: dt.datetime, warehouse: str, weeks:
     """Queries per execution-time bucket for one warehouse over the last week.
 
     Buckets follow the source's outer-join rules (see ``bucket_counts``):
-    the whole log decides which buckets exist (a first-match probe for each
-    bucket, its bounds pushed into the scan), the week's rows of the
-    warehouse decide the counts (pruned, pushed).
+    the whole log decides which buckets exist (one pass over its one value
+    column), the week's rows of the warehouse decide the counts (pruned,
+    pushed).
     """
     cut = start_of_day(as_datetime(as_of)) - dt.timedelta(weeks=weeks)
     passing = t.since(QH, cut).filter(

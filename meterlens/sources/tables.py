@@ -212,7 +212,7 @@ class Tables:
         columns, the date partition column among them, stay as they are.
         """
         names = names or list(SCHEMAS)
-        return cls._conforming({n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names})
+        return cls._conforming({n: (lambda n=n: _stored(spark, f"{root}/{n}", n)) for n in names})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, names: list[str] | None = None) -> Tables:
@@ -244,6 +244,16 @@ class Tables:
                 df.write.mode(mode).parquet(f"{root}/{name}")
 
 
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The table in ``path``; a partitioned table that was saved without rows has no files, and no rows."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], SCHEMAS[name])
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the declared columns of ``name`` cast to their types and
     named in lower case; undeclared columns stay as they are, in place."""

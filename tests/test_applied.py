@@ -1,0 +1,150 @@
+"""Operators applied to whole tables against their oracles; ledgers of many contracts and of stored daily sums."""
+
+import datetime as dt
+import os
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from compare import compare
+from conftest import SF01, SF001
+from meterlens import REPORTS, Tables, driver_tables
+from meterlens.plans import audit, contracts, daily_state
+from meterlens.plans.applied import APPLIED, untidy
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_applied_matches_oracle(spark, duck01, name):
+    result = compare(entry.queries()[name](spark, SF01), duck01, entry.oracle_sql()[name])
+    assert result["match"] and result["spark_rows"] == result["oracle_rows"] > 0, result
+
+
+def test_untidy_telemetry_is_untidy(spark):
+    t = untidy(driver_tables(spark, SF01))
+    log = t["query_history"]
+    assert log.filter("query_id IS NULL").count() > 0
+    assert log.groupBy("query_id").count().filter("query_id IS NOT NULL AND count > 1").count() > 1000
+    assert log.filter("end_time < start_time").count() > 0 and log.filter("year(end_time) = 9999").count() > 0
+    widths = {r[0] for r in t["warehouse_metering_history"].select(F.timestamp_diff("MINUTE", "start_time", "end_time")).distinct().collect()}
+    assert widths == {15 * i for i in range(8)}
+
+
+def test_no_nested_loops_in_applied_plans(spark):
+    for name in APPLIED:
+        plan = entry.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_timeout_listings(spark):
+    t = Tables({"parameters": spark.createDataFrame(
+        [("STATEMENT_TIMEOUT_IN_SECONDS", "ACCOUNT", "acme", 100), ("STATEMENT_TIMEOUT_IN_SECONDS", "WAREHOUSE", "w1", 0),
+         ("STATEMENT_TIMEOUT_IN_SECONDS", "WAREHOUSE", "w2", 30), ("TIMEZONE", "USER", "u", 0)],
+        "name string, level string, object string, value long")})
+    assert [tuple(r)[2:] for r in audit.timeout_listing(t, "WAREHOUSE").collect()] == [("w1", 0), ("w2", 30)]
+    assert [r.value for r in audit.timeout_listing(t, "WAREHOUSE", "w2").collect()] == [30]
+    assert audit.timeout_listing(t, "USER").collect() == []
+
+
+# ------------------------------------------------------------ many contracts
+
+def _day(text):
+    return dt.date.fromisoformat(text)
+
+
+def test_overlapping_contracts(spark):
+    t = driver_tables(spark, SF001)
+    terms = contracts.contract_frame(
+        t, ("a", _day("2020-01-01"), _day("2020-01-11"), "2.00", "1000"), ("b", _day("2020-01-05"), _day("2020-01-08"), "4.00", "90"),
+        ("gap", _day("2020-03-01"), _day("2020-03-01"), "1.00", "7"), ("empty", _day("2020-05-02"), _day("2020-05-01"), "1.00", "5"))
+    got = {(r.contract_id, r.d_date): (r.dollars_per_day, r.credits_per_day) for r in contracts.contract_days(terms).collect()}
+    want = {}
+    for name, a, b, price, amount in [("a", "2020-01-01", "2020-01-11", 2, 1000), ("b", "2020-01-05", "2020-01-08", 4, 90),
+                                      ("gap", "2020-03-01", "2020-03-01", 1, 7)]:
+        n = max(1, (_day(b) - _day(a)).days)
+        for i in range((_day(b) - _day(a)).days + 1):
+            want[name, _day(a) + dt.timedelta(days=i)] = (Decimal(amount) / n, Decimal(amount) / price / n)
+    assert set(got) == set(want)
+    for key, (dollars, credits) in want.items():
+        assert abs(got[key][0] - dollars) < Decimal("1e-10") and abs(got[key][1] - credits) < Decimal("1e-10")
+    ledger = contracts.contracts_ledger(t, terms)
+    kinds = {r.measure_type: r["count"] for r in ledger.groupBy("measure_type").count().collect()}
+    actual = REPORTS["billing_ledger"](t, term_start="2020-01-01").filter("measure_type = 'ACTUAL COMPUTE'").count()
+    assert kinds == {"ACTUAL COMPUTE": actual, "PROJECTED COMPUTE": 11 + 4 + 1, "CONTRACT VALUES": 4}
+    none = contracts.contract_days(terms.limit(0))
+    assert none.count() == 0
+
+
+def test_one_contract_is_the_billing_ledger(spark):
+    t = driver_tables(spark, SF001)
+    one = contracts.contract_frame(t, ("only", _day("2000-01-01"), _day("2001-01-01"), "4.00", "100000.00"))
+    mine = contracts.contracts_ledger(t, one).drop("contract_id").filter("measure_type <> 'ACTUAL COMPUTE'")
+    theirs = REPORTS["billing_ledger"](t, term_start="2000-01-01").filter("measure_type <> 'ACTUAL COMPUTE'")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(mine) == rows(theirs) and mine.count() == 368
+
+
+# -------------------------------------------------------------- daily state
+
+TABLES = ["warehouse_metering_history", "pipe_usage_history", "automatic_clustering_history", "materialized_view_refresh_history",
+          "search_optimization_history", "replication_usage_history", "storage_usage"]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("telemetry"))
+    bridge = driver_tables(spark, SF001)
+    lo, hi = dt.datetime(1997, 1, 1), dt.datetime(1997, 3, 1)
+    Tables({n: bridge.between(n, lo, hi) for n in TABLES}).save(root)
+    return root
+
+
+def _totals(spark, path):
+    return {r.service: tuple(r)[1:] for r in daily_state.ledger_totals(daily_state.read_state(spark, path)).collect()}
+
+
+def test_a_late_day_changes_its_folder_alone(spark, stored, tmp_path):
+    path, days = str(tmp_path / "state"), [dt.date(1997, 1, 1) + dt.timedelta(days=i) for i in range(59)]
+    daily_state.refresh(Tables.from_parquet(spark, stored, TABLES), path, days)
+    before, late = _totals(spark, path), dt.date(1997, 2, 3)
+    term = dict(term_start="1997-01-01", term_months=2, term_amount="5000")
+
+    # Rows that arrive late for one day, and a day that loses all its rows.
+    bridge, gone = driver_tables(spark, SF001), dt.date(1997, 2, 10)
+    changed = {n: bridge.between(n, dt.datetime(1997, 1, 1), dt.datetime(1997, 3, 1)) for n in TABLES}
+    extra = changed["pipe_usage_history"].limit(1).withColumn("start_time", F.lit("1997-02-03 05:00:00").cast("timestamp_ntz"))
+    for n in TABLES:
+        day = F.to_date("usage_date" if n == "storage_usage" else "start_time")
+        changed[n] = changed[n].filter(day != F.lit(gone))
+    changed["pipe_usage_history"] = changed["pipe_usage_history"].unionByName(extra)
+    new = Tables(changed)
+    kept = {f for f in os.listdir(path) if f.startswith("day=")} - {f"day={late}", f"day={gone}"}
+    files = {f: sorted(os.listdir(f"{path}/{f}")) for f in kept}
+    daily_state.refresh(new, path, [late, gone])
+    assert {f: sorted(os.listdir(f"{path}/{f}")) for f in kept} == files
+
+    whole = str(tmp_path / "whole")
+    daily_state.refresh(new, whole, days)
+    assert _totals(spark, path) == _totals(spark, whole) != before
+    full = sorted(map(str, REPORTS["usage_forecast"](new, **term).collect()))
+    assert sorted(map(str, daily_state.forecast_from_state(spark, path, **term).collect())) == full
+    assert daily_state.read_state(spark, path, gone, gone).count() == 0
+
+
+def test_refresh_reads_the_folders_of_its_days(spark, stored):
+    t = Tables.from_parquet(spark, stored, TABLES)
+    one = dt.date(1997, 2, 3)
+    df = daily_state.daily_costs(t, one, one)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Five cost tables with rows in 1997, partitioned by date (metering has none, storage has a row a day).
+    scans = [line for line in plan.splitlines() if "PartitionFilters" in line and "usage_date" not in line]
+    assert len(scans) == 5 and all("start_date" in s and "1997-02-03" in s for s in scans)
+
+
+def test_state_of_no_days(spark, stored, tmp_path):
+    t = Tables.from_parquet(spark, stored, TABLES)
+    daily_state.refresh(t, str(tmp_path / "s"), [])
+    assert not os.path.exists(tmp_path / "s")
+    daily_state.refresh(t, str(tmp_path / "s"), [dt.date(2050, 1, 1)])
+    assert _totals(spark, str(tmp_path / "s")) == {}

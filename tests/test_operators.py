@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from meterlens.functions import (
     EXECUTION_BUCKETS, add_months, client_family, div0, next_midnight_or_same, rounded, seconds_crossed,
 )
-from meterlens.operators import allocate_by_share, bucket_counts, hourly_overlap, keep_hashes, rank_among, top_k
+from meterlens.operators import allocate_by_share, bucket_counts, keep_hashes, overlap_split, rank_among, top_k
 from meterlens.plans.billing import Contract
 
 H = dt.timedelta(hours=1)
@@ -58,6 +58,20 @@ QUERY_SCHEMA = T.StructType([
 ])
 
 
+def _utilisation(spark, queries, windows):
+    """overlap_split over hourly windows, as {(key, window start): (seconds, ids)}."""
+    rows = [(f"q{i}", *q) for i, q in enumerate(queries)]
+    log = spark.createDataFrame(rows, T.StructType([T.StructField("query_id", T.StringType()), *QUERY_SCHEMA]))
+    hours = spark.createDataFrame([(wh, ws, ws + H) for wh, ws in windows], WINDOW_SCHEMA)
+    got = overlap_split(log, hours, key="warehouse_name").collect()
+    return {(r["warehouse_name"], r["start_time"]): (round((r["contained_ms"] or 0) / 1000 + (r["partial_seconds"] or 0), 6), r["ids"])
+            for r in got}
+
+
+WINDOW_SCHEMA = T.StructType([T.StructField("warehouse_name", T.StringType()), T.StructField("start_time", T.TimestampNTZType()),
+                              T.StructField("end_time", T.TimestampNTZType())])
+
+
 def test_hourly_overlap_edges(spark):
     us = dt.timedelta(microseconds=1)
     queries = [
@@ -72,12 +86,8 @@ def test_hourly_overlap_edges(spark):
         ("b", T0 + 2 * H + dt.timedelta(minutes=5), T0 + H + dt.timedelta(minutes=50), 8),    # ends an hour early
     ]
     windows = [(wh, T0 + k * H) for wh in "ab" for k in range(-1, 5)]
-    with_nulls = queries + [("a", None, T0 + H, 1), ("a", T0, None, 1)]  # NULL times never match
-    got = hourly_overlap(spark.createDataFrame(with_nulls, QUERY_SCHEMA), key="warehouse_name").collect()
-    mine = {(r["warehouse_name"], r["hour"]): (round((r["contained_ms"] or 0) / 1000 + (r["partial_seconds"] or 0), 6),
-                                               r["pairs"]) for r in got}
-    mine = {k: v for k, v in mine.items() if k in set(windows)}
-    assert mine == _four_branch(queries, windows)
+    with_nulls = queries + [("a", None, T0 + H, 1), ("a", T0, None, 1), (None, T0, T0 + H, 1)]  # NULLs never match
+    assert _utilisation(spark, with_nulls, windows) == _four_branch(queries, windows)
 
 
 def test_hourly_overlap_random(spark):
@@ -92,11 +102,7 @@ def test_hourly_overlap_random(spark):
             e = e.replace(minute=0, second=0, microsecond=0) if e.replace(minute=0, second=0, microsecond=0) >= s else e
         queries.append((rnd.choice("xyz"), s, e, rnd.randrange(0, 10**7)))
     windows = [(wh, T0 + k * H) for wh in "xyz" for k in range(0, 26)]
-    got = hourly_overlap(spark.createDataFrame(queries, QUERY_SCHEMA), key="warehouse_name").collect()
-    mine = {(r["warehouse_name"], r["hour"]): (round((r["contained_ms"] or 0) / 1000 + (r["partial_seconds"] or 0), 6),
-                                               r["pairs"]) for r in got}
-    mine = {k: v for k, v in mine.items() if k in set(windows)}
-    assert mine == _four_branch(queries, windows)
+    assert _utilisation(spark, queries, windows) == _four_branch(queries, windows)
 
 
 LOG_SCHEMA = T.StructType([

@@ -83,8 +83,8 @@ def test_partitioned_tables_prune_by_date(spark):
     assert sorted(map(tuple, REPORTS["spill_ratio"](stored).collect())) == \
         sorted(map(tuple, REPORTS["spill_ratio"](bridge).collect()))
     buckets = _formatted(REPORTS["execution_time_buckets"](stored, as_of=dt.datetime(2024, 1, 31), warehouse="view"))
-    # Probes into the history carry their bucket's bounds; the counted rows come from a pruned, filtered scan.
-    assert "GreaterThanOrEqual(total_elapsed_time,5000), LessThan(total_elapsed_time,10000)" in buckets
+    # One pass over the history reads its one value column; the counted rows come from a pruned, filtered scan.
+    assert "ReadSchema: struct<total_elapsed_time:bigint>" in buckets and "PushedFilters: [IsNull(query_id)]" in buckets
     assert "EqualTo(warehouse_name,view)" in buckets and "PartitionFilters: [isnotnull(start_date" in buckets
 
 
@@ -136,16 +136,17 @@ def test_frequent_queries_drops_other_texts_before_the_shuffle(spark):
 
 def test_single_partition_exchanges_only_over_bounded_rows(plans):
     # Final steps of global aggregates and limits: one row per task (longest_queries: the survivors' keys
-    # and n + 1 counts; execution_time_buckets: one row per probe; usage_forecast: the fitted line;
-    # statement_timeouts: the account's value).
-    allowed = {"longest_queries", "usage_forecast", "execution_time_buckets", "statement_timeouts"}
+    # and n + 1 counts; execution_time_buckets: a row per place between edges; usage_forecast: a row per contract
+    # day; statement_timeouts: the account's value; warehouse_utilization: the levels of the windows' lengths).
+    allowed = {"longest_queries", "usage_forecast", "execution_time_buckets", "statement_timeouts", "warehouse_utilization"}
     assert {n for n, p in plans.items() if "SinglePartition" in p} <= allowed
 
 
 def test_windows_only_over_aggregated_or_bounded_frames(plans):
     # Each of these windows runs over at most one row per (warehouse, day),
-    # (warehouse, role), or the n rows of a top-k.
-    allowed = {"warehouse_over_7day_avg", "role_segmentation", "longest_queries", "most_scanned_queries"}
+    # (warehouse, role), day of the contract, or place between edges, or the n rows of a top-k.
+    allowed = {"warehouse_over_7day_avg", "role_segmentation", "longest_queries", "most_scanned_queries", "usage_forecast",
+               "execution_time_buckets"}
     assert {n for n, p in plans.items() if "Window" in p} <= allowed
 
 
