@@ -42,7 +42,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share = max(2, math.ceil(docs.count() / ranges))
 
     others = [F.col(quoted(c)).alias(c) for c in carry if c != text_col]
-    rows = docs.select(F.struct(F.lit(0).alias(" "), *others).alias("row"), F.col(quoted(id_col)).alias("id"),
+    filler = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field; this name is longer than any of theirs
+    rows = docs.select(F.struct(F.lit(0).alias(filler), *others).alias("row"), F.col(quoted(id_col)).alias("id"),
                        F.col(quoted(text_col)).alias("text"))
     norm = normalised(F.col("text"))
     keyed = rows.select("*", F.xxhash64(norm).alias("h"), F.substring(norm, 1, START).alias("start"),

@@ -49,6 +49,12 @@ def test_hot_text_is_spread_and_still_one_group(spark):
     assert kept.count() == 701 and kept.filter("text = 'the same text'").first().doc_id == 0
 
 
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "a", 4, 5, 6)], "doc_id long, text string, ` ` int, `_` int, `a.b` int")
+    found = content_sort_dedup(df, kept_only=True).select("row.*")
+    assert found.columns == df.columns and [tuple(r) for r in found.collect()] == [(1, "a", 1, 2, 3)]
+
+
 def test_carry_and_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert content_sort_dedup(empty).count() == 0
