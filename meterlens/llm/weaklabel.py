@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from .common import as_row, field, quoted
 
-#: Hashed feature slots, and documents in the training sample (expected number; the bound is twice that).
+#: Words of a stretch in which distinct words are counted, so that the share does not fall with the length of a text.
+STRETCH = 200
+#: Hashed feature slots, and distinct texts in the training sample (expected number; the bound is twice that).
 SLOTS, SAMPLE = 2048, 4000
 
 _WORD_SYMBOLS = tuple(bytes([c]) * 2 for c in range(33, 127) if not chr(c).isalnum())
@@ -49,7 +51,7 @@ class Measures:
     capitals: float  # share of ASCII letters that are capitals
     marked: float  # share of words that end in a doubled symbol
     bars: float  # share of words that are a bar
-    distinct: float  # distinct words by words
+    distinct: float  # distinct words by words, in stretches of STRETCH words
     repeats: float  # share of words equal to the word before
     same_lines: float  # share of lines seen before in the text
     endings: float  # share of words that end a sentence
@@ -63,7 +65,7 @@ def measure(data: bytes) -> Measures:
     lines = data.split(b"\n")
     return Measures(len(words), counts[6:].sum() / dense, counts[2] / max(1, counts[1] + counts[2]),
                     sum(map(bytes.endswith, words, [_WORD_SYMBOLS] * len(words))) / n, words.count(b"|") / n,
-                    len(set(words)) / n, sum(map(bytes.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / len(lines),
+                    sum(len(set(words[i:i + STRETCH])) for i in range(0, len(words), STRETCH)) / n, sum(map(bytes.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / len(lines),
                     sum(map(bytes.endswith, words, [(b".", b"!", b"?")] * len(words))) / n)
 
 
@@ -166,7 +168,7 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Labeller statistics from all documents; the scorer from a sample by text hash of ``sample`` expected documents."""
+    """Labeller statistics from all documents; the scorer from a sample by text hash of ``sample`` expected distinct texts."""
     texts = docs.select(F.col(quoted(text_col)).alias("text"))
 
     def pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,6 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
 
     counted = texts.mapInArrow(pattern, "pattern string").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     share, accuracies, posteriors = estimate({r["pattern"]: r["n"] for r in counted})
-    total = sum(r["n"] for r in counted)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
                 target.append(posteriors.get(votes(m), share))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(target)], names=["x", "y"])
 
-    # The hash is of the text, so the sample holds distinct texts at the same rate; one row of each is taken.
+    # The hash is of the text, so the sample holds distinct texts at the same rate, whatever their copies; one row of each is taken.
+    total = texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
     limit = min(1 << 30, round((1 << 30) * sample / max(1, total)))
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limit).mapInArrow(featured, "x binary, y double").distinct()
     got = chosen.limit(2 * sample).collect()

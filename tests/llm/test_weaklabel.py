@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterlens.llm.weaklabel import LABELLERS, classify, estimate, fit, measure, train, votes
 
@@ -62,6 +63,28 @@ def test_held_out_accuracy(spark):
     assert clean.kept.mean() > 0.998 and (~junk.kept).mean() > 0.97
 
 
+def test_copies_of_one_text_leave_the_verdicts_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sentence = "The committee met on Tuesday and agreed that the new bridge should be opened in spring."
+    copies = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(sentence).alias("text"))
+    alone = {r.doc_id: r.kept for r in classify(docs, fit(docs)).select("row.doc_id", "kept").collect()}
+    model = fit(docs.union(copies))
+    beside = {r.doc_id: r.kept for r in classify(docs, model).select("row.doc_id", "kept").collect()}
+    rejected = sum(not k for k in alone.values())
+    assert rejected > 100 and sum(alone[i] != beside[i] for i in alone) <= rejected // 20
+    assert classify(copies.limit(1), model).first().kept
+
+
+def test_a_very_long_clean_text_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    clean = [r.text for r in docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("quality = 1 AND length(text) > 500").collect()]
+    words = " ".join(clean).split(" ")
+    long = " ".join((words * (1 + 200_000 // len(words)))[:200_000])
+    assert measure(long.encode()).words >= 200_000 and "1" not in votes(measure(long.encode()))
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert classify(df, fit(docs)).first().kept
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "word " * 40), (3, "BUY!! NOW!! " * 20_000), (3, "BUY!! NOW!! " * 20_000)]
     rows += [(10 + i, f"Some plain words number {i} stand here, and they are read by someone. So it goes on for a while.") for i in range(60)]
