@@ -51,11 +51,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back.
 
     Cuts lineage: what reads the result never recomputes ``df``, also after
-    executors are lost.  ``forget`` deletes the folders.
+    executors are lost.  ``discard`` deletes it once its last reader is
+    stored, ``forget`` all that are left.
     """
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._stored_path = path
+    return held
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of frames that ``stored`` returned; nothing that is still to run may read them."""
+    for df in frames:
+        _delete(df.sparkSession, df._stored_path)
+        _written.remove(df._stored_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -67,8 +82,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def forget(spark: SparkSession) -> None:
     """Delete every folder that ``stored`` wrote; call it once results are saved."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def as_row(df: DataFrame, name: str = "row") -> DataFrame:

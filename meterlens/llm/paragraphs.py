@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prefilter import keep_hashes
-from .common import quoted, stored
+from .common import discard, quoted, stored
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -250,8 +250,8 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
     Paragraphs of at least ``min_words`` words; those below a shingle have duplicates only where they are equal.
     """
     bands, rows = tune_bands(similarity)
-    table = stored(_paragraph_table(source, bands, rows, max(1, min_words)), "paragraphs")
-    keys = (table.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key")).repartition("key")
+    keyed = stored(_paragraph_table(source, bands, rows, max(1, min_words)), "paragraphs-keys")
+    keys = (keyed.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key")).repartition("key")
             .dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine, other = F.col("block"), F.col("other")
@@ -260,6 +260,8 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
                  F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != mine))))
              .select("h", F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("cell")))
     cells = stored(cells, "paragraph-cells")
+    table = stored(keyed.drop("keys"), "paragraphs")
+    discard(keyed)
 
     per_text = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"),
                                       F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first"))
@@ -267,7 +269,9 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
     met = cells.select("h").distinct()
     wanted = stored(per_text.join(_large(met), "h").select("h", F.col("first.id").alias("id")), "paragraph-wanted")
     forms = stored(_normal_forms(source, wanted, SHINGLE), "paragraph-forms")
+    discard(wanted)
     links = stored(_verified(cells.join(_large(forms), "h"), similarity).distinct(), "paragraph-links")
+    discard(cells, forms)
     roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
 
     joined = per_text.join(_large(roots), "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -275,6 +279,7 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
                 .filter("cluster_size > 1"))
     named = stored(joined.join(_large(clusters), "root").select(F.col("h").alias("k"), "cluster_size", "head",
                                                         F.lower(F.hex("root")).alias("cluster_id")), "paragraph-clusters")
+    discard(per_text, links)
     return (table.select("id", "start", "length", "h").join(_large(named), F.col("h") == F.col("k"))
             .select("id", "start", "length", "cluster_id", "cluster_size",
                     (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("start") == F.col("head.start"))).alias("kept")))
@@ -348,36 +353,62 @@ def near_places(grams: np.ndarray, keys: np.ndarray, reach: int = PLACES - 1) ->
     return np.flatnonzero(before[np.minimum(at + reach + 1, len(grams))] > before[np.maximum(at - reach, 0)])
 
 
-def _hits(windows: DataFrame) -> DataFrame:
-    """``windows`` whose key stands in several documents, with ``first_id``, the smallest id that has it."""
+def _shared(windows: DataFrame) -> DataFrame:
+    """(key, first_id): keys of ``windows`` that stand in several documents, with the smallest id that has them."""
     # Documents are told apart by id; all rows with a null id count as one.
-    shared = (windows.groupBy(F.col("key").alias("k"))
-              .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
-                   F.max(F.col("id").isNull()).alias("none"), F.max(F.col("id").isNotNull()).alias("some"))
-              .filter("first_id <> last_id OR (none AND some)").select("k", "first_id"))
-    return windows.join(_large(shared), F.col("key") == F.col("k")).drop("k")
+    return (windows.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                                       F.max(F.col("id").isNull()).alias("none"), F.max(F.col("id").isNotNull()).alias("some"))
+            .filter("first_id <> last_id OR (none AND some)").select("key", "first_id"))
+
+
+def _hits(windows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``windows`` whose key is ``shared``, with first_id; the others are dropped where they are read."""
+    return keep_hashes(windows, shared.select("key"), "key").join(_large(shared), "key")
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """(id, start, stop, first_id, n_windows, kept): runs of neighbouring windows with one first document.
+
+    A run belongs to the document that is first for its windows, and is kept
+    there.  Elsewhere it ends where windows begin that the document itself is
+    first for, so that removing all runs that are not kept leaves every
+    window whole in its first document.
+    """
+    order = Window.partitionBy("id", "doc").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    other = ~F.lag("first_id").over(order).eqNullSafe(F.col("first_id"))
+    runs = (hits.withColumn("new", ((F.col("start") > reach + 1) | other).cast("int"))
+            .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(order))
+            .groupBy("id", "doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+                                             F.first("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_windows"))
+            .withColumn("kept", F.col("id").eqNullSafe(F.col("first_id"))))
+    by_run = Window.partitionBy("id", "doc").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    from_end = Window.partitionBy("id", "doc").orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
+    own_before = F.max(F.when(F.col("kept"), F.col("stop"))).over(by_run)
+    own_after = F.min(F.when(F.col("kept"), F.col("start"))).over(from_end)
+    trimmed = runs.withColumn("a", F.when(F.col("kept"), F.col("start")).otherwise(F.greatest("start", own_before)))
+    trimmed = trimmed.withColumn("b", F.when(F.col("kept"), F.col("stop")).otherwise(F.least("stop", own_after)))
+    return trimmed.filter("a < b").select("id", F.col("a").alias("start"), F.col("b").alias("stop"), "first_id", "n_windows", "kept")
 
 
 def shared_passages(source: DataFrame) -> DataFrame:
     """(id, start, length, first_id, n_windows, kept) for spans whose windows occur in several documents.
 
     A run of at least 50 words that two documents share is covered whole in
-    both.  Shorter ones, of 25 words and more, may be found or not.
+    both.  Shorter ones, of 25 words and more, may be found or not.  Each
+    window that occurs in several documents stays whole in the one with the
+    smallest id when all spans that are not kept are removed.
     """
     texts = source.select("id", F.xxhash64("text").alias("doc"), "text")
-    winnowed = stored(_windows(texts), "windows")
-    keys = stored(_hits(winnowed).groupBy("doc").agg(F.collect_set("key").alias("keys")), "window-keys")
+    winnowed = stored(_windows(texts).select("id", "doc", "key"), "windows")
+    keys = stored(_hits(winnowed, _shared(winnowed)).groupBy("doc").agg(F.collect_set("key").alias("keys")), "window-keys")
+    discard(winnowed)
     held = (keep_hashes(texts, keys.select("doc"), "doc")
             .join(_large(keys.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d")).select("id", "doc", "text", "keys"))
-    hits = _hits(stored(_windows(held, near=True), "near-windows"))
-    order = Window.partitionBy("id", "doc").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = (hits.withColumn("new", (F.col("start") > reach + 1).cast("int"))
-             .withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(order))
-             .groupBy("id", "doc", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                               F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_windows")))
-    return spans.select("id", "start", (F.col("stop") - F.col("start")).alias("length"), "first_id", "n_windows",
-                        F.col("id").eqNullSafe(F.col("first_id")).alias("kept"))
+    near = _windows(held, near=True)  # many and cheap: read twice, stored never
+    shared = stored(_shared(near.select("id", "key")), "shared-windows")
+    spans = _spans(_hits(near, shared))
+    return spans.select("id", "start", (F.col("stop") - F.col("start")).alias("length"), "first_id", "n_windows", "kept")
 
 
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -389,7 +420,8 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     greetings) is the caller's choice.  kind "passage": words in a row that also
     stand in another document, runs of at least 50 to both their ends;
     cluster_id is the smallest id that has them
-    (kept there), occurrences the windows found.  Lower case A-Z; null counts
+    (kept there), occurrences the windows found; where a document is itself the
+    first for a part of a run, that part is a kept span of its own.  Lower case A-Z; null counts
     as empty; documents are told apart by id, all null ids being one; repeated
     rows are compared like others; tables without duplicates or rows give an
     empty result.
