@@ -7,6 +7,7 @@ registers them beside the reports, with SQL for the same result.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators.buckets import bucket_counts
 from ..operators.distinct import distinct_counts, distinct_state, merge_states
 from ..operators.numbering import global_row_number, shared_path
 from ..sources.tables import Tables
-from . import audit, consumption, contracts, daily_state
+from . import audit, consumption, contracts, daily_state, sections
 
 QH, WMH = "query_history", "warehouse_metering_history"
 #: What telemetry writes for a query that has not ended.
@@ -116,6 +117,18 @@ def user_timeouts(t: Tables) -> DataFrame:
     return audit.timeout_listing(t, "USER")
 
 
+def grouped_section(t: Tables, as_of: dt.datetime) -> DataFrame:
+    """All grouped reports from one scan of each table and lookback class, one row a group: report, its keys as text, its first figure."""
+    found = sections.grouped_reports(t, sections.GROUPED, as_of)
+    parts = []
+    for name, df in found.items():
+        keys = list(sections.GROUPED[name][1](as_of)[1].keys)
+        value = next(c for c in df.columns if c not in keys)
+        parts.append(df.select(F.lit(name).alias("report"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("keys"),
+                               F.col(value).cast("double").alias("figure")))
+    return reduce(DataFrame.union, parts)
+
+
 APPLIED = {f.__name__: f for f in (
     utilization_of_any_windows, distinct_users_by_hour, numbered_query_log, queries_by_role_ranges, contracted_by_day,
-    ledger_from_daily_state, account_timeouts, warehouse_timeouts, user_timeouts)}
+    ledger_from_daily_state, account_timeouts, warehouse_timeouts, user_timeouts, grouped_section)}

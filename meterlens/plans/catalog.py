@@ -99,10 +99,14 @@ def run_report(t: Tables, name: str, as_of: dt.datetime | None = None, **params)
     return REPORTS[name](t, **params)
 
 
-def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, tier: int | None = None,
-                **params) -> SectionReports:
+def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, tier: int | None = None, *,
+                one_scan: bool = False, **params) -> SectionReports:
     """All reports of a section (optionally of one tier) as lazy DataFrames.
 
+    With ``one_scan`` the reports that group the query log or the metering
+    (``sections.GROUPED``) come from one scan of their table per lookback
+    class, which runs when this is called; the results are the same.
+
     A parameter goes to the reports that have it; one that none has is an
     error.  Reports that lack a parameter (e.g. the warehouse of
     ``execution_time_buckets``) or a table are listed in ``skipped`` of the
@@ -113,7 +117,17 @@ def run_section(t: Tables, section: str, as_of: dt.datetime | None = None, tier:
     if unknown:
         raise ValueError(f"no report of section {section!r} has a parameter {unknown}")
     out = SectionReports()
+    shared: dict[str, DataFrame] = {}
+    if one_scan and as_of is not None:
+        from .sections import GROUPED, grouped_reports
+
+        together = [n for n in names if n in GROUPED and GROUPED[n][0] in t]
+        own = {n: {k: v for k, v in params.items() if k in parameters(n)} for n in together}
+        shared = grouped_reports(t, together, as_of, own)
     for name in names:
+        if name in shared:
+            out[name] = shared[name]
+            continue
         try:
             out[name] = run_report(t, name, as_of, **{k: v for k, v in params.items() if k in parameters(name)})
         except (MissingParameter, MissingTable) as err:

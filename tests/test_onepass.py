@@ -1,0 +1,76 @@
+"""Several reports from one scan: equal to the single reports, with each table read once per lookback class."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from conftest import SF01, SF001
+from meterlens import REPORTS, Tables, driver_tables
+from meterlens.operators.onepass import Grouped, one_pass
+from meterlens.plans.catalog import run_report, run_section
+from meterlens.plans.sections import GROUPED, grouped_reports
+
+AS_OF = dt.datetime(2024, 1, 20, 13, 30)
+
+
+def _rows(df):
+    return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()]
+
+
+def test_grouped_reports_equal_the_single_ones(spark):
+    t = driver_tables(spark, SF01)
+    params = {"heavy_scanners": {"days": 12}, "full_scan_users": {"fraction": 0.5}}
+    found = grouped_reports(t, GROUPED, AS_OF, params)
+    assert list(found) and set(found) == set(GROUPED)
+    for name, df in found.items():
+        single = run_report(t, name, AS_OF, **params.get(name, {})) if name != "credits_by_warehouse_all" else REPORTS[name](t)
+        assert df.dtypes == single.dtypes and _rows(df) == _rows(single), name
+
+
+def test_a_section_in_one_scan(spark):
+    t = driver_tables(spark, SF001)
+    one, many = (run_section(t, "performance", AS_OF, one_scan=flag) for flag in (True, False))
+    assert list(one) == list(many) and one.skipped == many.skipped
+    for name in ("cache_usage", "heavy_scanners", "full_scan_users"):
+        assert _rows(one[name]) == _rows(many[name]), name
+
+
+def test_tables_are_read_once_per_lookback_class(spark):
+    bridge, read = driver_tables(spark, SF001), {}
+
+    def counting(name):
+        df = bridge[name]
+        rows = read[name] = spark.sparkContext.accumulator(0)
+
+        def pass_on(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(pass_on, df.schema)
+
+    names = ("query_history", "warehouse_metering_history")
+    t = Tables({n: counting(n) for n in names})
+    for df in grouped_reports(t, GROUPED, AS_OF).values():
+        df.collect()
+        df.count()
+    sizes = {n: bridge[n].count() for n in names}
+    assert read["query_history"].value == sizes["query_history"]  # all with a lookback
+    assert read["warehouse_metering_history"].value == 2 * sizes["warehouse_metering_history"]  # one report over all history, three with a lookback
+
+
+def test_null_keys_repeated_sets_and_empty_results(spark):
+    df = spark.createDataFrame([(None, 1, 5), ("a", 1, 7), ("a", None, None), ("b", 2, 1)], "k string, j int, v int")
+    k, j, v = F.col("k"), F.col("j"), F.col("v")
+    results = {
+        "by_k": Grouped({"k": k}, {"n": (F.count, F.lit(1)), "s": (F.sum, v)}),
+        "again": Grouped({"key": k}, {"top": (F.max, v)}, where=j == 1, finish=lambda d: d.filter("top > 5")),
+        "both": Grouped({"k": k, "j": j}, {"n": (F.count, v)}),
+        "none": Grouped({"j": j}, {"n": (F.count, F.lit(1))}, where=v > 100),
+        "total": Grouped({}, {"n": (F.count, F.lit(1))}),
+    }
+    got = {n: sorted(map(tuple, d.collect()), key=repr) for n, d in one_pass(df, results).items()}
+    assert got == {"by_k": [("a", 2, 7), ("b", 1, 1), (None, 1, 5)], "again": [("a", 7)],
+                   "both": [("a", 1, 1), ("a", None, 0), ("b", 2, 1), (None, 1, 1)], "none": [], "total": [(4,)]}
+    assert all(d.count() == 0 for n, d in one_pass(df.limit(0), results).items() if n != "total")
+    assert one_pass(df, {}) == {}
