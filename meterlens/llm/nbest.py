@@ -6,10 +6,12 @@ the end of the text backward, so complete segmentations leave the search in
 order of their scores.
 
 No piece holds certain pairs of neighbouring characters; a text is cut
-between such pairs without losing a segmentation.  The parts (mostly words)
-are searched once per worker, in bounded caches, and the best segmentations
-of a text are the best sums over its parts.  Only the n-1 parts with the
-cheapest second choice can differ from their best in an n-best result.
+between such pairs without losing a segmentation, and the best segmentations
+of a text are the best sums over its parts (mostly words).  The forward pass
+of a part, which a worker keeps in bounded caches, gives its best way and how
+much the second best costs more.  Only the n-1 parts with the cheapest second
+choice can differ from their best in an n-best result, so the backward search
+runs for these alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import operator
 import re
 import zlib
 from array import array
@@ -33,10 +36,13 @@ from .common import quoted
 
 SPACE = "▁"
 #: Words, and other parts of texts, in a worker's caches.
-CACHE, PARTS = 120_000, 40_000
+CACHE, PARTS = 250_000, 40_000
 
 #: A segmentation: cost over the best one, ids as little-endian 32-bit integers.
 Choice = tuple[float, bytes]
+#: A part of a text: best score, ids of the best way, cost of the second best over it (inf if there is none), its characters.
+Part = tuple[float, bytes, float, str]
+_NEVER = float("inf")
 
 #: Marks that may end a word.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -48,16 +54,8 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def join_choices(left: list[Choice], right: list[Choice], n: int) -> list[Choice]:
-    """The ``n`` cheapest combinations of two lists in ascending cost."""
-    if len(right) == 1 and len(left) == 1:
-        return [(0.0, left[0][1] + right[0][1])]
-    sums = sorted((a[0] + b[0], i, j) for i, a in enumerate(left) for j, b in enumerate(right) if i * j < n)[:n]
-    return [(c, left[i][1] + right[j][1]) for c, i, j in sums]
-
-
 class Pieces(dict):
-    """Word (without the space sign before it) -> best score and n-best choices."""
+    """Word (without the space sign before it) that is one part -> that part."""
 
     def __init__(self, path: str, n: int):
         import sentencepiece
@@ -65,7 +63,7 @@ class Pieces(dict):
         super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.model, self.n = model, n
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> (next characters, score or None, id)
         self.pairs: set[str] = set()
         lowest, self.bytes_at, self.spelt, self.words_end = 0.0, {}, [], True
         for i in range(model.get_piece_size()):
@@ -78,9 +76,10 @@ class Pieces(dict):
             self.spelt.append(piece.replace(SPACE, " ").encode() if plain else b"")
             if plain:
                 node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (float(model.get_score(i)), array("I", [i]).tobytes())
+                for c in piece[:-1]:
+                    node = node.setdefault(c, ({}, None, b""))[0]
+                below = node.get(piece[-1], ({},))[0]
+                node[piece[-1]] = (below, float(model.get_score(i)), array("I", [i]).tobytes())
                 lowest = min(lowest, model.get_score(i))
                 self.pairs.update(map("".join, itertools.pairwise(piece)))
                 self.words_end &= re.search(f"[^{SPACE}]{SPACE}", piece) is None
@@ -88,9 +87,42 @@ class Pieces(dict):
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.letters = np.frombuffer(b"".join(self.spelt), np.uint8)
         self.unknown, self.unknown_id = lowest - 10.0, model.unk_id()
-        self._parts: dict[str, tuple[float, list[Choice]]] = {}
+        self._parts: dict[str, Part] = {}
+        self._several: dict[str, list[Part]] = {}  # words of several parts
+        self._choices: dict[str, list[Choice]] = {}
 
     # ------------------------------------------------------------ one part
+    def forward(self, part: str) -> Part:
+        """The best way through a part, and what the second best costs more: Viterbi with two scores a place."""
+        size = len(part)
+        best, second, ids = [-_NEVER] * (size + 1), [-_NEVER] * (size + 1), [b""] * (size + 1)
+        best[0], trie, unknown = 0.0, self.trie, self.unknown
+        for i in range(size):
+            here, other, before, node, alone, k = best[i], second[i], ids[i], trie, True, i
+            for c in part[i:] if i else part:
+                if c not in node:
+                    break
+                k += 1
+                node, score, piece = node[c]
+                if score is not None:
+                    if k == i + 1:
+                        alone = False
+                    total, worse = here + score, other + score
+                    old = best[k]
+                    if total > old:
+                        second[k] = old if old > worse else worse
+                        best[k], ids[k] = total, before + piece
+                    elif total > second[k]:
+                        second[k] = total
+            if alone:  # a character that is no piece
+                total = here + unknown
+                if total > best[i + 1]:
+                    second[i + 1] = max(best[i + 1], other + unknown)
+                    best[i + 1], ids[i + 1] = total, before + self._fallback(part[i])
+                elif total > second[i + 1]:
+                    second[i + 1] = total
+        return best[size], ids[size], best[size] - second[size], part
+
     def search(self, part: str) -> tuple[float, list[Choice]]:
         """Best score of a part and its ``n`` best segmentations: forward Viterbi, then A-star backward."""
         size = len(part)
@@ -100,15 +132,15 @@ class Pieces(dict):
         for i, char in enumerate(part):
             node, here, before, alone = self.trie, best[i], ids[i], True
             for k in range(i + 1, size + 1):
-                node = node.get(part[k - 1])
-                if node is None:
+                step = node.get(part[k - 1])
+                if step is None:
                     break
-                hit = node.get("")
-                if hit:
-                    total = here + hit[0]
-                    into[k].append((i, total, hit[1]))
+                node, score, piece = step
+                if score is not None:
+                    total = here + score
+                    into[k].append((i, total, piece))
                     if total > best[k]:
-                        best[k], back[k], ids[k] = total, i, before + hit[1]
+                        best[k], back[k], ids[k] = total, i, before + piece
                     if k == i + 1:
                         alone = False
             if alone:  # a character that is no piece
@@ -142,59 +174,84 @@ class Pieces(dict):
         data = char.encode("utf-8", "replace")
         return array("I", [self.bytes_at[b] for b in data] if len(self.bytes_at) == 256 else [self.unknown_id]).tobytes()
 
-    def _part(self, part: str) -> tuple[float, list[Choice]]:
+    def _part(self, part: str) -> Part:
         got = self._parts.get(part)
         if got is None:
-            got = self.search(part)
+            got = self.forward(part)
             if len(self._parts) < PARTS and len(part) <= 40:
                 self._parts[part] = got
         return got
 
-    def unit(self, text: str) -> tuple[float, list[Choice]]:
-        """Best score and choices of any text, cut where no piece can cross."""
-        total, choices, start = 0.0, None, 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1:i + 1] not in self.pairs:
-                score, more = self._part(text[start:i])
-                total, choices, start = total + score, join_choices(choices, more, self.n) if choices else more, i
-        return total, choices or [(0.0, b"")]
+    def choices(self, part: str) -> list[Choice]:
+        """The ``n`` best ways through a part."""
+        got = self._choices.get(part)
+        if got is None:
+            got = self.search(part)[1]
+            if len(self._choices) < PARTS and len(part) <= 40:
+                self._choices[part] = got
+        return got
 
-    def __missing__(self, word: str) -> tuple[float, list[Choice]]:
+    def unit(self, text: str) -> list[Part]:
+        """The parts of any text, cut where no piece can cross."""
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(operator.add, text, text[1:]), 1) if pair not in pairs]
+        return [self._part(text[a:b]) for a, b in itertools.pairwise([0, *cuts, len(text)])] if text else []
+
+    def word(self, word: str) -> list[Part]:
+        """The parts of a word (with the space sign that stands before it) that is not in the cache."""
+        several = self._several.get(word)
+        if several is not None:
+            return several
         # Most words are letters and a few marks; the letters alone fill the cache.
         letters = word.rstrip(_MARKS)
         if letters and len(letters) < len(word) and word[len(letters) - 1:len(letters) + 1] not in self.pairs:
-            (score, choices), (more, marks) = self[letters], self.unit(word[len(letters):])
-            return score + more, join_choices(choices, marks, self.n)
-        got = self.unit(SPACE + word)
-        if len(self) < CACHE and len(word) <= 40:
-            self[word] = got
-        return got
+            known = self.get(letters)
+            return [*(self.word(letters) if known is None else [known]), *self.unit(word[len(letters):])]
+        whole = SPACE + word
+        if self.pairs.issuperset(map(operator.add, whole, word)):  # all neighbours, none to cut between
+            part = self.forward(whole)
+            if len(self) < CACHE and len(word) <= 40:
+                self[word] = part
+            return [part]
+        parts = self.unit(whole)
+        if len(self._several) < PARTS and len(word) <= 40:
+            self._several[word] = parts
+        return parts
 
     # ----------------------------------------------------------- one text
     def encode(self, text: str) -> list[tuple[float, int, bytes]]:
         """(score, number of ids, ids) of the n best segmentations, best first; the empty text has one without ids."""
         text = self.model.normalize(text) if text else ""
+        parts: list[Part] = []
         if not self.words_end:
-            parts = [self.unit(text)]
+            parts = self.unit(text)
         elif SPACE * 2 in text:
-            parts = [self[w[1:]] if w.startswith(SPACE) and not w.startswith(SPACE * 2) else self.unit(w)
-                     for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)]
+            for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
+                plain = w.startswith(SPACE) and not w.startswith(SPACE * 2)
+                known = self.get(w[1:]) if plain else None
+                parts += [known] if known is not None else self.word(w[1:]) if plain else self.unit(w)
         else:
             first, *words = text.split(SPACE)
-            parts = [self.unit(first)] if first else []
-            parts += map(self.__getitem__, words)
+            parts = self.unit(first)
+            for w, known in zip(words, map(self.get, words)):
+                if known is None:
+                    parts += self.word(w)
+                else:
+                    parts.append(known)
         score = sum([p[0] for p in parts])
-        ids = [p[1][0][1] for p in parts]
-        open_parts = heapq.nsmallest(self.n - 1, [(p[1][1][0], i) for i, p in enumerate(parts) if len(p[1]) > 1])
+        ids = [p[1] for p in parts]
+        gaps = [p[2] for p in parts]
+        open_parts = [i for gap, i in heapq.nsmallest(self.n - 1, zip(gaps, range(len(parts)))) if gap < _NEVER]
+        choices = {i: self.choices(parts[i][3]) for i in sorted(open_parts)}
         ways: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in sorted(i for _, i in open_parts):
+        for i, more in choices.items():
             ways = heapq.nsmallest(self.n, [(cost + c[0], (*changes, (i, k)) if k else changes)
-                                            for cost, changes in ways for k, c in enumerate(parts[i][1])])
+                                            for cost, changes in ways for k, c in enumerate(more)])
         out = []
         for cost, changes in ways:
             own = ids[:] if changes else ids
             for i, k in changes:
-                own[i] = parts[i][1][k][1]
+                own[i] = choices[i][k][1]
             joined = b"".join(own)
             out.append((score - cost, len(joined) // 4, joined))
         return out

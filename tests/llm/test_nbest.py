@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from meterlens.llm.nbest import SPACE, Pieces, decoded, default_model, encode_n_best, join_choices
+from meterlens.llm.nbest import SPACE, Pieces, decoded, default_model, encode_n_best
 
 
 @pytest.fixture(scope="module")
@@ -15,11 +15,10 @@ def model():
 
 
 def vocabulary(node, prefix=""):
-    for c, below in node.items():
-        if c == "":
-            yield prefix, below[0]
-        else:
-            yield from vocabulary(below, prefix + c)
+    for c, (below, score, _) in node.items():
+        if score is not None:
+            yield prefix + c, score
+        yield from vocabulary(below, prefix + c)
 
 
 def all_scores(model, known, text):
@@ -60,9 +59,26 @@ def test_longer_texts_keep_order_and_round_trip(model):
     assert all(model.decode(ids) == text for _, _, ids in got)
 
 
-def test_join_choices():
-    left, right = [(0.0, b"a"), (2.0, b"b")], [(0.0, b"c"), (1.0, b"d"), (5.0, b"e")]
-    assert join_choices(left, right, 4) == [(0.0, b"ac"), (1.0, b"ad"), (2.0, b"bc"), (3.0, b"bd")]
+def test_forward_gives_the_best_way_and_the_gap_to_the_second(model):
+    rng = random.Random(2)
+    parts = ["▁the", "▁thethethe", "ñ", "日本語", "x", "▁", "▁▁▁", "*"]
+    parts += ["".join(rng.choice("▁then.añ*") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    for part in parts:
+        best, ids, gap, text = model.forward(part)
+        score, choices = model.search(part)
+        assert (best, ids, text) == (score, choices[0][1], part)
+        assert gap == (pytest.approx(choices[1][0], abs=1e-9) if len(choices) > 1 else float("inf"))
+
+
+def test_texts_with_small_caches_have_the_same_segmentations(model, monkeypatch):
+    from meterlens.llm import nbest
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("the n.aß,") for _ in range(rng.randint(1, 8))) for _ in range(30)) for _ in range(20)]
+    want = [model.encode(t) for t in texts]
+    monkeypatch.setattr(nbest, "CACHE", 2)
+    monkeypatch.setattr(nbest, "PARTS", 1)
+    assert [Pieces(default_model(), 5).encode(t) for t in texts] == want
 
 
 def test_frame(spark):
