@@ -3,6 +3,7 @@
     python -m meterlens credits_by_user --tables /data/telemetry --as-of 2024-02-15 --out /data/reports
     python -m meterlens idle_roles --database telemetry --as-of 2024-02-15 --out /data/reports
     python -m meterlens --section billing --tables /data/telemetry --as-of 2024-02-15 --out /data/reports
+    python -m meterlens --section setup --tables /data/telemetry --inventory /data/listings --as-of 2024-02-15 --out /data/reports
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import SparkSession
 from .functions.time import as_datetime
 from .plans import REPORTS
 from .plans.catalog import SECTIONS, parameters, run_report, run_section
+from .sources.inventory import inventory_tables
 from .sources.tables import Tables
 
 
@@ -42,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("report", nargs="?", choices=sorted(REPORTS))
     ap.add_argument("--section", choices=sorted(SECTIONS))
     ap.add_argument("--tier", type=int, choices=[1, 2, 3], help="with --section: only reports of this tier")
+    ap.add_argument("--one-scan", action="store_true", help="with --section: read each table once for the reports that group it")
+    ap.add_argument("--inventory", help="folder of exported listings (warehouses, streams, parameters); the newest at --as-of is used")
     source = ap.add_mutually_exclusive_group(required=True)
     source.add_argument("--tables", help="folder of telemetry tables (one sub-folder per table)")
     source.add_argument("--database", help="catalog database holding the telemetry tables")
@@ -56,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("meterlens").getOrCreate()
     t = Tables.from_parquet(spark, args.tables) if args.tables else Tables.from_catalog(spark, args.database)
     as_of = as_datetime(args.as_of) if args.as_of else None
+    if args.inventory:
+        t = t.replaced(inventory_tables(spark, args.inventory, as_of))
     params = dict(p.split("=", 1) for p in args.param)
     if args.report:
         typed = {k: _value(args.report, k, v) for k, v in params.items()}
@@ -65,7 +71,8 @@ def main(argv: list[str] | None = None) -> int:
         unknown = sorted(set(params) - set(owner))
         if unknown:
             raise ValueError(f"no report of section {args.section!r} has a parameter {unknown}")
-        reports = run_section(t, args.section, as_of, args.tier, **{k: _value(owner[k], k, v) for k, v in params.items()})
+        reports = run_section(t, args.section, as_of, args.tier, one_scan=args.one_scan,
+                              **{k: _value(owner[k], k, v) for k, v in params.items()})
         skipped = reports.skipped
     for name, df in reports.items():
         writer = df.write.mode("overwrite")

@@ -140,6 +140,11 @@ class Tables:
     def __contains__(self, name: str) -> bool:
         return name in self._sources
 
+    def replaced(self, frames: Mapping[str, Source]) -> Tables:
+        """These tables with ``frames`` in place of, or beside, some of them."""
+        kept = lambda d: {n: f for n, f in d.items() if n not in frames}
+        return Tables({**self._sources, **frames}, bounded=kept(self._bounded), raw=kept(self._raw))
+
     def names(self) -> list[str]:
         return sorted(self._sources)
 

@@ -54,6 +54,25 @@ def test_cli_reports_what_it_skips(spark, capsys):
         main(["frequent_queries", "--tables", root, "--as-of", "2024-02-15", "--out", out, "--param", "min_cuont=9"])
 
 
+def test_cli_with_one_scan_and_an_inventory(spark, tmp_path):
+    root, out, listings = (str(tmp_path / n) for n in ("store", "out", "listings"))
+    bridge = driver_tables(spark, SF001)
+    names = ["query_history", "warehouse_metering_history", "warehouse_load_history", "users", "roles", "task_history"]
+    Tables({n: bridge[n] for n in names}).save(root)
+    main(["--section", "performance", "--tables", root, "--as-of", "2024-02-15", "--out", out, "--one-scan"])
+    for name in ("cache_usage", "full_scan_users", "heavy_scanners"):
+        want = sorted(map(str, run_section(bridge, "performance", dt.datetime(2024, 2, 15))[name].collect()))
+        assert sorted(map(str, spark.read.parquet(f"{out}/{name}").collect())) == want
+    os.makedirs(f"{listings}/warehouses")
+    with open(f"{listings}/warehouses/2024-02-01T00-00-00.csv", "w") as f:
+        f.write("name,size,auto_suspend,auto_resume,resource_monitor\nw1,Small,0,false,null\n")
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), here]))
+    assert main(["no_auto_resume", "--tables", root, "--inventory", listings, "--as-of", "2024-02-15", "--out", out]) == 0
+    assert [r.warehouse_name for r in spark.read.parquet(f"{out}/no_auto_resume").collect()] == ["w1"]
+
+
 def test_cli_values_follow_the_parameter():
     from meterlens.__main__ import _value
 
