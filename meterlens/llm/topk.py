@@ -6,8 +6,12 @@ order of the summed term maxima, scores a block through its forward index
 (the block's matrix), and stops when a block's bound falls below its k-th
 score.  Bounds are exact, so nothing is lost.
 
-Blocks travel in stretches of bounded size; every block of queries meets every
-stretch, and the k best of each meeting are merged per query.
+Blocks travel in stretches of bounded size.  A query first visits the blocks
+of its own stretch, where it already lies, and so has a k-th score before it
+is sent anywhere.  A table of the term maxima and minima of whole stretches,
+in chunks, then bounds what any stretch can offer it: the query goes only to
+stretches whose bound reaches that score, and there visits the blocks in
+order as before.  The k best of each meeting are merged per query.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .common import quoted, stored
 
 #: Vectors in a block, in a stretch (a power of two) and queries in a block.
 BLOCK, STRETCH, QUERIES = 256, 1 << 13, 2048
+#: Stretches in a chunk of the table of maxima.
+CHUNK = 512
 _BITS = STRETCH.bit_length() - 1
 _NONE = np.iinfo("int64").min
 
@@ -62,8 +68,11 @@ def _stretches(scale: float) -> Callable:
     return build
 
 
-def best_of(queries: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """Per query its k best (score, place) in ``matrix``, ties to the smaller place; ``own`` is a place to leave out or -1."""
+def best_of(queries: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int, least: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+    """Per query its k best (score, place) in ``matrix``, ties to the smaller place; ``own`` is a place to leave out or -1.
+
+    Blocks that cannot reach a query's ``least`` score are not visited.
+    """
     size = max(1.0, float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * matrix.shape[1])
     if size >= 2.0 ** (62 - _BITS) or size >= 2.0**53:  # beyond exact doubles: Python integers
         exact = [[int(x) for x in row] for row in matrix.tolist()]
@@ -82,6 +91,8 @@ def best_of(queries: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int) ->
         block = order[active, step]
         worst = best[active].min(axis=1)
         go = (worst == _NONE) | (bounds[active, block] >= worst >> _BITS)
+        if least is not None:
+            go &= bounds[active, block] >= least[active]
         active, block = active[go], block[go]
         if not len(active):
             break
@@ -97,6 +108,93 @@ def best_of(queries: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int) ->
     return [[(int(x >> _BITS), STRETCH - 1 - int(x & (STRETCH - 1))) for x in row if x != _NONE] for row in best]
 
 
+_HOME_SCHEMA = ("block long, stretch long, dim int, lo long, hi long, q_ids binary, q_places binary, q_matrix binary, least binary, "
+                "place array<long>, query_id array<long>, vec_id array<long>, score array<long>")
+
+
+def _at_home(every: int, k: int) -> Callable:
+    """Stretches -> blocks of their queries, with what they find in their own stretch and the score that others must reach."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, raw, longs = pa.int64(), pa.binary(), pa.list_(pa.int64())
+        kinds = (long, long, pa.int32(), long, long, raw, raw, raw, raw, longs, longs, longs, longs)
+        names = [f.split()[0] for f in _HOME_SCHEMA.split(", ")]
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, anonymous = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["anonymous"], bool)
+                chosen = np.flatnonzero((ids % every == 0) & ~anonymous)
+                matrix = np.frombuffer(r["matrix"], "<f8").reshape(r["n"], r["dim"])
+                for j, s in enumerate(range(0, len(chosen), QUERIES)):
+                    p = chosen[s:s + QUERIES]
+                    best = best_of(matrix[p], p, matrix, k)
+                    least = np.array([b[k - 1][0] if len(b) == k and abs(b[k - 1][0]) < 1 << 62 else _NONE for b in best], "<i8")
+                    rows = [(int(q), int(ids[q]), None if anonymous[at] else int(ids[at]), score) for q, b in zip(p, best) for score, at in b]
+                    values = (r["stretch"] * 64 + j, r["stretch"], r["dim"], r["lo"], r["hi"], ids[p].tobytes(), p.astype("<i8").tobytes(),
+                              matrix[p].tobytes(), least.tobytes(), *[[x[c] for x in rows] for c in range(4)])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+    return pick
+
+
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches -> the largest and smallest value of every term in each."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            matrix = np.frombuffer(r["matrix"], "<f8").reshape(r["n"], r["dim"])
+            top, low = (f(axis=0).tobytes() for f in (matrix.max, matrix.min))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
+                (r["stretch"], r["dim"], top, low), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["stretch", "dim", "top", "low"])
+
+
+def _routed(homes: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(stretch, block, q_ids, q_places, q_matrix, least): the queries of each block that a stretch but their own can offer something."""
+    chunks = (numbered.mapInArrow(_extremes, "stretch long, dim int, top binary, low binary")
+              .groupBy(F.floor(F.col("stretch") / CHUNK).alias("chunk"))
+              .agg(F.collect_list(F.struct("stretch", "dim", "top", "low")).alias("entries")))  # at most CHUNK
+    asked = homes.select("block", F.col("stretch").alias("home"), F.col("dim").alias("q_dim"), "q_ids", "q_places", "q_matrix", "least", F.explode(
+        F.sequence(F.floor(F.col("lo") / CHUNK), F.floor((F.col("hi") - 1) / CHUNK))).alias("chunk"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["stretch", "block", "q_ids", "q_places", "q_matrix", "least"]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        for batch in batches:
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids, places, least = (np.frombuffer(r[c], "<i8") for c in ("q_ids", "q_places", "least"))
+                queries = np.frombuffer(r["q_matrix"], "<f8").reshape(len(ids), r["q_dim"])
+                up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+                for e in r["entries"]:
+                    if e["dim"] != r["q_dim"] or e["stretch"] == r["home"]:
+                        continue
+                    top, low = np.frombuffer(e["top"], "<f8"), np.frombuffer(e["low"], "<f8")
+                    slack = 1e-12 * (np.abs(queries) @ np.maximum(np.abs(top), np.abs(low)))  # doubles may round a bound
+                    go = np.flatnonzero((least == _NONE) | (up @ top + down @ low + slack >= least))
+                    if len(go):
+                        values = (e["stretch"], r["block"], ids[go].tobytes(), places[go].tobytes(), queries[go].tobytes(), least[go].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+    return asked.join(chunks, "chunk").mapInArrow(
+        route, "stretch long, block long, q_ids binary, q_places binary, q_matrix binary, least binary")
+
+
+def _meetings(k: int) -> Callable:
+    """Queries met with a stretch that is not their own -> what they find there."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids, anonymous = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["anonymous"], bool)
+                matrix = np.frombuffer(r["matrix"], "<f8").reshape(r["n"], r["dim"])
+                q_ids, places, least = (np.frombuffer(r[c], "<i8") for c in ("q_ids", "q_places", "least"))
+                queries = np.frombuffer(r["q_matrix"], "<f8").reshape(len(q_ids), r["dim"])
+                found = best_of(queries, np.full(len(places), -1), matrix, k, least)
+                rows = [(r["block"], int(p), int(q), None if anonymous[at] else int(ids[at]), s)
+                        for q, p, best in zip(q_ids, places, found) for s, at in best]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(5)],
+                                                 names=["block", "place", "query_id", "vec_id", "score"])
+
+    return meet
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
           scale: float = 64.0) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's ``k`` best of all other rows, by integer inner product.
@@ -125,39 +223,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     numbers = spark.createDataFrame([(d, p, a, *spans[d]) for d, p, a, _ in first],
                                     "dim int, part int, base long, lo long, hi long")
     numbered = stretches.join(F.broadcast(numbers), ["dim", "part"]).withColumn("stretch", F.col("base") + F.col("nth"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The queries of each stretch, in blocks."""
-        names = ["block", "lo", "hi", "q_ids", "q_places", "q_matrix"]
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<i8")
-                chosen = np.flatnonzero((ids % every == 0) & ~np.frombuffer(r["anonymous"], bool))
-                matrix = np.frombuffer(r["matrix"], "<f8").reshape(r["n"], r["dim"])
-                for j, s in enumerate(range(0, len(chosen), QUERIES)):
-                    p = chosen[s:s + QUERIES]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
-                        (r["stretch"] * 64 + j, r["lo"], r["hi"], ids[p].tobytes(), p.astype("<i8").tobytes(), matrix[p].tobytes()),
-                        (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
-
-    queries = (numbered.mapInArrow(pick, "block long, lo long, hi long, q_ids binary, q_places binary, q_matrix binary")
-               .withColumn("stretch", F.explode(F.sequence("lo", F.col("hi") - 1))))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids, anonymous = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["anonymous"], bool)
-                matrix = np.frombuffer(r["matrix"], "<f8").reshape(r["n"], r["dim"])
-                q_ids, places = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_places"], "<i8")
-                own = places if r["block"] // 64 == r["stretch"] else np.full(len(places), -1)
-                found = best_of(np.frombuffer(r["q_matrix"], "<f8").reshape(len(q_ids), r["dim"]), own, matrix, k)
-                rows = [(r["block"], int(p), int(q), None if anonymous[at] else int(ids[at]), s)
-                        for q, p, best in zip(q_ids, places, found) for s, at in best]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(5)],
-                                                 names=["block", "place", "query_id", "vec_id", "score"])
-
-    met = (numbered.select("stretch", "dim", "n", "ids", "anonymous", "matrix").join(queries, "stretch")
-           .mapInArrow(meet, "block long, place long, query_id long, vec_id long, score long"))
+    homes = stored(numbered.mapInArrow(_at_home(every, k), _HOME_SCHEMA), "top-k-queries")
+    found = homes.select("block", F.explode(F.arrays_zip("place", "query_id", "vec_id", "score")).alias("f")).select("block", "f.*")
+    away = (numbered.select("stretch", "dim", "n", "ids", "anonymous", "matrix").join(_routed(homes, numbered), "stretch")
+            .mapInArrow(_meetings(k), "block long, place long, query_id long, vec_id long, score long"))
     rank = F.row_number().over(Window.partitionBy("block", "place").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.union(away).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

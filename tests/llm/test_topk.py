@@ -39,6 +39,31 @@ def test_equals_a_plain_sort(spark, monkeypatch, stretch):
     assert run(spark, rows) == plain(rows, 5, 4)
 
 
+def test_queries_go_only_to_stretches_that_can_matter(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    centres = np.eye(8) * 20
+    rows = [(i, (centres[i // 64] + rng.normal(size=8)).astype("f4").tolist()) for i in range(512)]  # a cluster a stretch
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "STRETCH", 64)
+    monkeypatch.setattr(topk, "_BITS", 64 .bit_length() - 1)
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    routed, real = [], topk._routed
+
+    def counted(homes, numbered):
+        out = real(homes, numbered)
+        routed.append((out.count(), homes.count() * (numbered.count() - 1)))
+        return out
+
+    monkeypatch.setattr(topk, "_routed", counted)
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").repartition(1)
+    got = sorted((tuple(r) for r in top_k(df, 5, 4).collect()), key=repr)
+    assert got == plain(rows, 5, 4)
+    sent, all_pairs = routed[0]
+    assert sent < all_pairs / 2
+
+
 def test_few_candidates_lengths_and_empty(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, -1.0]), (4, [1.0]), (8, [2.0]), (12, [3.0, 3.0, 3.0])]
     assert run(spark, rows) == plain(rows, 5, 4)
