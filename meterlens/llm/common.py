@@ -65,7 +65,8 @@ def discard(*frames: DataFrame) -> None:
     """Delete the folders of frames that ``stored`` returned; nothing that is still to run may read them."""
     for df in frames:
         _delete(df.sparkSession, df._stored_path)
-        _written.remove(df._stored_path)
+        if df._stored_path in _written:
+            _written.remove(df._stored_path)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
