@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import epoch_second
 
@@ -32,19 +33,26 @@ def _widths(width: int) -> list[int]:
     return widths
 
 
-def _bins(df: DataFrame, start: Column, end: Column, width: int, levels: Column | None) -> DataFrame:
+def _seconds(df: DataFrame, name: str) -> Column:
+    """Whole seconds of a time column; instants are counted as such, whatever the clocks of the session's zone do."""
+    instant = isinstance(df.schema[name].dataType, T.TimestampType)
+    return F.unix_seconds(F.col(name)) if instant else epoch_second(F.col(name)).cast("long")
+
+
+def _bins(df: DataFrame, start: str, end: str, width: int, levels: Column | None) -> DataFrame:
     """``df`` with _level, _bin (exploded), _own (its level) and _first (its first bin at that level).
 
     ``levels``: those at which the other side's own intervals stand, or None to
     take every level from the own one up.
     """
-    a, b = epoch_second(F.least(start, end)).cast("long"), epoch_second(F.greatest(start, end)).cast("long")
+    one, other = _seconds(df, start), _seconds(df, end)
+    a, b = F.least(one, other), F.greatest(one, other)
     spans = _widths(width)
     top = len(spans) - 1
     own = F.lit(top)
     for k in reversed(range(top)):
         own = F.when(b - a <= spans[k], F.lit(k)).otherwise(own)
-    ready = df.filter(start.isNotNull() & end.isNotNull()).withColumn("_from", a).withColumn("_to", b).withColumn("_own", own)
+    ready = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_from", a).withColumn("_to", b).withColumn("_own", own)
     if levels is None:
         every = F.sequence(F.col("_own"), F.lit(top))
     else:
@@ -73,11 +81,11 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: Sequence[str] = (),
     """
     on = list(on)
     b = _bins(right.select("*", *[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)]).drop(*on),
-              F.col(right_span[0]), F.col(right_span[1]), width, None)
+              *right_span, width, None)
     b = b.withColumnsRenamed({c: f"{c}r" for c in ("_own", "_level", "_first", "_bin")})
-    levels = (_bins(right.select(*right_span), F.col(right_span[0]), F.col(right_span[1]), width, None)
+    levels = (_bins(right.select(*right_span), *right_span, width, None)
               .agg(F.collect_set("_own")).scalar())  # one number a level at most
-    a = _bins(left, F.col(left_span[0]), F.col(left_span[1]), width, levels)
+    a = _bins(left, *left_span, width, levels)
     same = (F.col("_level") == F.col("_levelr")) & (F.col("_bin") == F.col("_binr"))
     for i, c in enumerate(on):
         same = same & (F.col(c) == F.col(f"_on{i}"))

@@ -50,13 +50,27 @@ def test_interval_join_meets_each_pair_once(spark, width):
     assert interval_join(a, b.limit(0), on=["key"], left_span=("s", "e"), right_span=("ws", "we")).count() == 0
 
 
+def test_instants_across_a_clock_change(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 2024-11-03 05:30 and 06:10 UTC are 01:30 and 01:10 on the clock; 05:50 UTC lies between.
+        at = lambda h, m: dt.datetime(2024, 11, 3, h, m, tzinfo=dt.timezone.utc)
+        a = spark.createDataFrame([(1, at(5, 30), at(6, 10))], "i long, s timestamp, e timestamp")
+        b = spark.createDataFrame([(1, at(5, 50), at(5, 51)), (2, at(7, 0), at(7, 1))], "j long, ws timestamp, we timestamp")
+        met = interval_join(a, b, left_span=("s", "e"), right_span=("ws", "we"), width=60).filter("s <= we AND e >= ws")
+        assert [(r.i, r.j) for r in met.collect()] == [(1, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_long_intervals_cost_a_few_rows(spark):
     a = spark.createDataFrame([(i, "a", T0, FAR) for i in range(50)], "i long, key string, s timestamp_ntz, e timestamp_ntz")
     b = spark.createDataFrame([(j, "a", T0 + j * dt.timedelta(hours=1), T0 + (j + 1) * dt.timedelta(hours=1)) for j in range(24)],
                               "j long, key string, ws timestamp_ntz, we timestamp_ntz")
     from meterlens.operators.intervals import _bins
 
-    rows = _bins(a, F.col("s"), F.col("e"), 3600, F.array(F.lit(0)))
+    rows = _bins(a, "s", "e", 3600, F.array(F.lit(0)))
     assert rows.count() <= 2 * 50
     assert interval_join(a, b, on=["key"], left_span=("s", "e"), right_span=("ws", "we")).count() == 50 * 24
 
