@@ -310,14 +310,14 @@ def window_places(grams: np.ndarray, places: int = PLACES) -> np.ndarray:
     return at[np.append(True, (grams[at[1:]] != grams[at[:-1]]) | (np.diff(at) >= WINDOW))] if len(at) else at
 
 
-def _windows(texts: DataFrame, near: bool = False) -> DataFrame:
-    """(id, doc, start, stop, key): windows with their character span; ``texts``: id, doc, text and, if ``near``, keys.
+def _windows(texts: DataFrame, near: bool = False, spans: bool = False) -> DataFrame:
+    """(id, doc, key, and with ``spans`` start, stop): windows, with their characters; ``texts``: id, doc, text and, if ``near``, keys.
 
     Winnowed windows, or all that begin at most ``PLACES`` - 1 words from one of ``keys``.
     """
     out = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("doc", T.LongType()),
-                        T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
-                        T.StructField("key", T.LongType())])
+                        T.StructField("key", T.LongType()),
+                        *[T.StructField(c, T.IntegerType()) for c in ("start", "stop") if spans]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,20 +327,20 @@ def _windows(texts: DataFrame, near: bool = False) -> DataFrame:
                 words, begins, ends = word_hashes(data)
                 grams = gram_hashes(words, WINDOW)
                 if len(grams):
-                    chars = np.zeros(len(data) + 1, np.int64)  # characters before each byte
-                    np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=chars[1:])
                     chosen = near_places(grams, batch["keys"][i].values.to_numpy().view(np.uint64)) if near else window_places(grams)
                     at.append(np.full(len(chosen), i))
-                    starts.append(chars[begins[chosen]])
-                    stops.append(chars[ends[chosen + WINDOW - 1]])
+                    if spans:
+                        chars = np.zeros(len(data) + 1, np.int64)  # characters before each byte
+                        np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=chars[1:])
+                        starts.append(chars[begins[chosen]].astype("int32"))
+                        stops.append(chars[ends[chosen + WINDOW - 1]].astype("int32"))
                     keys.append(grams[chosen].view(np.int64))
                     held += len(chosen)
                 if held > 100_000 or held and i + 1 == len(batch):
                     rows = pa.array(np.concatenate(at))
                     yield pa.RecordBatch.from_arrays(
-                        [batch["id"].take(rows), batch["doc"].take(rows), pa.array(np.concatenate(starts).astype("int32")),
-                         pa.array(np.concatenate(stops).astype("int32")), pa.array(np.concatenate(keys))],
-                        names=[f.name for f in out])
+                        [batch["id"].take(rows), batch["doc"].take(rows), pa.array(np.concatenate(keys)),
+                         *[pa.array(np.concatenate(x)) for x in (starts, stops) if spans]], names=[f.name for f in out])
                     at, starts, stops, keys, held = [], [], [], [], 0
 
     return texts.mapInArrow(cut, out)
@@ -400,14 +400,14 @@ def shared_passages(source: DataFrame) -> DataFrame:
     smallest id when all spans that are not kept are removed.
     """
     texts = source.select("id", F.xxhash64("text").alias("doc"), "text")
-    winnowed = stored(_windows(texts).select("id", "doc", "key"), "windows")
+    winnowed = stored(_windows(texts), "windows")
     keys = stored(_hits(winnowed, _shared(winnowed)).groupBy("doc").agg(F.collect_set("key").alias("keys")), "window-keys")
     discard(winnowed)
     held = (keep_hashes(texts, keys.select("doc"), "doc")
             .join(_large(keys.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d")).select("id", "doc", "text", "keys"))
-    near = _windows(held, near=True)  # many and cheap: read twice, stored never
-    shared = stored(_shared(near.select("id", "key")), "shared-windows")
-    spans = _spans(_hits(near, shared))
+    # Many windows, cheap to make: made twice, never stored, and with their spans only where they are shared.
+    shared = stored(_shared(_windows(held, near=True)), "shared-windows")
+    spans = _spans(_hits(_windows(held, near=True, spans=True), shared))
     return spans.select("id", "start", (F.col("stop") - F.col("start")).alias("length"), "first_id", "n_windows", "kept")
 
 
