@@ -6,10 +6,11 @@ the end of the text backward, so complete segmentations leave the search in
 order of their scores.
 
 No piece holds certain pairs of neighbouring characters; a text is cut
-between such pairs without losing a segmentation, and the best segmentations
-of a text are the best sums over its parts (mostly words).  The forward pass
-of a part, which a worker keeps in bounded caches, gives its best way and how
-much the second best costs more.  Only the n-1 parts with the cheapest second
+between such pairs (all found at once, over arrays) without losing a
+segmentation, and the best segmentations of a text are the best sums over its
+parts (mostly words and marks).  The forward pass of a part, which a worker
+keeps in a bounded cache, gives its best way and how much the second best
+costs more.  Only the n-1 parts with the cheapest second
 choice can differ from their best in an n-best result, so the backward search
 runs for these alone.
 """
@@ -19,8 +20,6 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
-import operator
-import re
 import zlib
 from array import array
 from bisect import insort
@@ -35,8 +34,8 @@ from pyspark.sql import types as T
 from .common import quoted
 
 SPACE = "▁"
-#: Words, and other parts of texts, in a worker's caches.
-CACHE, PARTS = 250_000, 40_000
+#: Parts of texts, and parts with all their choices, in a worker's caches.
+CACHE, PARTS = 600_000, 40_000
 
 #: A segmentation: cost over the best one, ids as little-endian 32-bit integers.
 Choice = tuple[float, bytes]
@@ -44,9 +43,6 @@ Choice = tuple[float, bytes]
 Part = tuple[float, bytes, float, str]
 _NEVER = float("inf")
 
-#: Marks that may end a word.
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-
 
 def default_model() -> str:
     import public_tokenizers
@@ -55,7 +51,7 @@ def default_model() -> str:
 
 
 class Pieces(dict):
-    """Word (without the space sign before it) that is one part -> that part."""
+    """Part of a text, its space signs as ``blank`` -> that part."""
 
     def __init__(self, path: str, n: int):
         import sentencepiece
@@ -64,8 +60,10 @@ class Pieces(dict):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.model, self.n = model, n
         self.trie: dict = {}  # character -> (next characters, score or None, id)
-        self.pairs: set[str] = set()
-        lowest, self.bytes_at, self.spelt, self.words_end = 0.0, {}, [], True
+        # Texts of one-byte characters are cut faster; normalised ones hold no plain space, if the model has a sign for it.
+        self.blank = SPACE if " " in model.normalize("a b") else " "
+        pairs: set[str] = set()
+        lowest, self.bytes_at, self.spelt = 0.0, {}, []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -81,15 +79,19 @@ class Pieces(dict):
                 below = node.get(piece[-1], ({},))[0]
                 node[piece[-1]] = (below, float(model.get_score(i)), array("I", [i]).tobytes())
                 lowest = min(lowest, model.get_score(i))
-                self.pairs.update(map("".join, itertools.pairwise(piece)))
-                self.words_end &= re.search(f"[^{SPACE}]{SPACE}", piece) is None
+                pairs.update(map("".join, itertools.pairwise(piece.replace(SPACE, self.blank))))
         self.sizes = np.array([len(x) for x in self.spelt])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.letters = np.frombuffer(b"".join(self.spelt), np.uint8)
         self.unknown, self.unknown_id = lowest - 10.0, model.unk_id()
-        self._parts: dict[str, Part] = {}
-        self._several: dict[str, list[Part]] = {}  # words of several parts
         self._choices: dict[str, list[Choice]] = {}
+        # Characters that stand in pairs are numbered from 1, all others are 0; a cut is where no piece holds the pair.
+        numbers = {c: i for i, c in enumerate(sorted(set("".join(pairs))), 1)}
+        self.width = len(numbers) + 1
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in numbers]] = list(numbers.values())
+        self.cut = np.ones(self.width * self.width, bool)
+        self.cut[[numbers[a] * self.width + numbers[b] for a, b in pairs]] = False
 
     # ------------------------------------------------------------ one part
     def forward(self, part: str) -> Part:
@@ -174,70 +176,34 @@ class Pieces(dict):
         data = char.encode("utf-8", "replace")
         return array("I", [self.bytes_at[b] for b in data] if len(self.bytes_at) == 256 else [self.unknown_id]).tobytes()
 
-    def _part(self, part: str) -> Part:
-        got = self._parts.get(part)
-        if got is None:
-            got = self.forward(part)
-            if len(self._parts) < PARTS and len(part) <= 40:
-                self._parts[part] = got
+    def __missing__(self, part: str) -> Part:
+        score, ids, gap, _ = self.forward(part.replace(self.blank, SPACE))
+        got = score, ids, gap, part
+        if len(self) < CACHE and len(part) <= 40:
+            self[part] = got
         return got
 
     def choices(self, part: str) -> list[Choice]:
         """The ``n`` best ways through a part."""
         got = self._choices.get(part)
         if got is None:
-            got = self.search(part)[1]
+            got = self.search(part.replace(self.blank, SPACE))[1]
             if len(self._choices) < PARTS and len(part) <= 40:
                 self._choices[part] = got
         return got
 
-    def unit(self, text: str) -> list[Part]:
-        """The parts of any text, cut where no piece can cross."""
-        pairs = self.pairs
-        cuts = [i for i, pair in enumerate(map(operator.add, text, text[1:]), 1) if pair not in pairs]
-        return [self._part(text[a:b]) for a, b in itertools.pairwise([0, *cuts, len(text)])] if text else []
-
-    def word(self, word: str) -> list[Part]:
-        """The parts of a word (with the space sign that stands before it) that is not in the cache."""
-        several = self._several.get(word)
-        if several is not None:
-            return several
-        # Most words are letters and a few marks; the letters alone fill the cache.
-        letters = word.rstrip(_MARKS)
-        if letters and len(letters) < len(word) and word[len(letters) - 1:len(letters) + 1] not in self.pairs:
-            known = self.get(letters)
-            return [*(self.word(letters) if known is None else [known]), *self.unit(word[len(letters):])]
-        whole = SPACE + word
-        if self.pairs.issuperset(map(operator.add, whole, word)):  # all neighbours, none to cut between
-            part = self.forward(whole)
-            if len(self) < CACHE and len(word) <= 40:
-                self[word] = part
-            return [part]
-        parts = self.unit(whole)
-        if len(self._several) < PARTS and len(word) <= 40:
-            self._several[word] = parts
-        return parts
+    def parts(self, text: str) -> list[Part]:
+        """The parts of a text, its space signs as ``blank``, cut where no piece can cross."""
+        if not text:
+            return []
+        at = self.number.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+        cuts = np.flatnonzero(self.cut.take(at[:-1] * self.width + at[1:])) + 1
+        return [self[text[a:b]] for a, b in itertools.pairwise([0, *cuts.tolist(), len(text)])]
 
     # ----------------------------------------------------------- one text
     def encode(self, text: str) -> list[tuple[float, int, bytes]]:
         """(score, number of ids, ids) of the n best segmentations, best first; the empty text has one without ids."""
-        text = self.model.normalize(text) if text else ""
-        parts: list[Part] = []
-        if not self.words_end:
-            parts = self.unit(text)
-        elif SPACE * 2 in text:
-            for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-                plain = w.startswith(SPACE) and not w.startswith(SPACE * 2)
-                known = self.get(w[1:]) if plain else None
-                parts += [known] if known is not None else self.word(w[1:]) if plain else self.unit(w)
-        else:
-            first, *words = text.split(SPACE)
-            parts = self.unit(first)
-            for w, known in zip(words, map(self.get, words)):
-                if known is None:
-                    parts += self.word(w)
-                else:
-                    parts.append(known)
+        parts = self.parts(self.model.normalize(text).replace(SPACE, self.blank) if text else "")
         score = sum([p[0] for p in parts])
         ids = [p[1] for p in parts]
         gaps = [p[2] for p in parts]

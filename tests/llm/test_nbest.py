@@ -94,3 +94,13 @@ def test_frame(spark):
     assert sorted(r.rank for r in by[3]) == [1, 1, 2, 2, 3, 3] and all(r.text == "the cat" for r in by[3])
     assert {r.text for r in by[4]} == {rows[-1][1]} and len(by[4]) == 3 and by[None][0].text == "x"
     assert encode_n_best(df.filter("false")).count() == 0
+
+
+def test_a_part_is_searched_once_wherever_it_stands(monkeypatch):
+    seen, forward = [], Pieces.forward
+    monkeypatch.setattr(Pieces, "forward", lambda self, part: seen.append(part) or forward(self, part))
+    text = "the then, x\nthe then.\nthen the\nthe, (the) ñthe 日本 the日"
+    got = Pieces(default_model(), 4).encode(text)
+    assert len(seen) == len(set(seen)) and "▁the" in seen and "\n" in seen
+    monkeypatch.undo()
+    assert got == Pieces(default_model(), 4).encode(text)
