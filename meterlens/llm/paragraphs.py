@@ -160,8 +160,8 @@ def similar_forest(texts: list[bytes], similarity: float) -> list[tuple[int, int
 def _lines(text: str, least: int) -> Iterator[tuple[int, str, bytes]]:
     """Start, text and normal form (lower case, single spaces) of each line with at least so many words."""
     start = 0
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "replace").translate(_LOWER).split()
+    for line, lower in zip(text.split("\n"), text.encode("utf-8", "replace").translate(_LOWER).split(b"\n")):
+        words = lower.split()
         if len(words) >= least:
             yield start, line, b" ".join(words)
         start += len(line) + 1
@@ -251,8 +251,13 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
     """
     bands, rows = tune_bands(similarity)
     keyed = stored(_paragraph_table(source, bands, rows, max(1, min_words)), "paragraphs-keys")
+    bucket = Window.partitionBy("key")
     keys = (keyed.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key")).repartition("key")
-            .dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
+            .dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(bucket))
+            .withColumn("members", F.bit_xor(F.xxhash64("h")).over(bucket)).filter("n > 1"))
+    # Similar paragraphs meet in many bands: buckets are named by their paragraphs, so that equal ones are compared once.
+    # Buckets that share a name by chance are compared together.
+    keys = keys.withColumn("key", F.xxhash64("n", "members"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine, other = F.col("block"), F.col("other")
     cells = (keys.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int"))
@@ -270,7 +275,8 @@ def similar_paragraphs(source: DataFrame, similarity: float = SIMILARITY, min_wo
     wanted = stored(per_text.join(_large(met), "h").select("h", F.col("first.id").alias("id")), "paragraph-wanted")
     forms = stored(_normal_forms(source, wanted, SHINGLE), "paragraph-forms")
     discard(wanted)
-    links = stored(_verified(cells.join(_large(forms), "h"), similarity).distinct(), "paragraph-links")
+    met_once = cells.repartition("h").dropDuplicates(["h", "cell"])
+    links = stored(_verified(met_once.join(_large(forms), "h"), similarity).distinct(), "paragraph-links")
     discard(cells, forms)
     roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
 
@@ -374,13 +380,19 @@ def _spans(hits: DataFrame) -> DataFrame:
     first for, so that removing all runs that are not kept leaves every
     window whole in its first document.
     """
+    # Windows of one text end in the order in which they begin, so neighbours tell where runs begin and end, and
+    # what follows has only the first and the last window of every run.
     order = Window.partitionBy("id", "doc").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    other = ~F.lag("first_id").over(order).eqNullSafe(F.col("first_id"))
-    runs = (hits.withColumn("new", ((F.col("start") > reach + 1) | other).cast("int"))
-            .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(order))
+    begins = (F.coalesce(F.col("start") > F.lag("stop").over(order) + 1, F.lit(True))
+              | ~F.lag("first_id").over(order).eqNullSafe(F.col("first_id")))
+    ends = (F.coalesce(F.lead("start").over(order) > F.col("stop") + 1, F.lit(True))
+            | ~F.lead("first_id").over(order).eqNullSafe(F.col("first_id")))
+    limits = (hits.select("id", "doc", "start", "stop", "first_id", begins.alias("begins"), ends.alias("ends"),
+                          F.row_number().over(order).alias("place")).filter("begins OR ends"))
+    n_windows = (F.max("place") - F.min("place") + 1).cast("long")
+    runs = (limits.withColumn("run", F.sum(F.col("begins").cast("int")).over(Window.partitionBy("id", "doc").orderBy("place")))
             .groupBy("id", "doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                             F.first("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_windows"))
+                                             F.first("first_id").alias("first_id"), n_windows.alias("n_windows"))
             .withColumn("kept", F.col("id").eqNullSafe(F.col("first_id"))))
     by_run = Window.partitionBy("id", "doc").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     from_end = Window.partitionBy("id", "doc").orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)

@@ -23,7 +23,10 @@ def keep_hashes(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     row = F.floor(bit / ROW_BITS).cast("int")
     bitmap = (wanted.select(row.alias("_row"), (bit % ROW_BITS).alias("_bit")).groupBy("_row")
               .agg(F.bitmap_construct_agg("_bit").alias("_bitmap")))
+    # As 64-bit numbers, made once, since taking a byte out of the bitmap for every row costs more than the shuffle saved.
+    eight = lambda k: F.conv(F.hex(F.substring("_bitmap", 8 * k + 1, F.lit(8))), 16, -10).cast("long")
+    bitmap = bitmap.select("_row", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), eight).alias("_numbers"))
     tested = df.withColumn("_bit", (bit % ROW_BITS).cast("int")).withColumn("_row", row).join(F.broadcast(bitmap), "_row")
-    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.col("_bit") % 8 + 1)) > 0
-    return tested.filter(held).withColumn(column, F.when(held, F.col(column))).drop("_bit", "_row", "_bitmap")
+    # Byte b of the bitmap holds bits 8 b to 8 b + 7, its lowest first; the first of eight bytes is a number's highest.
+    held = F.getbit(F.get("_numbers", F.shiftright("_bit", 6)), 56 - F.col("_bit") % 64 + 2 * (F.col("_bit") % 8)) > 0
+    return tested.filter(held).withColumn(column, F.when(held, F.col(column))).drop("_bit", "_row", "_numbers")

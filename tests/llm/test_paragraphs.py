@@ -197,3 +197,23 @@ def test_removing_what_is_not_kept_leaves_every_window_somewhere(spark):
         words = part.split()
         for k in range(len(words) - 24):
             assert " ".join(words[k:k + 25]) in whole
+
+
+def test_paragraphs_that_meet_in_many_bands_are_compared_once(spark, monkeypatch):
+    rng, compared, verified = random.Random(9), [], paragraphs._verified
+    monkeypatch.setattr(paragraphs, "_verified", lambda cells, s: compared.append(cells.count()) or verified(cells, s))
+    lines = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(3)]
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines + [line[:119] for line in lines])]
+    found = duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("kind = 'paragraph'").collect()
+    assert len({r.cluster_id for r in found}) == 3 and [r.occurrences for r in found] == [2] * 6
+    assert compared == [6]
+
+
+def test_runs_of_windows_end_at_gaps_other_first_documents_and_repeated_rows(spark):
+    # id, doc, start, stop, first_id: two runs with a gap, a repeated row, another first document, a run of one window
+    rows = [(2, 7, 0, 9, 1), (2, 7, 2, 12, 1), (2, 7, 13, 20, 1), (2, 7, 22, 30, 1), (2, 7, 22, 30, 1), (2, 7, 31, 40, 2),
+            (3, 8, 5, 9, 1), (None, 8, 5, 9, 1)]
+    got = paragraphs._spans(spark.createDataFrame(rows, "id long, doc long, start int, stop int, first_id long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(2, 0, 20, 1, 3, False), (2, 22, 30, 1, 2, False), (2, 31, 40, 2, 1, True), (3, 5, 9, 1, 1, False),
+         (None, 5, 9, 1, 1, False)], key=str)

@@ -190,6 +190,14 @@ def test_keep_hashes_keeps_all_wanted(spark):
     assert keep_hashes(df, wanted.filter("false"), "_h").count() == 0
 
 
+def test_keep_hashes_tests_every_bit(spark):
+    places = [*range(300), *range(32700, 32800), (1 << 26) - 1, -1, -64]
+    df = spark.createDataFrame([(p,) for p in places], "_h long")
+    wanted = [p for p in places if p % 3 == 0]
+    kept = keep_hashes(df, df.filter("_h % 3 = 0"), "_h")
+    assert {r._h for r in kept.collect()} == set(wanted) | {-1}  # the same bit as (1 << 26) - 1
+
+
 def test_top_k_ties_are_deterministic(spark):
     df = spark.createDataFrame([(str(i), i % 3) for i in range(30)], "id string, v long")
     got = [r["id"] for r in top_k(df, [F.col("v").desc(), F.col("id")], 5).collect()]
