@@ -75,12 +75,13 @@ class WordEncoder(dict):
         return self._whole(text)
 
     def __missing__(self, word: str) -> bytes:
-        # Most words are letters and a few marks: two pre-tokens, and the letters alone fill the cache.
-        letters = word.rstrip(_MARKS)
-        if letters.isalpha() and max(letters) < "\u0250":
-            if len(letters) < len(word):
-                marks = word[len(letters):]
-                return self[letters] + (self._pieces.get(marks) or self._piece(marks))
+        # Most words are letters and a few marks.  Marks after a letter are a pre-token of their own, whatever stands
+        # before that letter, and the words without them alone fill the cache.
+        bare = word.rstrip(_MARKS)
+        if len(bare) < len(word) and (last := bare[-1:]).isalpha() and last < "\u0250":
+            marks = word[len(bare):]
+            return self[bare] + (self._pieces.get(marks) or self._piece(marks))
+        if word.isalpha() and max(word) < "\u0250":
             spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
             ids = array("I", [t.id for t in self._model.tokenize(self._space + spelt)]).tobytes()
         else:

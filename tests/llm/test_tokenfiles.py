@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from meterlens.llm.tokenfiles import read_tokens, token_checksums, write_tokens, writer_options
-from meterlens.llm.tokens import default_vocabulary, encoder
+from meterlens.llm.tokens import WordEncoder, default_vocabulary, encoder
 
 
 def wanted(rows):
@@ -61,3 +61,11 @@ def test_metadata_reads_leave_the_ids(spark):
     assert np.array(row.tokens, "<u4").tobytes() == encoder(default_vocabulary()).encode("a b") + bytes(4)
     with pytest.raises(ValueError):
         writer_options("zip")
+
+
+def test_marks_after_any_letter_are_encoded_apart():
+    words = WordEncoder(default_vocabulary())
+    text = "x end.\nThe, x end.\nThe. x it's, x 2nd; x a_b!? x d'é) x 5's- x a”b."
+    ids = np.frombuffer(words.encode(text), "<u4")
+    assert list(ids) == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "end.\nThe" in words and not {"end.\nThe,", "end.\nThe.", "2nd;", "a_b!?"} & set(words)
