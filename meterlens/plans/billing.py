@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (
@@ -158,8 +158,8 @@ def usage_forecast(t: Tables, credit_price: float | str = "4.00", term_start: dt
 def forecast_days(spark: SparkSession, c: Contract, actual: DataFrame) -> DataFrame:
     """The forecast from the actual dollars per day (consumption_date, actual_dollars_used) of the term.
 
-    The line is fitted in a window over the calendar, which has one row per
-    contract day, so the actuals are computed once.
+    The line is fitted in the aggregate that gathers the calendar, which has
+    one row per contract day, so the actuals are computed once.
     """
     days = calendar_days(spark, c.start.date(), c.end.date(), name="consumption_date")
     # Both sides hold at most one row per contract day (the actuals are
@@ -167,10 +167,11 @@ def forecast_days(spark: SparkSession, c: Contract, actual: DataFrame) -> DataFr
     joined = days.join(F.broadcast(actual), on="consumption_date", how="left")
     x = F.datediff(F.col("consumption_date"), F.lit(c.start.date())).cast("double")
     y = F.col("actual_dollars_used").cast("double")
-    term = Window.partitionBy(F.lit(0))
-    return joined.select(
+    term = joined.agg(F.collect_list(F.struct("consumption_date", "actual_dollars_used")).alias("days"),
+                      F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return term.select(F.inline("days"), "slope", "intercept").select(
         "consumption_date",
         c.dollars_per_day().alias("contracted_dollars_used"),
         "actual_dollars_used",
-        (x * F.regr_slope(y, x).over(term) + F.regr_intercept(y, x).over(term)).alias("forecasted_dollars_used"),
+        (x * F.col("slope") + F.col("intercept")).alias("forecasted_dollars_used"),
     ).orderBy("consumption_date")
